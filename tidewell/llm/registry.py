@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, mixing, sharding
+from tidewell.llm import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
