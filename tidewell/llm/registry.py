@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, mixing, sharding, simhash
+from tidewell.llm import exact_dedup, langid, mixing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
