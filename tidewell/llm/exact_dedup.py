@@ -68,7 +68,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         recipes = recipes.join(variants(texts, clashing, hash_of, **sizes), "text_sha256", "left").withColumn("variant", F.coalesce("variant", F.array()))
         key = ["recipe", "variant"]
     rows = recipes.groupBy("doc_id", "text_sha256", *key).agg(F.count("*").alias("copies"))
-    groups = recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = stored(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     each = rows.join(groups, key).select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return each.select(
         "doc_id",
