@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, langid, mixing, sharding, simhash, token_counts
+from tidewell.llm import exact_dedup, langid, mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_langid": langid.op4_langid,
     "op5_simhash": simhash.op5_simhash,
+    "op6_warc": warc.op6_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE_SQL = {
+    "op6_warc": warc.ORACLE_SQL,
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
