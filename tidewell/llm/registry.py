@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tidewell.llm import exact_dedup, langid, mixing, pii, sharding, simhash, token_counts, toxicity, warc
+from tidewell.llm import decontamination, exact_dedup, langid, mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_pii": pii.op2_pii,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_langid": langid.op4_langid,
