@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without those that leak an item; ids are taken as unique, null ids stay."""
-    leaks = contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaks")).distinct()
+    leaks = stored(contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaks")).distinct(), "leaks")
     return docs.join(leaks, F.col(id_col) == F.col("_leaks"), "left_anti")
 
 

@@ -82,7 +82,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row with a larger id has; ids are taken as unique."""
-    dropped = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
+    dropped = stored(exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")), "dropped")
     return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
 
 

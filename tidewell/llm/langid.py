@@ -181,8 +181,7 @@ def predict(text: str | None, langs: list[str], machines: dict[str, np.ndarray])
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row; machines are fitted on the labelled rows of ``docs`` itself."""
-    langs, machines = fit(docs, id_col, text_col, lang_col, max_per_lang)
-    model = docs.sparkSession.sparkContext.broadcast((langs, machines))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, max_per_lang))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(_remainder(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +192,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows of which no language can be told; ids are taken as unique, null ids stay."""
-    rejected = identify(docs, id_col, **options).filter(F.col("lang_pred") == UNKNOWN).select(F.col("doc_id").alias("_rejected"))
-    return docs.join(rejected, F.col(id_col) == F.col("_rejected"), "left_anti")
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> DataFrame:
+    """``docs`` without the rows of which no language can be told."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, max_per_lang))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([predict(t.as_py(), *model.value)[0] != UNKNOWN for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import KEY, attach, row_key
 from tidewell.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -70,12 +71,13 @@ def _ranges(rows: int) -> int:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """One row per document and epoch that the mix takes words of, and one (epoch null) per document it takes none of.
 
-    Columns: row_range, row_no (with source: the document's row), doc_id, source, size,
+    Columns: _row_key, row_range, row_no (with source: the document's row), doc_id, source, size,
     source_size, target, epoch (from 0), finish (virtual), taken, position (words of the
     mix before it).
     """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")), "sizes")
+    key = row_key(id_col, text_col, seed)
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), row_key(id_col, text_col).alias(KEY))
+    sized = stored(sized, "sizes")
     targets = stored(source_targets(sized, weights, max_epochs), "targets")
     n = _ranges(sized.count())
     ranged = sized.withColumn("row_range", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n / F.lit(16**7))
@@ -92,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     served = queued.withColumn("start", F.col("offset") + F.col("through") - F.col("size")).select("*", F.explode_outer(F.filter(epochs, lambda e: e * F.col("source_size") + F.col("start") < budget)).alias("epoch"))
     begun = F.col("epoch") * F.col("source_size") + F.col("start")
     served = served.select(
-        "row_range", "row_no", "doc_id", "source", "size", "source_size", "target", "epoch",
+        KEY, "row_range", "row_no", "doc_id", "source", "size", "source_size", "target", "epoch",
         ((begun + F.col("size")) / F.col("target")).alias("finish"),
         F.when(begun.isNull(), 0).otherwise(F.least(F.col("size"), budget - begun)).cast("long").alias("taken"),
     )
@@ -107,6 +109,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return placed.drop("slice", "before", "upto").unionByName(served.filter("epoch IS NULL").withColumn("position", F.lit(None).cast("long")))
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of the mix, whole: a document for each epoch that takes half of its words or more."""
+    copies = mix(docs, id_col, text_col, source_col, **options).filter((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    return attach(docs, copies.select(KEY), id_col, text_col)
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     copies = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     each = copies.groupBy("source", "row_range", "row_no", "doc_id", "size", "source_size", "target")

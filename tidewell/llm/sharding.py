@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import KEY, attach, row_key
 from tidewell.storage import stored
 
 N_SHARDS = 16
@@ -110,12 +111,18 @@ def communication_matrix(lines: DataFrame, n_shards: int, seed: int = SEED) -> D
 
 
 def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, carry: bool = False) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for each row of ``docs``; with ``carry``, all its columns, shard and slot."""
+    """doc_id, size, text_crc32, shard and slot for each row of ``docs``; with ``carry``, all its columns, shard and slot.
+
+    Decisions are made on narrow rows; with ``carry`` the texts are joined to them last and move once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     narrow = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.pmod(F.spark_partition_id(), F.lit(MAX_LINES)).cast("long").alias("line"), *kept
-    )
+        F.col(id_col).alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.pmod(F.spark_partition_id(), F.lit(MAX_LINES)).cast("long").alias("line"),
+        *([row_key(id_col, text_col).alias(KEY)] if carry else []),
+    )
     placed = stored(narrow, "placed")  # which partition a row was in must not change with a repeated task
     matrix = stored(communication_matrix(placed.groupBy("line").agg(F.count("*").alias("rows")), n_shards, seed), "matrix")
     local = W.partitionBy("line").orderBy(F.xxhash64(F.lit(seed), "line", "doc_id", "size", "text_crc32"), "doc_id", "text_crc32")
@@ -130,7 +137,7 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id"
     permuted = dealt.withColumn("slot", F.row_number().over(W.partitionBy("shard", "range").orderBy("draw", "line", "nth")) - 1).join(starts, ["shard", "range"])
     permuted = permuted.withColumn("slot", (F.col("first") + F.col("slot")).cast("long"))
     if carry:
-        return permuted.select("_row.*", F.col("shard"), F.col("slot"))
+        return attach(docs, permuted.select(KEY, "shard", "slot"), id_col, text_col)
     return permuted.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

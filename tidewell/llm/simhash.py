@@ -179,7 +179,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id; ids are taken as unique."""
     found = near_groups(docs, id_col, text_col, **options)
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped"))
+    dropped = stored(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")), "dropped")
     return docs.join(dropped, F.col(id_col) == F.col("_dropped"), "left_anti")
 
 
