@@ -30,6 +30,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import let
 from tidewell.storage import stored
 
 SHINGLE_WORDS = 5
@@ -45,10 +46,16 @@ def words(text: Column) -> Column:
 
 
 def with_shingles(df: DataFrame, name: str = "shingles", k: int = SHINGLE_WORDS) -> DataFrame:
-    """Adds the hashes of the shingles of ``words``, in order."""
-    hashed = df.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
-    each = F.transform(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - (k - 1), F.lit(0))), lambda h, i: F.xxhash64(h, *[F.get(F.col("_h"), i + j) for j in range(1, k)]))
-    return hashed.withColumn(name, each).drop("_h")
+    """Adds the hashes of the shingles of ``words``, in order.
+
+    One expression with the words' hashes bound inside: if the optimizer repeats it, it
+    repeats the whole, not the hashing of all words for each shingle.
+    """
+
+    def each(h: Column) -> Column:
+        return F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (k - 1), F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]))
+
+    return df.withColumn(name, let(F.transform("words", lambda w: F.xxhash64(w)), each))
 
 
 def item_classes(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +68,7 @@ def item_classes(items: DataFrame, item_col: str = "item_id", text_col: str = "t
 def anchors(classes: DataFrame, similarity: float) -> DataFrame:
     """(h, cid, length, item): the rarest shingles of each class, so many that a similar window has one of them."""
     shingled = with_shingles(classes.filter(F.size("words") >= SHINGLE_WORDS))
-    counted = shingled.select("cid", F.explode("shingles").alias("h")).groupBy("cid", "h").agg(F.count("*").alias("times"))
+    counted = shingled.select("cid", F.explode_outer("shingles").alias("h")).groupBy("cid", "h").agg(F.count("*").alias("times"))
     spread = counted.groupBy("h").agg(F.count("*").alias("items"))
     ranked = counted.join(spread, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("items", "h", "times"))).alias("ranked"))
     n = F.size("shingles")
@@ -73,23 +80,26 @@ def anchors(classes: DataFrame, similarity: float) -> DataFrame:
 
 
 def windows(docs: DataFrame, looked_up: DataFrame, max_broadcast: int) -> DataFrame:
-    """(doc_id, tkey, cid, start, words): the windows that can be similar to an item."""
+    """(doc_id, tkey, cid, start, words): the windows that can be similar to an item.
+
+    Outer generators: of others the optimizer infers a filter that computes the array twice.
+    """
     shingled = with_shingles(docs)
     if looked_up.count() <= max_broadcast:
-        hits = shingled.select("doc_id", "tkey", "words", "shingles", F.posexplode("shingles").alias("p", "h")).join(F.broadcast(looked_up), "h")
+        hits = shingled.select("doc_id", "tkey", "words", "shingles", F.posexplode_outer("shingles").alias("p", "h")).join(F.broadcast(looked_up), "h")
     else:
-        found = shingled.select("doc_id", "tkey", F.posexplode("shingles").alias("p", "h")).join(looked_up, "h").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "p", "h", "cid", "length", "item").distinct()
+        found = shingled.select("doc_id", "tkey", F.posexplode_outer("shingles").alias("p", "h")).join(looked_up, "h").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "p", "h", "cid", "length", "item").distinct()
         hits = shingled.join(found, (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     first = F.greatest(F.col("p") - (F.col("length") - SHINGLE_WORDS), F.lit(0))
     starts = F.filter(F.sequence(first, F.greatest(F.least("p", last), first)), lambda s: (s == last) | ((s < last) & F.array_contains("item", F.get("shingles", s))))
-    each = hits.select("doc_id", "tkey", "cid", "length", "words", F.explode(starts).alias("start"))
+    each = hits.select("doc_id", "tkey", "cid", "length", "words", F.explode_outer(starts).alias("start")).filter("start IS NOT NULL")
     return each.select("doc_id", "tkey", "cid", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("words")).distinct()
 
 
 def with_simhash(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, fp): a bit is 1 if it is set in over half of the shingles. Counts of two bits share a long."""
-    rows = with_shingles(df).select(*key, F.explode("shingles").alias("h"))
+    rows = with_shingles(df).select(*key, F.explode_outer("shingles").alias("h"))
     pair = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1 | 1 << 32))
     counts = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(pair(b)).alias(f"c{b}") for b in range(32)])
     low = lambda b: F.col(f"c{b}").bitwiseAND(F.lit((1 << 32) - 1))

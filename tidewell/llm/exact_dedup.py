@@ -37,7 +37,9 @@ def chunk_hash(chunk: Column) -> Column:
 
 def clashes(texts: DataFrame, hash_of=chunk_hash, **sizes) -> DataFrame:
     """(h): hashes that different chunks share. Distinct chunks are compared by their characters."""
-    distinct = texts.select(F.explode(chunks(F.col("text"), **sizes)).alias("chunk")).select(hash_of(F.col("chunk")).alias("h"), "chunk").distinct()
+    # outer: of other generators the optimizer infers a filter that cuts the text twice
+    each = texts.select(F.explode_outer(chunks(F.col("text"), **sizes)).alias("chunk")).filter("chunk IS NOT NULL")
+    distinct = each.select(hash_of(F.col("chunk")).alias("h"), "chunk").distinct()
     return distinct.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
 
 

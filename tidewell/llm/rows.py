@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 KEY = "_row_key"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def row_key(id_col: str, text_col: str, seed: str = "") -> Column:
     """A name for rows of this id and text."""
     return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))

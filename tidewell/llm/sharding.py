@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.rows import KEY, attach, row_key
+from tidewell.llm.rows import KEY, attach, let, row_key
 from tidewell.storage import stored
 
 N_SHARDS = 16
@@ -29,11 +29,6 @@ SEED = 10
 RANGE_ROWS = 16_384
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _uniform(*key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*key), 11) / F.lit(float(1 << 53))
 
@@ -66,10 +61,10 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
             return w * (x + 1) * (v.t - v.k - v.n + x + 1) / ((v.k - x) * (v.n - x))
 
         def added(weigh, acc, i):
-            return _let(weigh(acc.w, i), lambda w: F.struct(w.alias("w"), (acc.sum + w).alias("sum")))
+            return let(weigh(acc.w, i), lambda w: F.struct(w.alias("w"), (acc.sum + w).alias("sum")))
 
         def walked(weigh, sign, acc, i):  # left: weight to go before the value is found
-            return _let(
+            return let(
                 weigh(acc.w, i),
                 lambda w: F.struct(w.alias("w"), (acc.left - w).alias("left"), F.when((acc.left >= 0) & (acc.left - w < 0), v.m + i * sign).otherwise(acc.x).alias("x")),
             )
@@ -79,9 +74,9 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
         under = F.aggregate(_steps(v.down), zero, lambda a, i: added(below, a, i)).sum
         start = F.struct(F.lit(1.0).alias("w"), (u * (1 + over + under) - 1).alias("left"), v.m.alias("x"))
         up = F.aggregate(_steps(v.up), start, lambda a, i: walked(above, 1, a, i))
-        return _let(up, lambda a: F.aggregate(_steps(v.down), F.struct(F.lit(1.0).alias("w"), a.left.alias("left"), a.x.alias("x")), lambda b, i: walked(below, -1, b, i)).x)
+        return let(up, lambda a: F.aggregate(_steps(v.down), F.struct(F.lit(1.0).alias("w"), a.left.alias("left"), a.x.alias("x")), lambda b, i: walked(below, -1, b, i)).x)
 
-    return F.when((total > 0) & (drawn > 0) & (marked > 0), _let(_let(first, ends), draw)).otherwise(F.lit(0)).cast("long")
+    return F.when((total > 0) & (drawn > 0) & (marked > 0), let(let(first, ends), draw)).otherwise(F.lit(0)).cast("long")
 
 
 def communication_matrix(lines: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
@@ -97,12 +92,12 @@ def communication_matrix(lines: DataFrame, n_shards: int, seed: int = SEED) -> D
         def shard(a: Column, s: Column) -> Column:
             k = F.element_at(state.room, s)
             got = hypergeometric(a.total, k, a["rows"], _uniform(F.lit(seed), x.line, s))
-            return _let(got, lambda g: F.struct((a.total - k).alias("total"), (a["rows"] - g).alias("rows"), F.concat(a.sent, F.array(g)).alias("sent")))
+            return let(got, lambda g: F.struct((a.total - k).alias("total"), (a["rows"] - g).alias("rows"), F.concat(a.sent, F.array(g)).alias("sent")))
 
         left = F.aggregate(state.room, F.lit(0).cast("long"), lambda a, r: a + r)
         start = F.struct(left.alias("total"), x["rows"].alias("rows"), none.alias("sent"))
         sent = F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, shard).sent
-        return _let(sent, lambda g: F.struct(F.zip_with(state.room, g, lambda r, y: r - y).alias("room"), F.concat(state.out, F.array(F.struct(x.line.alias("line"), g.alias("sent")))).alias("out")))
+        return let(sent, lambda g: F.struct(F.zip_with(state.room, g, lambda r, y: r - y).alias("room"), F.concat(state.out, F.array(F.struct(x.line.alias("line"), g.alias("sent")))).alias("out")))
 
     start = F.struct(room.alias("room"), F.array().cast("array<struct<line:bigint,sent:array<bigint>>>").alias("out"))
     drawn = lines.agg(F.array_sort(F.collect_list(F.struct("line", "rows"))).alias("lines")).select(F.explode(F.aggregate("lines", start, line).out).alias("x"))
