@@ -28,7 +28,7 @@ from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.storage import new_path, stored
@@ -36,8 +36,8 @@ from tidewell.storage import new_path, stored
 #: Payloads below this are never revisits.
 LEAST_REVISIT_BYTES = 100
 PACKAGE_BYTES = 128 << 20
-#: Records that a reading task takes from one package, about.
-READ_ROWS = 4096
+#: Bytes of records that a reading task takes, about.
+READ_BYTES = 32 << 20
 DATE = "2020-01-01T00:00:00Z"
 ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
 
@@ -150,7 +150,7 @@ def record_types(pages: DataFrame, least_bytes: int = LEAST_REVISIT_BYTES) -> Da
 
 
 def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes the archives under ``path`` (a URI that all executors reach) and returns the manifest: (package, records)."""
+    """Writes the archives under ``path`` (a URI that all executors reach) and returns the manifest: (package, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(path)
@@ -170,10 +170,10 @@ def write_packages(pages: DataFrame, path: str, package_bytes: int = PACKAGE_BYT
                         at += len(data)
                         row = next(rows, None)
                 package.writestr(INDEX, "".join(index))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], ["package", "records"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64()), pa.array([at], pa.int64())], ["package", "records", "bytes"])
 
     typed = record_types(pages).select("page_id", "url", "payload", "payload_digest", "refers_to")
-    return stored(typed.mapInArrow(run, "package string, records bigint"), "manifest").withColumn("package", F.concat(F.lit(f"{path}/"), F.col("package")))
+    return stored(typed.mapInArrow(run, "package string, records bigint, bytes bigint"), "manifest").withColumn("package", F.concat(F.lit(f"{path}/"), F.col("package")))
 
 
 def read_index(packages: DataFrame) -> DataFrame:
@@ -204,8 +204,12 @@ def read_index(packages: DataFrame) -> DataFrame:
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
-def read_records(places: DataFrame, read_rows: int = READ_ROWS) -> DataFrame:
-    """The records at ``places`` (package, nth, offset, length), each by a read of its range."""
+def read_records(places: DataFrame, n_tasks: int, read_bytes: int = READ_BYTES) -> DataFrame:
+    """The records at ``places`` (package, nth, offset, length), each by a read of its range.
+
+    Places are few bytes and records many, so the number of tasks is given, not left to
+    what the shuffle holds.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,17 +233,19 @@ def read_records(places: DataFrame, read_rows: int = READ_ROWS) -> DataFrame:
         if f is not None:
             f.close()
 
-    slices = places.withColumn("slice", F.floor(F.col("nth") / read_rows)).repartition("package", "slice").sortWithinPartitions("package", "offset")
+    slices = places.withColumn("slice", F.floor(F.col("offset") / read_bytes)).repartition(n_tasks, "package", "slice").sortWithinPartitions("package", "offset")
     return slices.select("package", "offset", "length").mapInArrow(run, RECORD)
 
 
-def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
-    return read_records(read_index(packages))
+def read_packages(manifest: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """All records of the packages of a manifest."""
+    total = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    return read_records(read_index(manifest), 2 * (total // read_bytes) + 1, read_bytes)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     manifest = write_packages(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "archives"))
-    return read_packages(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_packages(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
