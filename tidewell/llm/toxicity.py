@@ -80,16 +80,19 @@ def chances(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
 def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_per_class: int) -> DataFrame:
     """(label of each category, weight, fold, text) of at most ``max_per_class`` rows of each class of the last category."""
     known = labels.select("doc_id", *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
-    joined = docs.select("doc_id", "text").join(known, "doc_id")
     last = categories[-1]
-    counts = {r[last]: r["n"] for r in joined.groupBy(last).agg(F.count("*").alias("n")).collect()}
+    counts = {r[last]: r["n"] for r in known.groupBy(last).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return joined.select(*categories, F.lit(1.0).alias("weight"), F.lit(0).alias("fold"), "text")
+        return docs.join(known, "doc_id").select(*categories, F.lit(1.0).alias("weight"), F.lit(0).alias("fold"), "text")
     share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, 1.2 * max_per_class / n))])
     weight = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, n / min(n, max_per_class))])
-    drawn = joined.withColumn("draw", F.xxhash64("doc_id", "text")).filter(F.pmod("draw", F.lit(1 << 20)) < share[F.col(last)] * (1 << 20))
+    drawn = known.withColumn("draw", F.xxhash64("doc_id")).filter(F.pmod("draw", F.lit(1 << 20)) < share[F.col(last)] * (1 << 20))
+    nth = F.row_number().over(W.partitionBy(last).orderBy("draw"))
+    drawn = stored(drawn.withColumn("nth", nth).filter(F.col("nth") <= max_per_class).drop("nth"), "toxicity_ids")
+    # max_per_class rows of ids and labels for each class at most, so texts needn't move to meet them
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     nth = F.row_number().over(W.partitionBy(last).orderBy("draw", "text"))
-    return drawn.withColumn("nth", nth).filter(F.col("nth") <= max_per_class).select(*categories, weight[F.col(last)].alias("weight"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    return joined.withColumn("nth", nth).filter(F.col("nth") <= max_per_class).select(*categories, weight[F.col(last)].alias("weight"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
 def _vocabulary(rows: DataFrame, categories: Sequence[str]) -> list[str]:
