@@ -28,7 +28,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, other
 
 def nearest_in_band(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], at: str, other: str, value: str, tolerance: float) -> DataFrame:
     """Each left row with the ``value`` of the closest right row in the band, the lower one on a tie, 0 if there is none."""
-    pairs = band_join(left.select(*left_id, *keys, at), right.select(*keys, other, value), keys, at, other, tolerance)
+    pairs = band_join(left.select(*dict.fromkeys([*left_id, *keys, at])), right.select(*keys, other, value), keys, at, other, tolerance)
     best = pairs.groupBy(*left_id).agg(F.min_by(F.struct(other, value), F.struct(F.abs(F.col(at) - F.col(other)), F.col(other))).alias("_b"))
     joined = left.join(best.select(*left_id, F.col(f"_b.{value}").alias("matched")), left_id, "left")
     return joined.withColumn("matched", F.coalesce("matched", F.lit(0.0)))
@@ -36,7 +36,7 @@ def nearest_in_band(left: DataFrame, right: DataFrame, keys: list[str], left_id:
 
 def most_intense_in_band(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], at: str, other: str, value: str, tolerance: float) -> DataFrame:
     """(left_id, other, value) of the most intense right row in the band, the lower one on a tie."""
-    pairs = band_join(left.select(*left_id, *keys, at), right.select(*keys, other, value), keys, at, other, tolerance)
+    pairs = band_join(left.select(*dict.fromkeys([*left_id, *keys, at])), right.select(*keys, other, value), keys, at, other, tolerance)
     best = pairs.groupBy(*left_id).agg(F.max_by(F.struct(other, value), F.struct(F.col(value), -F.col(other))).alias("_b"))
     return best.select(*left_id, f"_b.{other}", f"_b.{value}")
 

@@ -107,7 +107,7 @@ def folds(df: DataFrame, group: str, n: int = 3) -> DataFrame:
     """(group, fold): ranks of the sorted distinct groups modulo ``n``, so rows of a group stay together."""
     from tidewell.operators.dedup import renumbered
 
-    return renumbered(df.select(group).distinct(), [group], "_nth").select(group, F.pmod("_nth", F.lit(n)).cast("int").alias("fold"))
+    return renumbered(df.select(group).distinct(), [group], "_rank").select(group, F.pmod("_rank", F.lit(n)).cast("int").alias("fold"))
 
 
 def stratified_sample(df: DataFrame, x: str, y: str, order: str, size: int) -> DataFrame:

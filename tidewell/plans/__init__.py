@@ -1,6 +1,16 @@
-"""Registered queries and the SQL they are checked against."""
+"""Registered queries and the SQL they are checked against.
+
+Each module binds operators to the given tables; its QUERIES and ORACLE_SQL have equal keys
+where SQL can express the query.
+"""
 
 from __future__ import annotations
 
+from tidewell.plans import arrays, competition, grouping, matching, series, statistics, text
+
+_MODULES = (competition, matching, series, statistics, arrays, grouping, text)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
