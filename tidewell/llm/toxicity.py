@@ -83,7 +83,7 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_p
     last = categories[-1]
     counts = {r[last]: r["n"] for r in known.groupBy(last).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return docs.join(known, "doc_id").select(*categories, F.lit(1.0).alias("weight"), F.lit(0).alias("fold"), "text")
+        return docs.select("doc_id", "text").join(known, "doc_id").select(*categories, F.lit(1.0).alias("weight"), F.lit(0).alias("fold"), "text")
     share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, 1.2 * max_per_class / n))])
     weight = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, n / min(n, max_per_class))])
     drawn = known.withColumn("draw", F.xxhash64("doc_id")).filter(F.pmod("draw", F.lit(1 << 20)) < share[F.col(last)] * (1 << 20))
