@@ -124,11 +124,16 @@ def block_candidates(window_fps: DataFrame, item_fps: DataFrame) -> DataFrame:
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "tkey", "cid", "start").distinct()
 
 
-def _weights(df: DataFrame, key: list[str]) -> DataFrame:
-    """(key, shingle, times, weight): the shingles themselves, how often each occurs, and how many there are."""
+def numbered_shingles(words: Column) -> Column:
+    """The shingles themselves, each with how often it came before: sets of these overlap as the counts do."""
     k = SHINGLE_WORDS
-    each = F.transform(F.sequence(F.lit(1), F.size("words") - (k - 1)), lambda i: F.array_join(F.slice("words", i, k), " "))
-    return df.select(*key, (F.size("words") - (k - 1)).cast("long").alias("weight"), F.explode(each).alias("shingle")).groupBy(*key, "weight", "shingle").agg(F.count("*").alias("times"))
+
+    def number(each: Column) -> Column:
+        once = F.transform(each, lambda x: F.concat(x, F.lit(" 0")))
+        often = F.transform(each, lambda x, i: F.concat_ws(" ", x, F.size(F.filter(F.slice(each, F.lit(1), i), lambda y: y == x)).cast("string")))
+        return F.when(F.size(F.array_distinct(each)) == F.size(each), once).otherwise(often)
+
+    return let(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")), number)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -142,15 +147,18 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     close = stored(block_candidates(with_simhash(taken, key), with_simhash(long_items, ["cid"])), "candidates")
     same = [taken[c].eqNullSafe(close[c]) for c in key]
     candidates = taken.join(close, reduce(lambda x, y: x & y, same), "left_semi")
-    theirs = _weights(long_items, ["cid"]).select(F.col("cid").alias("i"), F.col("shingle").alias("s"), F.col("times").alias("item_times"), F.col("weight").alias("item_weight"))
-    shared = _weights(candidates, key).join(theirs, (F.col("cid") == F.col("i")) & (F.col("shingle") == F.col("s")))
-    overlap = shared.groupBy(*key, "weight", "item_weight").agg(F.sum(F.least("times", "item_times")).alias("common"))
-    scored = overlap.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).filter(F.col("similarity") >= similarity)
+    theirs = stored(long_items.select(F.col("cid").alias("i"), numbered_shingles(F.col("words")).alias("theirs")), "item_shingles")
+    # within a row: as many shingles meet as the counts share
+    common = F.size(F.array_intersect(numbered_shingles(F.col("words")), "theirs"))
+    shared = candidates.join(theirs, F.col("cid") == F.col("i")).select(*key, (F.size("words") - (SHINGLE_WORDS - 1)).cast("long").alias("weight"), F.size("theirs").alias("item_weight"), common.alias("common"))
+    scored = shared.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).filter(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "tkey", "cid").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.col("weight") + SHINGLE_WORDS - 1).alias("n_words"))).alias("b"))
     named = classes.select(F.col("cid").alias("i"), "item_id", "n_items", F.size("words").alias("length"))
     found = best.join(named.filter(F.col("length") >= SHINGLE_WORDS), (F.col("cid") == F.col("i")))
     found = found.select("doc_id", "item_id", "n_items", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_words").alias("n_words"))
     short = classes.filter(F.size("words") < SHINGLE_WORDS).select("item_id", "n_items", F.array_join("words", " ").alias("all"))
+    if short.isEmpty():
+        return found
     whole = texts.filter(F.size("words") < SHINGLE_WORDS).select("doc_id", "tkey", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("all")).distinct()
     exact = whole.join(short, "all").select("doc_id", "item_id", "n_items", F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), "n_words")
     return found.unionByName(exact)
