@@ -40,12 +40,18 @@ def _raw(targets: Column, decoys: Column, kind: str) -> Column:
     return F.when(targets == 0, F.lit(1.0)).otherwise((decoys + (1 if kind == REPORTED else 0)) / targets)
 
 
+def _frames(partition: list[str], tie: list[str]) -> tuple:
+    """All ranks up to a row, and all from it on. The second is a running frame of the reversed order: frames that end with the partition are computed anew for each row."""
+    best_first = W.partitionBy(*partition).orderBy(F.col("score").desc(), *tie)
+    worst_first = W.partitionBy(*partition).orderBy(F.col("score").asc(), *[F.col(t).desc() for t in tie])
+    return best_first.rowsBetween(W.unboundedPreceding, 0), worst_first.rowsBetween(W.unboundedPreceding, 0)
+
+
 def q_values(winners: DataFrame, tie: list[str], kind: str = REPORTED, partition: list[str] | None = None) -> DataFrame:
     """Adds ``q``: the least estimate at this rank or a worse one, 1 at most. ``partition``: ranks of their own, as of runs."""
     if not partition:
         return _global_q_values(winners, tie, kind)
-    order = W.partitionBy(*partition).orderBy(F.col("score").desc(), *tie)
-    upto, from_here = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    upto, from_here = _frames(partition, tie)
     one = F.when(F.col("decoy"), 1).otherwise(0)
     raw = winners.withColumn("_raw", _raw(F.sum(1 - one).over(upto), F.sum(one).over(upto), kind))
     return raw.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(from_here))).drop("_raw")
@@ -60,8 +66,7 @@ def _global_q_values(winners: DataFrame, tie: list[str], kind: str) -> DataFrame
     totals = ranged.groupBy("_part").agg(F.sum(1 - one).alias("t"), F.sum(one).alias("d"))
     over = W.orderBy("_part")
     before = totals.select("_part", (F.sum("t").over(over) - F.col("t")).alias("_t"), (F.sum("d").over(over) - F.col("d")).alias("_d"))
-    order = W.partitionBy("_part").orderBy(F.col("score").desc(), *tie)
-    upto, from_here = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(0, W.unboundedFollowing)
+    upto, from_here = _frames(["_part"], tie)
     raw = ranged.join(F.broadcast(before), "_part")  # a row per score range
     raw = raw.withColumn("_raw", _raw(F.col("_t") + F.sum(1 - one).over(upto), F.col("_d") + F.sum(one).over(upto), kind))
     raw = raw.withColumn("_least", F.min("_raw").over(from_here))

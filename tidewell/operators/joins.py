@@ -52,9 +52,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, ot
     theirs = first.select(*keys, "_at", F.struct("_at", "_r").alias("_here"), F.lit(None).alias("_left"))
     ours = left.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(theirs.schema["_here"].dataType).alias("_here"), F.struct(*left.columns).alias("_left"))
     merged = ours.unionByName(theirs.withColumn("_left", F.lit(None).cast(ours.schema["_left"].dataType)))
-    order = W.partitionBy(*keys).orderBy("_at")
-    before = F.last("_here", ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first("_here", ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    forth, back_again = (W.partitionBy(*keys).orderBy(o).rangeBetween(W.unboundedPreceding, W.currentRow) for o in (F.col("_at").asc(), F.col("_at").desc()))
+    before = F.last("_here", ignorenulls=True).over(forth)
+    after = F.last("_here", ignorenulls=True).over(back_again)
     placed = merged.withColumn("_b", before).withColumn("_a", after).filter(F.col("_left").isNotNull())
     back, ahead = F.col("_at") - F.col("_b._at"), F.col("_a._at") - F.col("_at")
     chosen = F.when(F.col("_a").isNull() | F.coalesce(back <= ahead, F.lit(False)), F.col("_b")).otherwise(F.col("_a"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import kernels
 
 #: Points of a fit at most: quantiles of the places beyond, so a long run's fit stays one task's work.
-MAX_POINTS = 1000
+MAX_POINTS = 200
 
 
 def fit_curves(points: DataFrame, keys: list[str], x: str, y: str, bandwidth: float = 0.3, least: int = 20) -> DataFrame:

@@ -12,8 +12,12 @@ PEAK = "apex long, peak_start long, peak_end long, height double, area double, s
 
 
 def _matrix(part: pd.DataFrame, row: str, order: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    table = part.pivot_table(index=row, columns=order, values=value, aggfunc="first", fill_value=0.0).sort_index(axis=0).sort_index(axis=1)
-    return table.to_numpy(float), table.columns.to_numpy(float)
+    """A row per distinct ``row``, a column per distinct ``order``, zeros where there is no value."""
+    rows, i = np.unique(part[row].to_numpy(), return_inverse=True)
+    places, j = np.unique(part[order].to_numpy(float), return_inverse=True)
+    y = np.zeros((len(rows), len(places)))
+    y[i, j] = part[value].to_numpy(float)
+    return y, places
 
 
 def _noise(y: np.ndarray, apex: int, start: int, end: int) -> float:
