@@ -195,3 +195,19 @@ def test_streams(spark, tmp_path):
     windows.run_once(windows.windowed_totals(stream(), ["k"], "ts", "value", "1 minute", "1 minute"), str(tmp_path / "totals"), str(tmp_path / "c2"))
     got = {(r.k, r.start.minute): (r.n, r.total) for r in spark.read.parquet(str(tmp_path / "totals")).collect()}
     assert got == {("a", 0): (2, 2.0), ("b", 0): (1, 5.0), ("a", 1): (1, 2.0), ("b", 1): (1, 1.0)}
+
+
+def test_isotopes_and_double_counts(spark):
+    from tidewell.operators import acquisition as A
+
+    atoms = spark.createDataFrame([(50, 80, 14, 16, 1)], "c int, h int, n int, o int, s int").select(F.struct("c", "h", "n", "o", "s").alias("a"))
+    got = atoms.select(A.isotope_distribution(F.col("a")).alias("d")).first().d
+    polynomial = np.ones(1)
+    for n, shares in ((50, [1 - 0.0107, 0.0107]), (80, [1 - 0.000115, 0.000115]), (14, [1 - 0.00364, 0.00364]), (16, [1 - 0.00243, 0.00038, 0.00205]), (1, [0.95, 0.0075, 0.0425])):
+        for _ in range(n):
+            polynomial = np.convolve(polynomial, shares)[:5]
+    assert got == pytest.approx(list(polynomial / polynomial.sum()), rel=1e-9)
+    rows = [(1, "w", 10.0, [1, 2, 3], 5.0), (2, "w", 10.4, [1, 2, 9], 4.0), (3, "w", 10.8, [1, 9, 2], 3.0), (4, "w", 10.2, [7, 8], 1.0), (5, "v", 10.0, [1, 2, 3], 1.0)]
+    df = spark.createDataFrame(rows, "id long, win string, at double, f array<int>, score double")
+    out = A.without_double_counts(df, ["win"], "id", "at", "f", "score", 0.5)
+    assert sorted(r.id for r in out.collect()) == [1, 3, 4, 5]

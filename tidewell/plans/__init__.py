@@ -6,9 +6,9 @@ where SQL can express the query.
 
 from __future__ import annotations
 
-from tidewell.plans import arrays, competition, grouping, kernels, matching, series, statistics, text
+from tidewell.plans import acquisition, arrays, competition, grouping, kernels, matching, series, statistics, text
 
-_MODULES = (competition, matching, series, statistics, arrays, grouping, text, kernels)
+_MODULES = (acquisition, competition, matching, series, statistics, arrays, grouping, text, kernels)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
