@@ -38,16 +38,16 @@ def band(spark, sf_dir):
 
 
 def nearest_value(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").cast("double").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").cast("double").alias("q")).distinct()
     theirs = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_partkey", F.col("l_quantity").cast("double").alias("q2")).agg(F.max("l_extendedprice").alias("price"))
-    out = joins.nearest_in_band(lines, theirs, ["l_partkey"], LINE, "q", "q2", "price", 2.0)
+    out = joins.nearest_in_band(lines, theirs, ["l_partkey"], [*LINE, "q"], "q", "q2", "price", 2.0)
     return out.select(*LINE, "matched")
 
 
 def most_intense(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").cast("double").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").cast("double").alias("q")).distinct()
     theirs = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").groupBy("l_partkey", F.col("l_quantity").cast("double").alias("q2")).agg(F.max("l_extendedprice").alias("price"))
-    return joins.most_intense_in_band(lines, theirs, ["l_partkey"], LINE, "q", "q2", "price", 2.0)
+    return joins.most_intense_in_band(lines, theirs, ["l_partkey"], [*LINE, "q"], "q", "q2", "price", 2.0)
 
 
 def event_kinds(spark, sf_dir):
@@ -138,8 +138,8 @@ ORACLE_SQL = {
     "join_interval": f"WITH {RANGES} SELECT p_partkey, k FROM part JOIN k ON p_retailprice >= k * 12.5 - 12.5 AND p_retailprice < k * 12.5 + 12.5",
     "join_interval_closed": f"WITH {RANGES} SELECT k, count(*) AS n FROM part JOIN k ON p_retailprice BETWEEN k * 12.5 - 12.5 AND k * 12.5 + 12.5 GROUP BY k",
     "join_band": "SELECT a.l_partkey, count(*) AS n, sum(abs(a.l_quantity::DOUBLE - b.l_quantity::DOUBLE)) AS distance FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND b.l_returnflag = 'R' AND abs(a.l_quantity::DOUBLE - b.l_quantity::DOUBLE) <= 1 GROUP BY a.l_partkey",
-    "join_nearest_in_band": f"WITH {Q} SELECT l_orderkey, l_linenumber, l.l_partkey, l_suppkey, coalesce(arg_min(price, (abs(q - q2), q2)), 0.0) AS matched FROM l LEFT JOIN t ON l.l_partkey = t.l_partkey AND abs(q - q2) <= 2 GROUP BY l_orderkey, l_linenumber, l.l_partkey, l_suppkey",
-    "join_most_intense_in_band": f"WITH {Q} SELECT l_orderkey, l_linenumber, l.l_partkey, l_suppkey, arg_max(q2, (price, -q2)) AS q2, max(price) AS price FROM l JOIN t ON l.l_partkey = t.l_partkey AND abs(q - q2) <= 2 GROUP BY l_orderkey, l_linenumber, l.l_partkey, l_suppkey",
+    "join_nearest_in_band": f"WITH {Q} SELECT l_orderkey, l_linenumber, l.l_partkey, l_suppkey, coalesce(arg_min(price, (abs(q - q2), q2)), 0.0) AS matched FROM l LEFT JOIN t ON l.l_partkey = t.l_partkey AND abs(q - q2) <= 2 GROUP BY l_orderkey, l_linenumber, l.l_partkey, l_suppkey, q",
+    "join_most_intense_in_band": f"WITH {Q} SELECT l_orderkey, l_linenumber, l.l_partkey, l_suppkey, q, arg_max(q2, (price, -q2)) AS q2, max(price) AS price FROM l JOIN t ON l.l_partkey = t.l_partkey AND abs(q - q2) <= 2 GROUP BY l_orderkey, l_linenumber, l.l_partkey, l_suppkey, q",
     "join_nearest": f"WITH {EVENTS}, {NEAREST} SELECT event_id, other_id FROM n WHERE k = 1",
     "join_nearest_within": f"WITH {EVENTS}, {NEAREST} SELECT event_id, CASE WHEN d <= 86400000000 THEN other_id END AS other_id FROM n WHERE k = 1",
     "join_gaps": "SELECT c_custkey, o_orderpriority FROM customer, (SELECT DISTINCT o_orderpriority FROM orders) EXCEPT SELECT o_custkey, o_orderpriority FROM orders",
