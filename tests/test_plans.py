@@ -22,9 +22,11 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
-        return f"{v:.6g}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            return str(int(v)) if v.is_integer() else f"{v:.6g}"
+        return str(v)
 
     return sorted(tuple(one(v) for v in row) for row in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
