@@ -103,5 +103,7 @@ def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place:
         return pd.DataFrame({"_gone": sorted(gone)})
 
     kind = dict(rows.dtypes)[row_id]
-    gone = linked.groupBy("root").applyInPandas(turns, f"_gone {kind}")
+    # parts don't touch each other, so many are run through together: most are a few rows
+    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = linked.groupBy(F.pmod(F.xxhash64("root"), F.lit(n)).alias("part")).applyInPandas(turns, f"_gone {kind}")
     return rows.join(gone, F.col(row_id) == F.col("_gone"), "left_anti")
