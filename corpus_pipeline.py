@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontamination, langid, mixing, sharding, simhash
+from tidewell.llm import decontamination, langid, mixing, near_copies, sharding
 from tidewell.storage import stored
 
 
@@ -14,8 +14,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies (five words, similarity 0.8) stays, that with the smallest id."""
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
