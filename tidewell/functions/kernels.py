@@ -171,22 +171,27 @@ def discriminant(x: np.ndarray, positive: np.ndarray) -> np.ndarray | None:
     return w / norm if norm > 0 else w
 
 
-def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray) -> np.ndarray:
-    """Chance of an error at each score of ``grid``: from Gaussian densities of both classes, never rising with the score."""
+def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """Chance of an error at each score of ``grid``: from Gaussian densities of both classes, never rising with the score.
 
-    def density(values: np.ndarray) -> np.ndarray:
-        spread = values.std(ddof=1) if len(values) > 1 else 0.0
-        width = max(spread * (4 / (3 * len(values))) ** 0.2, 1e-6)
-        counts, edges = np.histogram(values, bins=min(4096, max(64, len(values))))
+    ``counts`` says how many rows each score stands for; one each by default.
+    """
+    rows = np.ones(len(scores)) if counts is None else counts.astype(float)
+
+    def density(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        n = weights.sum()
+        spread = np.sqrt(weights @ (values - (weights @ values) / n) ** 2 / (n - 1)) if n > 1 else 0.0
+        width = max(spread * (4 / (3 * n)) ** 0.2, 1e-6)
+        held_rows, edges = np.histogram(values, bins=int(min(4096, max(64, n))), weights=weights)
         centers = (edges[1:] + edges[:-1]) / 2
-        held = counts > 0
+        held = held_rows > 0
         z = (grid[:, None] - centers[held][None, :]) / width
-        return (np.exp(-z * z / 2) @ counts[held]) / (len(values) * width * np.sqrt(2 * np.pi))
+        return (np.exp(-z * z / 2) @ held_rows[held]) / (n * width * np.sqrt(2 * np.pi))
 
     if decoy.all() or not decoy.any():
         return np.full(len(grid), 1.0 if decoy.all() else 0.0)
-    wrong = float(np.clip(decoy.sum() / max((~decoy).sum(), 1), 0.01, 0.99))
-    bad, good = density(scores[decoy]) * wrong, density(scores[~decoy]) * (1 - wrong)
+    wrong = float(np.clip(rows[decoy].sum() / max(rows[~decoy].sum(), 1), 0.01, 0.99))
+    bad, good = density(scores[decoy], rows[decoy]) * wrong, density(scores[~decoy], rows[~decoy]) * (1 - wrong)
     return falling(np.divide(bad, bad + good, out=np.ones(len(grid)), where=bad + good > 0))
 
 

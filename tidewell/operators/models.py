@@ -90,9 +90,8 @@ def error_chances(winners: DataFrame) -> DataFrame:
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         low, high = part["_lo"].iloc[0], part["_hi"].iloc[0]
         grid = np.linspace(low, high, GRID)
-        at = np.repeat(part["_cell"].to_numpy(int), np.minimum(part["n"].to_numpy(int), 10**6))
-        decoy = np.repeat(part["decoy"].to_numpy(bool), np.minimum(part["n"].to_numpy(int), 10**6))
-        return pd.DataFrame({"_cell": np.arange(GRID, dtype=np.int32), "pep": kernels.error_chances(grid, grid[np.clip(at, 0, GRID - 1)], decoy)})
+        at, decoy = part["_cell"].to_numpy(int), part["decoy"].to_numpy(bool)
+        return pd.DataFrame({"_cell": np.arange(GRID, dtype=np.int32), "pep": kernels.error_chances(grid, grid[np.clip(at, 0, GRID - 1)], decoy, part["n"].to_numpy(int))})
 
     table = cells.groupBy("_lo", "_hi").applyInPandas(fit, "_cell int, pep double")
     return placed.join(F.broadcast(table), "_cell").drop("_cell", "_lo", "_hi")  # GRID rows
