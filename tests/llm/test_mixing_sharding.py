@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
@@ -30,6 +31,32 @@ def targets(sizes: dict) -> dict:
         capped |= over
 
 
+def brute(rows, want, packet=1024):
+    """(doc_id, source, size, words taken) of each document and epoch: the sequence of packets by finish time up to the budget."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted(range(len(rows)), key=lambda i: (md5(f"mix|{'null' if rows[i][0] is None else rows[i][0]}|{md5(rows[i][1] or '')}"), rows[i][0] or -1))
+    through, packets, budget = Counter(), [], sum(size(r[1]) for r in rows)
+    total = Counter()
+    for r in rows:
+        total[r[2]] += size(r[1])
+    for nth, i in enumerate(order):
+        n, source = size(rows[i][1]), rows[i][2]
+        for epoch in range(3):
+            for begin in range(0, n, packet):
+                words = min(packet, n - begin)
+                packets.append(((epoch * total[source] + through[source] + begin + words) / want[source], source is None, source or "", epoch, nth, begin, words, i))
+        through[source] += n
+    taken = Counter()
+    for *_, epoch, _, _, words, i in sorted(packets):
+        got = min(words, budget)
+        budget -= got
+        if got:
+            taken[i, epoch] += got
+    served = {i for i, _ in taken}
+    return Counter((rows[i][0], rows[i][2], size(rows[i][1]), n) for (i, _), n in taken.items()) + Counter((r[0], r[2], size(r[1]), 0) for i, r in enumerate(rows) if i not in served)
+
+
 def test_mix(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA).repartition(5)
     rows = mixing.mix(docs).collect()
@@ -40,11 +67,10 @@ def test_mix(spark):
     for r in rows:
         taken[r.source] += r.taken
         assert r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] and r.taken <= r.size
+    assert sum(taken.values()) == sum(sizes.values())
     for s, t in want.items():
-        assert 0 <= t - taken[s] < 1 + 1e-6
-    placed = sorted((r.position, r.taken) for r in rows if r.position is not None)
-    assert all(p + t == q for (p, t), (q, _) in zip(placed, placed[1:]))
-    assert [r.finish for r in sorted((r for r in rows if r.position is not None), key=lambda r: r.position)] == sorted(r.finish for r in rows if r.finish is not None)
+        assert abs(t - taken[s]) <= sum(min(sizes[x], mixing.PACKET) for x in sizes)
+    assert Counter((r.doc_id, r.source, r["size"], r.taken) for r in rows) == brute(ROWS, want)
     again = mixing.mix(docs.repartition(3)).collect()
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
@@ -59,6 +85,45 @@ def test_mixed_rows_and_empty(spark):
     assert mixing.mix(docs.filter("text IS NULL")).agg(F.sum("taken")).first()[0] == 0
 
 
+def whole(docs):
+    return Counter(tuple(r)[: len(SCHEMA.split(",")) + 1] for r in docs.collect())
+
+
+ALIKE = [(1, None, "a", 1), (1, "", "b", 2), (1, "", None, 2), (2, "t", "c", 3), (2, "t", "d", 3), (None, "t", "d", 3), (2, "t", "d", 3), (3, "null", "e", None)]
+
+
+def test_rows_that_differ_in_other_columns_only(spark):
+    docs = spark.createDataFrame(ALIKE, "doc_id long, text string, source string, _x int").repartition(3)
+    out = sharding.shard_rows(docs, 2, carry=True)
+    assert Counter(tuple(r)[:4] for r in out.collect()) == Counter(ALIKE)
+    assert sorted((r.shard, r.slot) for r in out.collect()) == [(s, i) for s in range(2) for i in range(4)]
+    copies = Counter(tuple(r) for r in mixing.mixed(docs).collect())
+    assert set(copies) <= {r for r in ALIKE if r[1]}
+    assert sum(copies.values()) == 5 and {r for r in ALIKE if r[2] == "d"} <= set(copies)
+
+
+def test_lines_and_levels(spark):
+    """One partition in many lines, so that the matrix is drawn on several levels."""
+    docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = sharding.shard_rows(docs, 7, line_bits=1).collect()
+    assert len({r.doc_id for r in rows}) == 3000
+    by = Counter(r.shard for r in rows)
+    assert max(by.values()) - min(by.values()) <= 1
+    for s in by:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(by[s]))
+    near = sum(a.shard == b.shard for a, b in zip(sorted(rows, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r.doc_id)[1:]))
+    assert abs(near - 2999 / 7) < 5 * (2999 / 7) ** 0.5
+    assert sorted(map(tuple, sharding.shard_rows(docs, 7, line_bits=1).collect())) == sorted(map(tuple, rows))
+
+
+def test_write_shards(spark, tmp_path):
+    docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "out"), file_rows=5, n_shards=4)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in ROWS)
+    assert len(list((tmp_path / "out").glob("shard=0/*.parquet"))) >= len(ROWS) // 4 // 5
+
+
 def test_shards(spark):
     docs = spark.createDataFrame(ROWS, SCHEMA).repartition(7)
     rows = sharding.shard_rows(docs).collect()

@@ -2,18 +2,23 @@
 
 Each source is a queue of its documents in shuffled order, served at a rate in
 proportion to its target. A document's virtual finish time is the words its source
-has served up to and with it, divided by the target, so at virtual time 1 every
-source has served its target and all together the total budget. Documents are
-sorted by that time over all sources and the sequence ends at the budget: a
-document in service then gives the words served so far. A source whose target is
-above its size starts over, up to ``max_epochs`` times.
+has served up to and with it, divided by the target; a source starts over when it is
+through, up to ``max_epochs`` times. All documents are range-sorted by that time over all
+sources, and the mix is the sequence up to the total budget, the words of all sources:
+what stands at the budget gives the words that are left, and nothing after it is taken.
+
+Documents of over PACKET words are served in packets of that many, each with its own
+finish time, so no long document holds up the others: each source's words differ from
+its target by little more than a packet of each source.
 
 Running sums are made in two steps, totals of small ranges first and rows within a
-range second, so no source and no sort lands in one task.
+range second, so no source and no sort lands in one task. The totals also say which
+ranges the budget reaches, and only these are sorted.
 
 Defined cases: a null text has no words; a null source is a source of its own, the
-last one; sources without words have target 0; rows without words take nothing;
-rows equal in id and text are separate rows; an empty table gives an empty result.
+last one; sources without words have target 0; rows without words take nothing; ids may
+be null or repeat, and rows equal in id and text are separate rows; an empty table gives
+an empty result; other columns are ignored by ``mix`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -24,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.llm.rows import KEY, attach, row_key
+from tidewell.llm.rows import KEY, attach, row_key, shuffle_key
 from tidewell.storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix"
+#: Words of a document that are served at once.
+PACKET = 1024
 #: Rows that a range of a running sum has, about.
 RANGE_ROWS = 16_384
 
@@ -68,51 +75,65 @@ def _ranges(rows: int) -> int:
     return 1 << max(0, (max(rows, 1) // RANGE_ROWS).bit_length())
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per document and epoch that the mix takes words of, and one (epoch null) per document it takes none of.
-
-    Columns: _row_key, row_range, row_no (with source: the document's row), doc_id, source, size,
-    source_size, target, epoch (from 0), finish (virtual), taken, position (words of the
-    mix before it).
-    """
-    key = row_key(id_col, text_col, seed)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), row_key(id_col, text_col).alias(KEY))
+def _queued(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], max_epochs: int, seed: str, named: bool) -> DataFrame:
+    """Each row with its place in its source's queue: ``start`` words are served before it in an epoch."""
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+        shuffle_key(id_col, text_col, seed).alias("key"),
+        (row_key(docs) if named else F.lit("")).alias(KEY),
+    )
     sized = stored(sized, "sizes")
     targets = stored(source_targets(sized, weights, max_epochs), "targets")
     n = _ranges(sized.count())
-    ranged = sized.withColumn("row_range", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n / F.lit(16**7))
-    ranged = ranged.withColumn("row_range", F.floor("row_range"))
+    ranged = sized.withColumn("row_range", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n / F.lit(16**7)))
     offsets = ranged.groupBy("source", "row_range").agg(F.sum("size").alias("words"))
     offsets = offsets.select("source", "row_range", (F.sum("words").over(W.partitionBy("source").orderBy("row_range")) - F.col("words")).alias("offset"))
-    in_range = W.partitionBy("source", "row_range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    in_range = W.partitionBy("source", "row_range").orderBy("key", "doc_id", "size", KEY).rowsBetween(W.unboundedPreceding, W.currentRow)
     queued = ranged.withColumn("row_no", F.count("*").over(in_range)).withColumn("through", F.sum("size").over(in_range))
     same_range = queued["source"].eqNullSafe(offsets["source"]) & (queued["row_range"] == offsets["row_range"])
     queued = queued.join(offsets, same_range).drop(offsets["source"]).drop(offsets["row_range"])
     queued = queued.join(targets, queued["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    budget = F.floor("target")
-    epochs = F.when((F.col("size") > 0) & (budget > 0), F.sequence(F.lit(0), F.least(F.lit(max_epochs - 1), F.floor((budget - 1) / F.col("source_size"))).cast("int")))
-    served = queued.withColumn("start", F.col("offset") + F.col("through") - F.col("size")).select("*", F.explode_outer(F.filter(epochs, lambda e: e * F.col("source_size") + F.col("start") < budget)).alias("epoch"))
-    begun = F.col("epoch") * F.col("source_size") + F.col("start")
-    served = served.select(
-        KEY, "row_range", "row_no", "doc_id", "source", "size", "source_size", "target", "epoch",
-        ((begun + F.col("size")) / F.col("target")).alias("finish"),
-        F.when(begun.isNull(), 0).otherwise(F.least(F.col("size"), budget - begun)).cast("long").alias("taken"),
-    )
+    return stored(queued.withColumn("start", F.col("offset") + F.col("through") - F.col("size")).drop("key", "offset", "through"), "queued")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, named: bool = False) -> DataFrame:
+    """One row per document and epoch that the mix takes words of, and one (epoch null) per document it takes none of.
+
+    Columns: _row_key (with ``named``), row_range, row_no (with source: the document's row),
+    doc_id, source, size, source_size, target, epoch (from 0), finish (virtual, of the last
+    packet taken), taken, position (words of the mix before it).
+    """
+    queued = _queued(docs, id_col, text_col, source_col, weights, max_epochs, seed, named)
+    budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    begins = F.when((F.col("size") > 0) & (F.col("target") > 0), F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(PACKET).cast("long")))
+    epochs = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))
+    packets = queued.withColumn("epoch", epochs).withColumn("begin", F.explode(begins)).withColumn("words", F.least(F.lit(PACKET).cast("long"), F.col("size") - F.col("begin")))
+    packets = packets.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("start") + F.col("begin") + F.col("words")) / F.col("target"))
+    # in each stretch of virtual time all sources together serve about the same number of words, so these ranges are even
+    slices = _ranges(queued.count() + budget // PACKET)
+    packets = packets.withColumn("slice", F.floor(F.col("finish") * slices))
+    totals = packets.groupBy("slice").agg(F.sum("words").alias("words"))
+    reached = totals.select("slice", (F.sum("words").over(W.orderBy("slice")) - F.col("words")).alias("before")).filter(F.col("before") < budget)
+    reached = stored(reached, "reached_slices")
+    in_slice = W.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "row_range", "row_no", "begin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sequence = packets.join(reached, "slice").withColumn("upto", F.sum("words").over(in_slice))
+    sequence = sequence.withColumn("position", F.col("before") + F.col("upto") - F.col("words")).filter(F.col("position") < budget)
+    taken = F.least(F.col("words"), F.lit(budget) - F.col("position"))
+    row = [KEY, "row_range", "row_no", "doc_id", "source", "size", "source_size", "target"]
+    served = sequence.groupBy(*row, "epoch").agg(F.max("finish").alias("finish"), F.sum(taken).alias("taken"), F.min("position").alias("position"))
     served = stored(served, "served")
-    slices = _ranges(served.count())
-    # in each stretch of virtual time all sources together serve the same number of words, so these ranges are even
-    timed = served.filter("epoch IS NOT NULL").withColumn("slice", F.floor(F.col("finish") * slices))
-    before = timed.groupBy("slice").agg(F.sum("taken").alias("words"))
-    before = before.select("slice", (F.sum("words").over(W.orderBy("slice")) - F.col("words")).alias("before"))
-    in_slice = W.partitionBy("slice").orderBy("finish", F.col("source").asc_nulls_last(), "epoch", "row_range", "row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = timed.withColumn("upto", F.sum("taken").over(in_slice)).join(before, "slice").withColumn("position", F.col("before") + F.col("upto") - F.col("taken"))
-    return placed.drop("slice", "before", "upto").unionByName(served.filter("epoch IS NULL").withColumn("position", F.lit(None).cast("long")))
+    got = served.select("source", "row_range", "row_no").distinct()
+    same = queued["source"].eqNullSafe(got["source"]) & (queued["row_range"] == got["row_range"]) & (queued["row_no"] == got["row_no"])
+    unserved = queued.join(got, same, "left_anti").select(*row, *[F.lit(None).cast(t).alias(c) for c, t in (("epoch", "int"), ("finish", "double"))], F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("position"))
+    return served.unionByName(unserved)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of the mix, whole: a document for each epoch that takes half of its words or more."""
-    copies = mix(docs, id_col, text_col, source_col, **options).filter((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size")))
-    return attach(docs, copies.select(KEY), id_col, text_col)
+    copies = mix(docs, id_col, text_col, source_col, named=True, **options).filter((F.col("size") > 0) & (F.col("taken") * 2 >= F.col("size")))
+    return attach(docs, copies.select(KEY))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -140,15 +161,18 @@ q AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
   WINDOW o AS (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)),
 c AS (
-  SELECT *, epoch * source_size + start AS begun, (epoch * source_size + start + size) / target AS finish
+  SELECT *, epoch * source_size + start AS begun, unnest(range(0, size, 1024)) AS first
   FROM q, (VALUES (0), (1), (2)) e(epoch)
-  WHERE size > 0 AND epoch * source_size + start < floor(target)),
+  WHERE size > 0 AND target > 0),
 m AS (
-  SELECT *, least(size, floor(target)::BIGINT - begun) AS part FROM c),
+  SELECT *, least(1024, size - first) AS words, (begun + first + least(1024, size - first)) / target AS finish FROM c),
 o AS (
-  SELECT *, (sum(part) OVER (ORDER BY finish, source NULLS LAST, epoch, nth ROWS UNBOUNDED PRECEDING))::BIGINT - part AS position FROM m),
+  SELECT *, (sum(words) OVER (ORDER BY finish, source NULLS LAST, epoch, nth, first ROWS UNBOUNDED PRECEDING))::BIGINT - words AS position FROM m),
+b AS (
+  SELECT coalesce(sum(size), 0)::BIGINT AS budget FROM d),
 g AS (
-  SELECT source, nth, sum(part)::BIGINT AS taken, min(position) AS first_position FROM o GROUP BY source, nth)
+  SELECT source, nth, sum(least(words, budget - position))::BIGINT AS taken, min(position) AS first_position
+  FROM o, b WHERE position < budget GROUP BY source, nth)
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(g.taken, 0) AS taken, g.first_position
 FROM q LEFT JOIN g ON q.source IS NOT DISTINCT FROM g.source AND q.nth = g.nth
 """

@@ -1,15 +1,20 @@
 """Sharding by a hypergeometric communication matrix (DataFrame functions only).
 
-A uniform shuffle of all rows into shards of exact sizes, without a global sort.
-Row counts of the input's partitions and sizes of the shards decide the law of the
-matrix that says how many rows each partition sends to each shard; that matrix is
-drawn first. Then each partition permutes its rows and deals them out by its line of
-the matrix, and each shard permutes what it has got. Any division of the rows into
-shards is equally likely, so rows of equal text spread over the shards like others.
+A uniform shuffle of all rows into shards of exact sizes, without a global sort. The
+input's partitions, in stretches of LINE_ROWS rows, are the lines of a matrix that says
+how many rows each line sends to each shard. Its law follows from the rows of the lines
+and the sizes of the shards, and it is drawn first: in a tree, so that each draw deals
+the rows of a node out among a few children, and draws of one level run side by side.
+Then each line permutes its rows and deals them out by its row of the matrix, and each
+shard permutes what it has got, in ranges of slots that are themselves drawn. Any division
+of the rows into shards is equally likely, so rows of equal text spread over the shards
+like others.
 
 Defined cases: a null text has no bytes (size 1, crc 0); null and repeated ids are
-rows like others; fewer rows than shards leave shards empty; an empty table gives an
-empty result; other columns are ignored.
+rows like others, told apart by all their columns; fewer rows than shards leave shards
+empty; an empty table gives an empty result; other columns are ignored, and kept with
+``carry``. Reruns agree as long as the input is read in the same partitions, as the
+files of a table are.
 """
 
 from __future__ import annotations
@@ -22,8 +27,10 @@ from tidewell.llm.rows import KEY, attach, let, row_key
 from tidewell.storage import stored
 
 N_SHARDS = 16
-#: Lines of the matrix at most; partitions beyond that share a line.
-MAX_LINES = 1024
+#: Rows of a line at most, as a power of two.
+LINE_BITS = 14
+#: Children of a node in the tree of draws, about, as a power of two.
+FAN_BITS = 5
 SEED = 10
 #: Rows that a range of a shard's second permutation has, about.
 RANGE_ROWS = 16_384
@@ -79,33 +86,49 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     return F.when((total > 0) & (drawn > 0) & (marked > 0), let(let(first, ends), draw)).otherwise(F.lit(0)).cast("long")
 
 
-def communication_matrix(lines: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
-    """(line, ends): how many rows the line sends to shards up to each; ``lines`` has (line, rows), at most MAX_LINES of them.
+def _deal(rooms: DataFrame, children: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """(child, sent): each parent's room (rows to send to each shard) dealt out among its children (parent, child, rows).
 
-    Lines are drawn one after another, each from what the ones before have left of the shards.
+    Children are drawn one after another, each from what the ones before have left.
     """
-    total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["rows"])
-    room = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda s: (F.floor(total / n_shards) + F.when(s < total % n_shards, 1).otherwise(0)).cast("long"))
     none = F.array().cast("array<bigint>")
 
-    def line(state: Column, x: Column) -> Column:
+    def one(state: Column, x: Column) -> Column:
         def shard(a: Column, s: Column) -> Column:
             k = F.element_at(state.room, s)
-            got = hypergeometric(a.total, k, a["rows"], _uniform(F.lit(seed), x.line, s))
+            got = hypergeometric(a.total, k, a["rows"], _uniform(F.lit(seed), x.child, s))
             return let(got, lambda g: F.struct((a.total - k).alias("total"), (a["rows"] - g).alias("rows"), F.concat(a.sent, F.array(g)).alias("sent")))
 
         left = F.aggregate(state.room, F.lit(0).cast("long"), lambda a, r: a + r)
         start = F.struct(left.alias("total"), x["rows"].alias("rows"), none.alias("sent"))
         sent = F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, shard).sent
-        return let(sent, lambda g: F.struct(F.zip_with(state.room, g, lambda r, y: r - y).alias("room"), F.concat(state.out, F.array(F.struct(x.line.alias("line"), g.alias("sent")))).alias("out")))
+        return let(sent, lambda g: F.struct(F.zip_with(state.room, g, lambda r, y: r - y).alias("room"), F.concat(state.out, F.array(F.struct(x.child.alias("child"), g.alias("sent")))).alias("out")))
+
+    start = F.struct(F.col("room"), F.array().cast("array<struct<child:bigint,sent:array<bigint>>>").alias("out"))
+    each = children.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("child", "rows"))).alias("children")).join(rooms, "parent")
+    return each.select(F.explode(F.aggregate("children", start, one).out).alias("x")).select("x.child", "x.sent")
 
-    start = F.struct(room.alias("room"), F.array().cast("array<struct<line:bigint,sent:array<bigint>>>").alias("out"))
-    drawn = lines.agg(F.array_sort(F.collect_list(F.struct("line", "rows"))).alias("lines")).select(F.explode(F.aggregate("lines", start, line).out).alias("x"))
-    ends = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda s: F.aggregate(F.slice("x.sent", F.lit(1), s), F.lit(0).cast("long"), lambda a, y: a + y))
-    return drawn.select("x.line", ends.alias("ends"))
 
+def communication_matrix(lines: DataFrame, n_shards: int, seed: int = SEED) -> DataFrame:
+    """(line, ends): how many rows the line sends to shards up to each; ``lines`` has (line, rows).
 
-def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, carry: bool = False) -> DataFrame:
+    Lines hang below nodes by the last bits of their hash, FAN_BITS more on each level.
+    """
+    lines = stored(lines.withColumn("hash", F.xxhash64(F.lit(seed), "line")), "lines")
+    count, total = lines.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    levels = max(0, (count - 1).bit_length() - 1) // FAN_BITS
+    node = lambda level: F.col("hash").bitwiseAND(F.lit((1 << FAN_BITS * level) - 1))
+    spark = lines.sparkSession
+    rooms = spark.range(1).select(F.col("id").alias("parent"), F.array(*[F.lit(total // n_shards + (s < total % n_shards)).cast("long") for s in range(n_shards)]).alias("room"))
+    for level in range(1, levels + 1):
+        children = lines.groupBy(node(level - 1).alias("parent"), node(level).alias("child")).agg(F.sum("rows").alias("rows"))
+        rooms = stored(_deal(rooms, children, n_shards, seed + level), f"matrix_{level}").select(F.col("child").alias("parent"), F.col("sent").alias("room"))
+    drawn = _deal(rooms, lines.select(node(levels).alias("parent"), F.col("line").alias("child"), "rows"), n_shards, seed)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda s: F.aggregate(F.slice("sent", F.lit(1), s), F.lit(0).cast("long"), lambda a, y: a + y))
+    return drawn.select(F.col("child").alias("line"), ends.alias("ends"))
+
+
+def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, carry: bool = False, line_bits: int = LINE_BITS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot for each row of ``docs``; with ``carry``, all its columns, shard and slot.
 
     Decisions are made on narrow rows; with ``carry`` the texts are joined to them last and move once.
@@ -115,12 +138,12 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id"
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.spark_partition_id(), F.lit(MAX_LINES)).cast("long").alias("line"),
-        *([row_key(id_col, text_col).alias(KEY)] if carry else []),
+        F.shiftright(F.monotonically_increasing_id(), line_bits).alias("line"),
+        (row_key(docs) if carry else F.lit("")).alias(KEY),
     )
-    placed = stored(narrow, "placed")  # which partition a row was in must not change with a repeated task
+    placed = stored(narrow, "placed")  # which line a row was in must not change with a repeated task
     matrix = stored(communication_matrix(placed.groupBy("line").agg(F.count("*").alias("rows")), n_shards, seed), "matrix")
-    local = W.partitionBy("line").orderBy(F.xxhash64(F.lit(seed), "line", "doc_id", "size", "text_crc32"), "doc_id", "text_crc32")
+    local = W.partitionBy("line").orderBy(F.xxhash64(F.lit(seed), "line", "doc_id", "size", "text_crc32", KEY), "doc_id", "text_crc32", KEY)
     dealt = placed.withColumn("nth", F.row_number().over(local)).join(matrix, "line")
     dealt = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("nth")))).drop("ends")
     n = 1 << max(0, (max(placed.count(), 1) // n_shards // RANGE_ROWS).bit_length())
@@ -132,14 +155,16 @@ def shard_rows(docs: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id"
     permuted = dealt.withColumn("slot", F.row_number().over(W.partitionBy("shard", "range").orderBy("draw", "line", "nth")) - 1).join(starts, ["shard", "range"])
     permuted = permuted.withColumn("slot", (F.col("first") + F.col("slot")).cast("long"))
     if carry:
-        return attach(docs, permuted.select(KEY, "shard", "slot"), id_col, text_col)
+        return attach(docs, permuted.select(KEY, "shard", "slot"))
     return permuted.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """``docs`` under ``path``, a folder per shard, in slot order."""
-    rows = shard_rows(docs, carry=True, **options)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, file_rows: int = RANGE_ROWS, **options) -> None:
+    """``docs`` under ``path``, a folder per shard; each file holds ``file_rows`` rows of following slots, in order."""
+    rows = shard_rows(docs, carry=True, **options).withColumn("_part", F.floor(F.col("slot") / file_rows))
+    parts = rows.select("shard", "_part").distinct().count()
+    sorted_rows = rows.repartition(max(parts, 1), "shard", "_part").sortWithinPartitions("shard", "slot").drop("_part")
+    sorted_rows.write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
