@@ -78,3 +78,37 @@ def test_empty_tables(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert D.contaminated(d.limit(0), i).count() == 0
     assert D.contaminated(d, i.limit(0)).count() == 0
+
+
+def test_rows_are_dropped_by_their_text(spark):
+    """Ids that are null or repeat neither save a row nor cost one; null and empty texts stay."""
+    item = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "a clean text of some words here", "x"), (1, "before " + item + " after", "y"), (None, item, "z"), (None, "also clean and without id", None), (2, None, "n"), (2, "", "e"), (3, item, "p"), (3, item, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tkey string")
+    kept = D.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], *rows[3:6]], key=str)
+
+
+def test_long_items(spark):
+    """An item of 1,000 words with repeats, in a longer text with every 60th word changed."""
+    rnd = random.Random(4)
+    item = [f"w{rnd.randrange(300)}" for _ in range(1000)] + ["la"] * 12
+    leak = [w if i % 60 else "zz" for i, w in enumerate(item)]
+    far = [w if i % 9 else "zz" for i, w in enumerate(item)]
+    pad = [f"p{i}" for i in range(500)]
+    docs = [(1, " ".join(pad + leak + pad)), (2, " ".join(pad + far)), (3, " ".join(pad))]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    want = {r[:4] for r in brute([docs[0][:1] + (" ".join(leak),)], [(7, " ".join(item))])}
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and {r[3] for r in want} == {got[0].similarity} and got[0].start_word in (500, 501)
+
+
+def test_blocks_find_the_items(spark):
+    """Items come from the index of blocks: within the radius all that share an anchor, beyond it none."""
+    item_fps = spark.createDataFrame([(1, 0), (2, (1 << 24) - 1)], "cid long, fp long")
+    anchored = spark.createDataFrame([(5, 1, 9), (5, 2, 9), (6, 2, 8)], "h long, cid long, length int")
+    taken = spark.createDataFrame([("a", 0, 9, 5), ("a", 0, 8, 6)], "tkey string, start int, length int, h long")
+    fps = spark.createDataFrame([("a", 0, 9, 3), ("a", 0, 8, (1 << 23) - 1)], "tkey string, start int, length int, fp long")
+    got = {tuple(r) for r in D.block_candidates(taken, fps, anchored, item_fps).collect()}
+    assert got == {("a", 0, 9, 1), ("a", 0, 9, 2), ("a", 0, 8, 2)}
+    off = spark.createDataFrame([("a", 0, 9, -1), ("a", 0, 8, -1)], fps.schema)
+    assert D.block_candidates(taken, off, anchored, item_fps).count() == 0

@@ -6,20 +6,26 @@ or more with it: five-word shingles, lower-cased, each weighted by how often it
 shared weight by united weight.
 
 1. Where a window can reach that similarity it holds one at least of any 1/5 of the
-   item's shingles. Of each item the rarest such part is looked up for every shingle of
-   every document, and all windows around a hit that begin with a shingle of the item or
-   end the document are taken; no other window can be the best.
-2. Windows and items get a 64-bit SimHash. Its 8 blocks of 8 bits are indexed on the
-   items' side under all values up to 2 bits off, which guarantees that every pair up to
-   RADIUS = 23 bits apart meets in one block. Pairs at the similarity limit are about 10
-   bits apart with a standard deviation of 3.
+   item's shingles. The rarest such part of each item are its anchors: all shingles of all
+   documents are looked up among the anchors, which say no more than how long their items
+   are. Windows of that length around a hit are taken that begin with a shingle of an item
+   or end the document; no other window can be the best.
+2. Windows and items get a 64-bit SimHash, and windows find items by it alone: its 8
+   blocks of 8 bits are indexed on the items' side under their anchors and all values up
+   to 2 bits off, and a window looks up each of its blocks under the anchor that it was
+   taken for. That guarantees that every pair up to RADIUS = 23 bits apart meets in one
+   block. Pairs at the similarity limit are about 10 bits apart with a standard deviation
+   of 3, so fewer than 1 in 100,000 are lost.
 3. Pairs in the radius are verified exactly, on the words themselves.
 
+Only the text decides, so equal texts are looked at once.
+
 Defined cases: null texts have no words and match nothing; items of the same words are
 one class, reported as its smallest item_id (null only if there is no other); items of
 fewer words than a shingle match documents of just these words; repeated rows (same id
 and text) are reported once; null ids are reported as null; empty tables give an empty
-result; other columns are ignored.
+result; other columns are ignored, and kept by ``drop_contaminated``, which drops every
+row of a contaminated text, whatever its id, and no other row.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-#: Up to so many looked-up shingles are broadcast (some 100 bytes each); beyond, they are joined by a shuffle.
+#: Up to so many anchors (two longs each, some 40 bytes) are broadcast; beyond, they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
 
@@ -65,41 +71,45 @@ def item_classes(items: DataFrame, item_col: str = "item_id", text_col: str = "t
     return stored(classes.withColumn("cid", F.monotonically_increasing_id()), "item_classes")
 
 
-def anchors(classes: DataFrame, similarity: float) -> DataFrame:
-    """(h, cid, length, item): the rarest shingles of each class, so many that a similar window has one of them."""
-    shingled = with_shingles(classes.filter(F.size("words") >= SHINGLE_WORDS))
+def anchors(shingled: DataFrame, similarity: float) -> DataFrame:
+    """(h, cid, length): the rarest shingles of each class, so many that a similar window has one of them."""
     counted = shingled.select("cid", F.explode_outer("shingles").alias("h")).groupBy("cid", "h").agg(F.count("*").alias("times"))
     spread = counted.groupBy("h").agg(F.count("*").alias("items"))
     ranked = counted.join(spread, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("items", "h", "times"))).alias("ranked"))
     n = F.size("shingles")
     least = n - F.ceil(n * F.lit(similarity) - 1e-9) + 1
-    before = lambda i: F.aggregate(F.slice("ranked", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x.times)
-    chosen = F.filter("ranked", lambda x, i: before(i) < least)
-    both = shingled.join(ranked, "cid")
-    return both.select(F.explode(chosen).alias("a"), "cid", F.size("words").alias("length"), F.array_distinct("shingles").alias("item")).select("a.h", "cid", "length", "item")
+    none = F.struct(F.lit(0).cast("long").alias("before"), F.array().cast("array<bigint>").alias("h"))
+    taken = lambda a, x: F.when(a.before < least, F.struct((a.before + x.times).alias("before"), F.concat(a.h, F.array(x.h)).alias("h"))).otherwise(a)
+    return shingled.join(ranked, "cid").select(F.explode(F.aggregate("ranked", none, taken).h).alias("h"), "cid", F.size("words").alias("length"))
 
 
-def windows(docs: DataFrame, looked_up: DataFrame, max_broadcast: int) -> DataFrame:
-    """(doc_id, tkey, cid, start, words): the windows that can be similar to an item.
+def hits(texts: DataFrame, looked_up: DataFrame, max_broadcast: int) -> DataFrame:
+    """(tkey, p, h, length): where texts have anchors.
 
     Outer generators: of others the optimizer infers a filter that computes the array twice.
     """
-    shingled = with_shingles(docs)
-    if looked_up.count() <= max_broadcast:
-        hits = shingled.select("doc_id", "tkey", "words", "shingles", F.posexplode_outer("shingles").alias("p", "h")).join(F.broadcast(looked_up), "h")
-    else:
-        found = shingled.select("doc_id", "tkey", F.posexplode_outer("shingles").alias("p", "h")).join(looked_up, "h").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "p", "h", "cid", "length", "item").distinct()
-        hits = shingled.join(found, (F.col("tkey") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    each = with_shingles(texts).select("tkey", F.posexplode_outer("shingles").alias("p", "h"))
+    small = looked_up.count() <= max_broadcast
+    return each.join(F.broadcast(looked_up) if small else looked_up, "h").select("tkey", "p", "h", "length").distinct()
+
+
+def windows(found: DataFrame, leaky: DataFrame, item_shingles: DataFrame) -> DataFrame:
+    """(tkey, start, length, h): the windows that can be similar to an item, and the anchors that they hold.
+
+    ``leaky`` has (tkey, words, shingles) of the texts with hits, ``item_shingles`` (h).
+    """
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     first = F.greatest(F.col("p") - (F.col("length") - SHINGLE_WORDS), F.lit(0))
-    starts = F.filter(F.sequence(first, F.greatest(F.least("p", last), first)), lambda s: (s == last) | ((s < last) & F.array_contains("item", F.get("shingles", s))))
-    each = hits.select("doc_id", "tkey", "cid", "length", "words", F.explode_outer(starts).alias("start")).filter("start IS NOT NULL")
-    return each.select("doc_id", "tkey", "cid", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("words")).distinct()
+    around = found.join(leaky, "tkey").select("tkey", "h", "length", "shingles", last.alias("last"), F.sequence(first, F.greatest(F.least("p", last), first)).alias("starts"))
+    each = around.select("tkey", "h", "length", "last", "shingles", F.explode("starts").alias("start")).filter("start <= last")
+    each = each.select("tkey", "start", "length", "h", "last", F.get("shingles", F.col("start")).alias("begins")).distinct()
+    begins = each.filter("start < last").join(item_shingles.select(F.col("h").alias("begins")), "begins", "left_semi")
+    return begins.select("tkey", "start", "length", "h").unionByName(each.filter("start = last").select("tkey", "start", "length", "h"))
 
 
-def with_simhash(df: DataFrame, key: list[str]) -> DataFrame:
-    """(key, fp): a bit is 1 if it is set in over half of the shingles. Counts of two bits share a long."""
-    rows = with_shingles(df).select(*key, F.explode_outer("shingles").alias("h"))
+def with_simhash(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, fp) of rows (key, shingles): a bit is 1 if it is set in over half of the shingles. Counts of two bits share a long."""
+    rows = rows.select(*key, F.explode_outer("shingles").alias("h"))
     pair = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1 | 1 << 32))
     counts = rows.groupBy(*key).agg(F.count("*").alias("n"), *[F.sum(pair(b)).alias(f"c{b}") for b in range(32)])
     low = lambda b: F.col(f"c{b}").bitwiseAND(F.lit((1 << 32) - 1))
@@ -112,16 +122,17 @@ def _block(b: int) -> Column:
     return F.shiftrightunsigned("fp", b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def block_candidates(window_fps: DataFrame, item_fps: DataFrame) -> DataFrame:
-    """Windows within RADIUS bits of the item they were taken for, by the multi-index."""
+def block_candidates(taken: DataFrame, window_fps: DataFrame, anchored: DataFrame, item_fps: DataFrame) -> DataFrame:
+    """(tkey, start, length, cid): windows within RADIUS bits of an item that has an anchor of theirs, by the multi-index."""
     per_block = RADIUS // BLOCKS
     flips = [sum(1 << b for b in bits) for n in range(per_block + 1) for bits in combinations(range(BLOCK_BITS), n)]
-    near = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(b).alias("own")) for b in range(BLOCKS)])).alias("k")
-    index = item_fps.select(F.col("cid").alias("item"), F.col("fp").alias("item_fp"), near).select("item", "item_fp", "k.block", "k.own", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
-    index = index.select("item", "item_fp", F.col("block").alias("item_block"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-    looked = window_fps.select("doc_id", "tkey", "cid", "start", "fp", near).select("doc_id", "tkey", "cid", "start", "fp", "k.block", "k.own")
-    met = looked.join(index, (F.col("cid") == F.col("item")) & (F.col("block") == F.col("item_block")) & (F.col("own") == F.col("value")))
-    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "tkey", "cid", "start").distinct()
+    near = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), _block(b).alias("value")) for b in range(BLOCKS)])).alias("k")
+    index = anchored.join(item_fps, "cid").select("h", "length", "cid", F.col("fp").alias("item_fp"), near)
+    index = index.select("h", "length", "cid", "item_fp", "k.block", "k.value", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
+    index = index.withColumn("value", F.col("value").bitwiseXOR(F.col("flip"))).drop("flip")
+    looked = taken.join(window_fps, ["tkey", "start", "length"]).select("tkey", "start", "length", "h", "fp", near)
+    met = looked.select("tkey", "start", "length", "h", "fp", "k.block", "k.value").join(index, ["h", "length", "block", "value"])
+    return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("tkey", "start", "length", "cid").distinct()
 
 
 def numbered_shingles(words: Column) -> Column:
@@ -130,44 +141,64 @@ def numbered_shingles(words: Column) -> Column:
 
     def number(each: Column) -> Column:
         once = F.transform(each, lambda x: F.concat(x, F.lit(" 0")))
-        often = F.transform(each, lambda x, i: F.concat_ws(" ", x, F.size(F.filter(F.slice(each, F.lit(1), i), lambda y: y == x)).cast("string")))
+        # sorted, equal ones stand together, and the place of the first says how many came before
+        before = lambda s, x, i: F.when(F.get(s, i - 1) == x, i + 1 - F.array_position(s, x)).otherwise(0)
+        often = let(F.array_sort(each), lambda s: F.transform(s, lambda x, i: F.concat_ws(" ", x, before(s, x, i).cast("string"))))
         return F.when(F.size(F.array_distinct(each)) == F.size(each), once).otherwise(often)
 
     return let(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")), number)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, item_id, n_items, similarity, start_word, n_words): the most similar window of each document for each class of items it leaks."""
+def leaks(texts: DataFrame, items: DataFrame, similarity: float, max_broadcast: int) -> DataFrame:
+    """(tkey, item_id, n_items, similarity, start_word, n_words) for ``texts`` (tkey, words), whose equal rows count once."""
     classes = item_classes(items)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tkey"), words(F.col(text_col)).alias("words"))
-    looked_up = stored(anchors(classes, similarity), "anchors")
-    taken = stored(windows(texts, looked_up, max_broadcast), "windows")
-    key = ["doc_id", "tkey", "cid", "start"]
-    long_items = classes.filter(F.size("words") >= SHINGLE_WORDS)
-    close = stored(block_candidates(with_simhash(taken, key), with_simhash(long_items, ["cid"])), "candidates")
-    same = [taken[c].eqNullSafe(close[c]) for c in key]
-    candidates = taken.join(close, reduce(lambda x, y: x & y, same), "left_semi")
-    theirs = stored(long_items.select(F.col("cid").alias("i"), numbered_shingles(F.col("words")).alias("theirs")), "item_shingles")
+    named = classes.select(F.col("cid"), "item_id", "n_items")
+    shingled = with_shingles(classes.filter(F.size("words") >= SHINGLE_WORDS))
+    anchored = stored(anchors(shingled, similarity), "anchors")
+    found = stored(hits(texts, stored(anchored.select("h", "length").distinct(), "looked_up"), max_broadcast), "hits")
+    leaky = texts.join(found.select("tkey").distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
+    leaky = stored(with_shingles(leaky), "leaky_texts")
+    item_shingles = shingled.select(F.explode("shingles").alias("h")).distinct()
+    taken = stored(windows(found, leaky, item_shingles), "windows")
+    key = ["tkey", "start", "length"]
+    shingles_in = F.slice("shingles", F.col("start") + 1, F.greatest(F.least(F.col("length"), F.size("words")) - (SHINGLE_WORDS - 1), F.lit(1)))
+    distinct = taken.select(key).distinct()
+    fps = with_simhash(distinct.join(leaky, "tkey").select(*key, shingles_in.alias("shingles")), key)
+    close = stored(block_candidates(taken, fps, anchored, with_simhash(shingled, ["cid"])), "candidates")
+    theirs = shingled.select("cid", F.size("words").alias("item_words"), numbered_shingles(F.col("words")).alias("theirs"))
+    within = F.slice("words", F.col("start") + 1, F.col("length"))
     # within a row: as many shingles meet as the counts share
-    common = F.size(F.array_intersect(numbered_shingles(F.col("words")), "theirs"))
-    shared = candidates.join(theirs, F.col("cid") == F.col("i")).select(*key, (F.size("words") - (SHINGLE_WORDS - 1)).cast("long").alias("weight"), F.size("theirs").alias("item_weight"), common.alias("common"))
-    scored = shared.withColumn("similarity", F.col("common") / (F.col("weight") + F.col("item_weight") - F.col("common"))).filter(F.col("similarity") >= similarity)
-    best = scored.groupBy("doc_id", "tkey", "cid").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.col("weight") + SHINGLE_WORDS - 1).alias("n_words"))).alias("b"))
-    named = classes.select(F.col("cid").alias("i"), "item_id", "n_items", F.size("words").alias("length"))
-    found = best.join(named.filter(F.col("length") >= SHINGLE_WORDS), (F.col("cid") == F.col("i")))
-    found = found.select("doc_id", "item_id", "n_items", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_words").alias("n_words"))
+    common = F.size(F.array_intersect(numbered_shingles(within), "theirs"))
+    pairs = close.join(leaky.select("tkey", "words"), "tkey").join(theirs, "cid")
+    shared = pairs.select(*key, "cid", F.size(within).alias("n_words"), (F.col("item_words") - (SHINGLE_WORDS - 1)).alias("item_weight"), common.alias("common"))
+    weight = F.col("n_words") - (SHINGLE_WORDS - 1)
+    scored = shared.withColumn("similarity", F.col("common") / (weight + F.col("item_weight") - F.col("common"))).filter(F.col("similarity") >= similarity)
+    best = scored.groupBy("tkey", "cid").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b"))
+    best = best.join(named, "cid").select("tkey", "item_id", "n_items", F.col("b.similarity").alias("similarity"), (-F.col("b.back")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"))
     short = classes.filter(F.size("words") < SHINGLE_WORDS).select("item_id", "n_items", F.array_join("words", " ").alias("all"))
     if short.isEmpty():
-        return found
-    whole = texts.filter(F.size("words") < SHINGLE_WORDS).select("doc_id", "tkey", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("all")).distinct()
-    exact = whole.join(short, "all").select("doc_id", "item_id", "n_items", F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), "n_words")
-    return found.unionByName(exact)
+        return best
+    whole = texts.filter(F.size("words") < SHINGLE_WORDS).select("tkey", F.size("words").cast("long").alias("n_words"), F.array_join("words", " ").alias("all")).distinct()
+    return best.unionByName(whole.join(short, "all").select("tkey", "item_id", "n_items", F.lit(1.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), "n_words"))
+
+
+def _texts(docs: DataFrame, text_col: str, *others: Column) -> DataFrame:
+    return docs.select(*others, F.md5(F.col(text_col)).alias("tkey"), words(F.col(text_col)).alias("words"))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(doc_id, item_id, n_items, similarity, start_word, n_words): the most similar window of each document for each class of items it leaks."""
+    found = stored(leaks(_texts(docs, text_col), items, similarity, max_broadcast), "leaks")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col)).alias("tkey"))
+    # first by the texts that leak, which are few, then one row for repeated ones
+    leaking = named.join(found.select("tkey").distinct(), "tkey", "left_semi").distinct()
+    return leaking.join(found, "tkey").select("doc_id", "item_id", "n_items", "similarity", "start_word", "n_words")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that leak an item; ids are taken as unique, null ids stay."""
-    leaks = stored(contaminated(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaks")).distinct(), "leaks")
-    return docs.join(leaks, F.col(id_col) == F.col("_leaks"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """``docs`` without the rows whose text leaks an item."""
+    found = stored(leaks(_texts(docs, text_col), items, similarity, max_broadcast).select(F.col("tkey").alias("_leaks")).distinct(), "leaks")
+    return docs.join(found, F.md5(F.col(text_col)) == F.col("_leaks"), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
