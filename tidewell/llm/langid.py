@@ -6,10 +6,16 @@ that languages which are easily taken for each other are told apart by what diff
 between these two alone. Machines are fitted on a sample of labelled rows that is bounded
 per language, each in a task of its own; predictions read whole texts.
 
+As a filter (``keep_identified``) it keeps the texts whose predicted language is wanted
+and whose score is no less than texts of known language have: a text of a language or
+script that no machine has learned is far from all of them.
+
 Defined cases: ``und`` with score 0 if the text is null, empty or has no letter, or if
 nothing could be learned; ties go to the language that is first by code point; rows
 without language or id teach nothing; labels without a known family are families of
-their own; repeated rows count as they are; an empty table gives an empty result.
+their own; repeated rows count as they are; an empty table gives an empty result. The
+filter decides on each row by its text alone, and where nothing could be learned it keeps
+every text that has a letter.
 """
 
 from __future__ import annotations
@@ -44,6 +50,8 @@ ORDERS = (1, 2, 3)
 #: Code points whose n-grams are counted at once.
 BLOCK = 1 << 20
 EPOCHS, COST, SEED = 12, 4.0, 7
+#: Where no least score is given: this share of the lowest score that a text of the fit has in its own language.
+LEAST_SHARE = 0.5
 
 _LETTERS: list[np.ndarray] = []
 
@@ -109,14 +117,18 @@ def problems(langs: list[str]) -> list[tuple[str, list[str], list[str]]]:
     return found + [(f"{a} {b}", [a], [b]) for f in families for a, b in combinations(inside[f], 2)]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Languages and machines, from rows that are not held out. The sample goes by a hash of the text."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> tuple[list[str], dict[str, np.ndarray], DataFrame | None]:
+    """Languages, machines and the features they were fitted on (lang, at, val), from rows that are not held out.
+
+    The sample goes by a hash of the text: of each language, texts are drawn in the share that
+    the bound has of its distinct texts.
+    """
     labelled = docs.filter(F.col(lang_col).isNotNull() & (_remainder(F.col(id_col)) != 2)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("text", 0.02).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return [], {}
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, max_per_lang / n))])
+        return [], {}, None
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * max_per_lang / max(n, 1)))])
     drawn = labelled.withColumn("draw", F.xxhash64("text")).filter(F.pmod(F.col("draw"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", "text"))
     sample = drawn.dropDuplicates(["lang", "text"]).withColumn("nth", nth).filter(F.col("nth") <= max_per_lang).select("lang", "text")
@@ -133,7 +145,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = stored(sample.mapInArrow(featured, "lang string, at array<int>, val array<float>"), "langid_sample")
     tasks = problems(langs)
     if not tasks:
-        return langs, {}
+        return langs, {}, rows
     sides = F.array(*[F.struct(F.lit(name).alias("name"), F.when(F.col("lang").isin(plus), 1.0).when(F.col("lang").isin(minus), -1.0).alias("sign")) for name, plus, minus in tasks])
     dealt = rows.select("at", "val", F.explode(F.filter(sides, lambda s: s.sign.isNotNull())).alias("s")).select("s.name", "s.sign", "at", "val")
 
@@ -144,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return pd.DataFrame({"name": [group["name"].iloc[0]], "weights": [weights]})
 
     fitted = dealt.groupBy("name").applyInPandas(machine, "name string, weights array<double>").collect()
-    return langs, {r["name"]: np.array(r["weights"]) for r in fitted}
+    return langs, {r["name"]: np.array(r["weights"]) for r in fitted}, rows
 
 
 def _remainder(doc_id: Column) -> Column:
@@ -157,9 +169,11 @@ def _chance(margin: float) -> float:
 
 def predict(text: str | None, langs: list[str], machines: dict[str, np.ndarray]) -> tuple[str, float]:
     found = features(text)
-    if found is None or not langs:
-        return UNKNOWN, 0.0
-    at, values = found
+    return (UNKNOWN, 0.0) if found is None or not langs else judge(*found, langs, machines)
+
+
+def judge(at: np.ndarray, values: np.ndarray, langs: list[str], machines: dict[str, np.ndarray]) -> tuple[str, float]:
+    """Language and score of a text's features."""
 
     def margin(name: str) -> float:
         w = machines.get(name)
@@ -181,7 +195,7 @@ def predict(text: str | None, langs: list[str], machines: dict[str, np.ndarray])
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) per row; machines are fitted on the labelled rows of ``docs`` itself."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, max_per_lang))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, max_per_lang)[:2])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(_remainder(F.col(id_col)) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +206,37 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> DataFrame:
-    """``docs`` without the rows of which no language can be told."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, max_per_lang))
+def least_known(sample: DataFrame, langs: list[str], machines: dict[str, np.ndarray]) -> float:
+    """The lowest score that a text of the sample has in its own language."""
+    model = sample.sparkSession.sparkContext.broadcast((langs, machines))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [(lang.as_py(), *judge(np.asarray(a.as_py()), np.asarray(v.as_py()), *model.value)) for lang, a, v in zip(*batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([s for lang, got, s in each if lang == got], pa.float64())], ["score"])
+
+    return sample.select("lang", "at", "val").mapInArrow(run, "score double").agg(F.min("score")).first()[0] or 0.0
+
+
+def keep_identified(
+    docs: DataFrame, languages: list[str] | None = None, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG
+) -> DataFrame:
+    """``docs`` without the rows whose predicted language isn't one of ``languages`` (None: all learned ones), or whose score is below ``least_score`` (None: LEAST_SHARE of what known texts have at least)."""
+    langs, machines, sample = fit(docs, id_col, text_col, lang_col, max_per_lang)
+    if not langs:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
+    least = LEAST_SHARE * least_known(sample, langs, machines) if least_score is None else least_score
+    model = docs.sparkSession.sparkContext.broadcast((langs, machines))
+    wanted = set(langs if languages is None else languages)
     at = docs.columns.index(text_col)
 
+    def kept(text: str | None) -> bool:
+        lang, score = predict(text, *model.value)
+        return lang in wanted and score >= least
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([predict(t.as_py(), *model.value)[0] != UNKNOWN for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([kept(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
