@@ -16,7 +16,9 @@ repeated rows count as they are, and null ids are kept; an empty table gives an
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +39,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 VALUE = re.compile(r"[A-Za-z0-9_+/-]{8,}")
+#: Digits alone, in groups with at most two marks between them, seven or more in all.
+NUMBER = re.compile(r"\(?[0-9](?:[ .()/-]{0,2}[0-9]){6,24}")
 KEY_BEFORE = re.compile(r"([A-Za-z_]{2,40})\s{0,3}[=:]\s{0,3}[\"']?\Z")
 WORD_BEFORE = re.compile(r"(\S{1,40})\s{1,3}\Z")
 WORD_AFTER = re.compile(r"\S{0,4}\s{1,3}(\S{1,40})")
@@ -89,9 +93,11 @@ def _context(text: str, start: int, end: int) -> list[str]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans that look like identifiers: eight or more letters and digits, two digits and a letter at least, clear of ``base``."""
-    found, upto, i = [], 0, 0
+    """Spans that could be identifiers, clear of ``base``: eight or more letters and digits with two digits and a letter at least,
+    or seven or more digits in groups. Which of them are is left to the patterns."""
+    found, numbers, upto = [], [], 0
     spans = sorted((s, e) for s, _, e in base)
+    ends = list(accumulate((e for _, e in spans), max))
     for digit in DIGITS.finditer(text):
         if digit.start() < upto:
             continue
@@ -105,11 +111,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
             value = m.group()
             if sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
                 continue
-            while i < len(spans) and spans[i][1] <= m.start():
-                i += 1
-            if not any(s < m.end() and m.start() < e for s, e in spans[i : i + 8]):
-                found.append((m.start(), m.end()))
-    return found
+            found.append((m.start(), m.end()))
+    taken, upto = found, 0
+    for m in NUMBER.finditer(text):
+        while upto < len(taken) and taken[upto][1] <= m.start():
+            upto += 1
+        if upto == len(taken) or taken[upto][0] >= m.end():
+            numbers.append((m.start(), m.end()))
+
+    def clear(span: tuple[int, int]) -> bool:  # of the base spans that begin before it ends, none reaches into it
+        n = bisect_left(spans, (span[1], 0))
+        return n == 0 or ends[n - 1] <= span[0]
+
+    return [span for span in sorted(found + numbers) if clear(span)]
 
 
 MENTION = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
