@@ -4,7 +4,10 @@ The categories of the label table are predicted one after another; each linear m
 also reads the probabilities of the categories before it. While fitting, these are
 out-of-fold: those of a row come from a model that hasn't seen it, so a later model
 doesn't learn to trust an earlier one more than it deserves. Features are words and word
-beginnings; which ones tell a category apart is counted by Spark over the sample.
+beginnings; which ones tell a category apart is counted by Spark over the sample, for
+each fold's models without that fold, so out-of-fold chances owe nothing to the labels
+of the rows that they are for. The sample and the number of features (MAX_FEATURES, the
+most telling ones) are bounds of the fit; prediction reads all words.
 
 The sample is bounded per class of the last category and weighted back, so chances are
 those of all labelled rows; its texts and all predicted texts are read whole.
@@ -95,21 +98,28 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str], max_p
     return joined.withColumn("nth", nth).filter(F.col("nth") <= max_per_class).select(*categories, weight[F.col(last)].alias("weight"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
 
-def _vocabulary(rows: DataFrame, categories: Sequence[str]) -> list[str]:
-    """Features whose share of documents differs between the classes of a category, the most telling first."""
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
-    seen = rows.select(*categories, F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in categories])
-    scores = []
-    for c in categories:
-        n, ones = totals["n"], totals[c] or 0
-        if 0 < ones < n:
-            share, all_share = F.col(c) / ones - (F.col("df") - F.col(c)) / (n - ones), (F.col("df") + 1) / n
-            scores.append(F.abs(share) / F.sqrt(all_share * (1 / ones + 1 / (n - ones))))
-    if not scores:
-        return []
-    z = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    telling = seen.filter(F.col("df") >= LEAST_DOCS).select("word", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-    return [r["word"] for r in telling.orderBy(F.col("z").desc(), "word").limit(MAX_FEATURES).collect()]
+def _vocabularies(rows: DataFrame, categories: Sequence[str]) -> dict[int, list[str]]:
+    """For each fold left out (-1: none), features whose share of documents differs between the classes of a category, the most telling first."""
+    sums = [F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]]
+    by_fold = {r["fold"]: r for r in rows.groupBy("fold").agg(*sums).collect()}  # FOLDS rows
+    seen = stored(rows.select("fold", *categories, F.explode("words").alias("word")).groupBy("word", "fold").agg(*sums), "toxicity_words")
+    found = {}
+    for held in range(-1, FOLDS):
+        total = lambda c, held=held: sum(r[c] or 0 for f, r in by_fold.items() if f != held)
+        n, scores = total("n"), []
+        for c in categories:
+            ones = total(c)
+            if 0 < ones < n:
+                share, all_share = F.col(c) / ones - (F.col("n") - F.col(c)) / (n - ones), (F.col("n") + 1) / n
+                scores.append(F.abs(share) / F.sqrt(all_share * (1 / ones + 1 / (n - ones))))
+        if not scores:
+            found[held] = []
+            continue
+        z = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        counted = seen.filter(F.col("fold") != held).groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in categories])
+        telling = counted.filter(F.col("n") >= LEAST_DOCS).select("word", z.alias("z")).filter(F.col("z") >= LEAST_Z)
+        found[held] = [r["word"] for r in telling.orderBy(F.col("z").desc(), "word").limit(MAX_FEATURES).collect()]
+    return found
 
 
 def _bound(model, before: list[list[np.ndarray]], at: int):
@@ -128,24 +138,30 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
     sample = _sample(docs, labels, categories, max_per_class)
     shape = ", ".join(f"{c} int" for c in categories)
     rows = stored(sample.mapInArrow(worded, f"{shape}, weight double, fold int, words array<string>"), "toxicity_sample")
-    vocabulary = _vocabulary(rows, categories)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    picked = F.array_intersect("words", F.array(*map(F.lit, vocabulary))) if vocabulary else F.array().cast("array<string>")
+    vocabularies = _vocabularies(rows, categories)
+    places = {held: {w: i for i, w in enumerate(words)} for held, words in vocabularies.items()}
+    union = sorted({w for words in vocabularies.values() for w in words})
+    picked = F.array_intersect("words", F.array(*map(F.lit, union))) if union else F.array().cast("array<string>")
     rows = stored(rows.select(*categories, "weight", "fold", picked.alias("words")), "toxicity_features")
     names = list(categories)
 
+    def one_hot(texts: pd.Series, place: dict[str, int]) -> np.ndarray:
+        x = np.zeros((len(texts), len(place)))
+        for i, words in enumerate(texts):
+            x[i, [place[w] for w in words if w in place]] = 1
+        return x
+
     def model(group: pd.DataFrame, before: list[list[np.ndarray]], at: int) -> pd.DataFrame:
         """The model of a category without one fold, or of all rows (fold -1)."""
         held = int(group["held"].iloc[0])
         group = group.assign(key=[" ".join(w) for w in group["words"]]).sort_values(["key", *names, "fold", "weight"])
-        x = np.zeros((len(group), len(place) + at))
-        for i, words in enumerate(group["words"]):
-            x[i, [place[w] for w in words]] = 1
-        folds = group["fold"].to_numpy()
-        for k in range(at):  # a row's earlier chances are those of the model that hasn't seen its fold
-            for f in range(FOLDS):
-                mine = folds == f
-                x[mine, len(place) + k] = chances(x[mine, : len(place) + k], before[k][f])
+        folds, earlier = group["fold"].to_numpy(), np.zeros((len(group), at))
+        for f in range(FOLDS) if at else ():  # a row's earlier chances are those of the models that haven't seen its fold
+            mine = folds == f
+            x = one_hot(group["words"][mine], places[f])
+            for k in range(at):
+                earlier[mine, k] = chances(np.hstack([x, earlier[mine, :k]]), before[k][f])
+        x = np.hstack([one_hot(group["words"], places[held]), earlier])
         mine = folds != held
         if not mine.any():
             mine[:] = True
@@ -159,10 +175,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CA
         dealt = rows.select("*", F.explode(F.array(*map(F.lit, [-1, *held]))).alias("held"))
         fit_one = _bound(model, list(before), at)
         fitted = {r["held"]: np.array(r["beta"]) for r in dealt.groupBy("held").applyInPandas(fit_one, "held int, beta array<double>").collect()}
-        none = np.append(np.zeros(len(place) + at), -35.0)
-        chain.append(fitted.get(-1, none))
-        before.append([fitted.get(f, none) for f in range(FOLDS)])
-    return vocabulary, chain
+        none = lambda f, at=at: np.append(np.zeros(len(places[f]) + at), -35.0)
+        chain.append(fitted.get(-1, none(-1)))
+        before.append([fitted.get(f, none(f)) for f in range(FOLDS)])
+    return vocabularies[-1], chain
 
 
 def score(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, threshold: float = THRESHOLD, **options) -> DataFrame:
