@@ -39,6 +39,8 @@ PACKAGE_BYTES = 128 << 20
 #: Bytes of records that a reading task takes, about.
 READ_BYTES = 32 << 20
 DATE = "2020-01-01T00:00:00Z"
+#: Head field of records whose address is percent-encoded.
+ENCODED = "Target-URI-Encoding"
 ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
 
 
@@ -113,8 +115,10 @@ def record(page_id: int | None, url: str | None, kind: str, payload: bytes, size
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
-    lines += [] if url is None else [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%')}"]
-    lines += [f"WARC-Payload-Digest: sha256:{digest}", f"Content-Type: application/http; msgtype={'response' if kind == 'response' else 'request'}"]
+    if url is not None:  # as it is; only one that would break the head is encoded, and says so
+        plain = url.isprintable() and url == url.strip()
+        lines += [f"WARC-Target-URI: {url if plain else quote(url, safe=':/?#[]@!$&()*+,;=')}"] + ([] if plain else [f"{ENCODED}: percent"])
+    lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     lines += [f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{refers_to}>"] if kind == "revisit" else []
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -134,7 +138,8 @@ def parse_record(data: bytes) -> dict:
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of {fields['WARC-Record-ID']} doesn't fit its digest")
     refers_to = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-    url = unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None
+    url = fields.get("WARC-Target-URI")
+    url = unquote(url) if ENCODED in fields else url
     return {"page_id": number(fields["WARC-Record-ID"]), "url": url, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers_to, "payload": payload if kind == "response" else None}
 
 
