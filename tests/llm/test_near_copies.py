@@ -8,8 +8,8 @@ import corpus_pipeline
 from tidewell.llm import near_copies
 
 
-def brute(rows, k=5):
-    """Ids that stay, by the Jaccard similarity of all pairs."""
+def groups(rows, k=5):
+    """A group for each row, by the Jaccard similarity of all pairs."""
     sets = []
     for _, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
@@ -18,6 +18,12 @@ def brute(rows, k=5):
     for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
         if group[i] != group[j] and (x == y or 5 * len(x & y) >= 4 * len(x | y)):
             group = [group[i] if g == group[j] else g for g in group]
+    return group
+
+
+def brute(rows):
+    """Ids that stay."""
+    group = groups(rows)
     return {min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group)}
 
 
@@ -48,3 +54,30 @@ def test_tables(spark):
 
 def test_nothing(spark):
     assert near_copies.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_decide(spark):
+    """Of each group one row stays, whatever the ids: null ids last, equal rows once, and rows that share an id with a copy."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "a"), (None, text, "a"), (3, text + " x", "b"), (2, "something else entirely stands here", "c"), (2, text, "d"), (2, text, "d"), (None, "and this has no id", None), (None, "and this has no id", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    got = sorted(map(tuple, near_copies.drop_near_copies(docs).collect()), key=str)
+    assert [r[:2] for r in got] == sorted([(2, "something else entirely stands here"), (2, text), (None, "and this has no id")], key=str)
+
+
+def test_pivots_find_and_discard(spark):
+    """Similar sets share a key and near tables; others share none and are told apart by the table alone."""
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    pivots = near_copies._pivots()
+    met = far = 0
+    for _ in range(60):
+        common, rest = pick.integers(0, 2**63, 180, np.uint64), pick.integers(0, 2**63, (4, 20), np.uint64)
+        sets = [np.concatenate((common, rest[0])), np.concatenate((common, rest[1])), pick.integers(0, 2**63, 200, np.uint64)]
+        keys, table = near_copies.pivot_tables(np.array([near_copies.bit_counts(s) for s in sets]), pivots)
+        met += bool(set(keys[0]) & set(keys[1]))
+        assert np.abs(table[0].astype(int) - table[1]).max() <= near_copies.LIMIT
+        far += np.abs(table[0].astype(int) - table[2]).max() > near_copies.LIMIT
+        assert not set(keys[0]) & set(keys[2])
+    assert met >= 59 and far >= 55

@@ -7,8 +7,8 @@ between these two alone. Machines are fitted on a sample of labelled rows that i
 per language, each in a task of its own; predictions read whole texts.
 
 As a filter (``keep_identified``) it keeps the texts whose predicted language is wanted
-and whose score is no less than texts of known language have: a text of a language or
-script that no machine has learned is far from all of them.
+that fit it: most of their letters are letters of that language, so texts of a script
+that no machine has learned go.
 
 Defined cases: ``und`` with score 0 if the text is null, empty or has no letter, or if
 nothing could be learned; ties go to the language that is first by code point; rows
@@ -50,8 +50,10 @@ ORDERS = (1, 2, 3)
 #: Code points whose n-grams are counted at once.
 BLOCK = 1 << 20
 EPOCHS, COST, SEED = 12, 4.0, 7
-#: Where no least score is given: this share of the lowest score that a text of the fit has in its own language.
-LEAST_SHARE = 0.5
+#: Share of a text's letters that its language's texts of the fit have, at least.
+LEAST_LETTERS = 0.5
+#: Share of a language's texts that a letter of its alphabet is in.
+ALPHABET_SHARE = 0.05
 
 _LETTERS: list[np.ndarray] = []
 
@@ -91,6 +93,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return at, values / np.linalg.norm(values)
 
 
+def letters(text: str | None) -> np.ndarray:
+    """Code points of the letters, lower-cased."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return points[_letters()[points]]
+
+
 def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
     """Weights and bias of a linear machine with squared hinge loss, by dual coordinate descent."""
     weights, alpha, bias = np.zeros(DIMS), np.zeros(len(rows)), 0.0
@@ -118,7 +126,7 @@ def problems(langs: list[str]) -> list[tuple[str, list[str], list[str]]]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG) -> tuple[list[str], dict[str, np.ndarray], DataFrame | None]:
-    """Languages, machines and the features they were fitted on (lang, at, val), from rows that are not held out.
+    """Languages, machines and the features they were fitted on (lang, at, val, letters), from rows that are not held out.
 
     The sample goes by a hash of the text: of each language, texts are drawn in the share that
     the bound has of its distinct texts.
@@ -135,14 +143,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [(lang, features(text)) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            each = [(lang, x) for lang, x in each if x is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang for lang, _ in each], pa.string()), pa.array([x[0].astype(np.int32) for _, x in each], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for _, x in each], pa.list_(pa.float32()))],
-                ["lang", "at", "val"],
-            )
-
-    rows = stored(sample.mapInArrow(featured, "lang string, at array<int>, val array<float>"), "langid_sample")
+            each = [(lang, features(text), np.unique(letters(text))) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            each = [x for x in each if x[1] is not None]
+            ints, floats = pa.list_(pa.int32()), pa.list_(pa.float32())
+            columns = [pa.array([x[1][0].astype(np.int32) for x in each], ints), pa.array([x[1][1].astype(np.float32) for x in each], floats), pa.array([x[2].astype(np.int32) for x in each], ints)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in each], pa.string()), *columns], ["lang", "at", "val", "letters"])
+
+    rows = stored(sample.mapInArrow(featured, "lang string, at array<int>, val array<float>, letters array<int>"), "langid_sample")
     tasks = problems(langs)
     if not tasks:
         return langs, {}, rows
@@ -206,37 +213,43 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def least_known(sample: DataFrame, langs: list[str], machines: dict[str, np.ndarray]) -> float:
-    """The lowest score that a text of the sample has in its own language."""
-    model = sample.sparkSession.sparkContext.broadcast((langs, machines))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [(lang.as_py(), *judge(np.asarray(a.as_py()), np.asarray(v.as_py()), *model.value)) for lang, a, v in zip(*batch.columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for lang, got, s in each if lang == got], pa.float64())], ["score"])
-
-    return sample.select("lang", "at", "val").mapInArrow(run, "score double").agg(F.min("score")).first()[0] or 0.0
+def known_letters(sample: DataFrame) -> dict[str, np.ndarray]:
+    """The letters that ALPHABET_SHARE of a language's texts have, sorted: an alphabet each."""
+    texts = sample.groupBy("lang").agg(F.count("*").alias("n"))
+    each = sample.select("lang", F.explode("letters").alias("letter")).groupBy("lang", "letter").agg(F.count("*").alias("with"))
+    each = each.join(texts, "lang").filter(F.col("with") >= ALPHABET_SHARE * F.col("n")).groupBy("lang").agg(F.sort_array(F.collect_list("letter")).alias("letters"))
+    return {r["lang"]: np.array(r["letters"], np.uint32) for r in each.collect()}
 
 
 def keep_identified(
-    docs: DataFrame, languages: list[str] | None = None, least_score: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_per_lang: int = MAX_PER_LANG
+    docs: DataFrame,
+    languages: list[str] | None = None,
+    least_score: float = 0.0,
+    least_letters: float = LEAST_LETTERS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    max_per_lang: int = MAX_PER_LANG,
 ) -> DataFrame:
-    """``docs`` without the rows whose predicted language isn't one of ``languages`` (None: all learned ones), or whose score is below ``least_score`` (None: LEAST_SHARE of what known texts have at least)."""
+    """``docs`` whose predicted language is one of ``languages`` (None: all learned ones) and fits the text.
+
+    It fits if its score is ``least_score`` or more and if ``least_letters`` of the text's letters
+    are of its alphabet.
+    """
     langs, machines, sample = fit(docs, id_col, text_col, lang_col, max_per_lang)
     if not langs:
         return docs.filter(F.col(text_col).rlike(r"\p{L}"))
-    least = LEAST_SHARE * least_known(sample, langs, machines) if least_score is None else least_score
-    model = docs.sparkSession.sparkContext.broadcast((langs, machines))
+    model = docs.sparkSession.sparkContext.broadcast((langs, machines, known_letters(sample)))
     wanted = set(langs if languages is None else languages)
     at = docs.columns.index(text_col)
 
     def kept(text: str | None) -> bool:
-        lang, score = predict(text, *model.value)
-        return lang in wanted and score >= least
+        lang, score = predict(text, *model.value[:2])
+        return lang in wanted and score >= least_score and np.isin(letters(text), model.value[2].get(lang, ())).mean() >= least_letters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([kept(t.as_py()) for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([bool(kept(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
