@@ -73,31 +73,40 @@ def consensus_peaks(series: np.ndarray, least: float) -> list[tuple[int, int, in
     return found
 
 
-def local_regression(x: np.ndarray, y: np.ndarray, bandwidth: float, passes: int = 2) -> np.ndarray:
-    """Robust locally weighted lines: fitted values at the sorted ``x``.
+def local_lines(x: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.ndarray, bandwidth: float) -> np.ndarray:
+    """Locally weighted lines: fitted values at the sorted ``x``, where a value stands for ``counts`` points of ``weights`` in all.
 
-    The nearest share ``bandwidth`` of the points (three at least) counts with tricube
-    weights, and in later passes with bisquare weights at six median absolute residuals.
+    The nearest share ``bandwidth`` of the points (three at least, and three places) counts, with tricube weights.
     """
-    n = len(x)
-    k = min(n, max(int(np.ceil(bandwidth * n)), 3))
-    robust, fitted = np.ones(n), np.zeros(n)
+    n, fitted = len(x), np.zeros(len(x))
+    need, upto = max(np.ceil(bandwidth * counts.sum()), 3), np.concatenate(([0], np.cumsum(counts)))
+    low = high = 0
+    for i in range(n):
+        low, high = i, i + 1
+        while (upto[high] - upto[low] < need or high - low < 3) and high - low < n:
+            if high == n or (low > 0 and x[i] - x[low - 1] < x[high] - x[i]):
+                low -= 1
+            else:
+                high += 1
+        xs, ys = x[low:high], y[low:high]
+        far = max(x[i] - xs[0], xs[-1] - x[i])
+        w = weights[low:high] * ((1 - np.clip(np.abs(xs - x[i]) / far, 0, 1) ** 3) ** 3 if far > 0 else 1.0)
+        total = w.sum()
+        if total <= 0:
+            fitted[i] = ys.mean()
+            continue
+        mx, my = (w @ xs) / total, (w @ ys) / total
+        spread = w @ (xs - mx) ** 2
+        slope = (w @ ((xs - mx) * (ys - my))) / spread if spread > 1e-12 else 0.0
+        fitted[i] = my + slope * (x[i] - mx)
+    return fitted
+
+
+def local_regression(x: np.ndarray, y: np.ndarray, bandwidth: float, passes: int = 2) -> np.ndarray:
+    """Robust locally weighted lines at the sorted ``x``: after the first pass with bisquare weights at six median absolute residuals."""
+    robust, fitted = np.ones(len(x)), np.zeros(len(x))
     for _ in range(passes + 1):
-        low = 0
-        for i in range(n):
-            while low + k < n and x[low + k] - x[i] < x[i] - x[low]:
-                low += 1
-            xs, ys = x[low : low + k], y[low : low + k]
-            far = max(x[i] - xs[0], xs[-1] - x[i])
-            w = robust[low : low + k] * ((1 - np.clip(np.abs(xs - x[i]) / far, 0, 1) ** 3) ** 3 if far > 0 else 1.0)
-            total = w.sum()
-            if total <= 0:
-                fitted[i] = ys.mean()
-                continue
-            mx, my = (w @ xs) / total, (w @ ys) / total
-            spread = w @ (xs - mx) ** 2
-            slope = (w @ ((xs - mx) * (ys - my))) / spread if spread > 1e-12 else 0.0
-            fitted[i] = my + slope * (x[i] - mx)
+        fitted = local_lines(x, y, np.ones(len(x)), robust, bandwidth)
         scale = 6 * np.median(np.abs(y - fitted))
         if scale <= 0:
             break
@@ -174,7 +183,8 @@ def discriminant(x: np.ndarray, positive: np.ndarray) -> np.ndarray | None:
 def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """Chance of an error at each score of ``grid``: from Gaussian densities of both classes, never rising with the score.
 
-    ``counts`` says how many rows each score stands for; one each by default.
+    ``counts`` says how many rows each score stands for; one each by default. 1 everywhere
+    if a class is missing.
     """
     rows = np.ones(len(scores)) if counts is None else counts.astype(float)
 
@@ -188,8 +198,8 @@ def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, count
         z = (grid[:, None] - centers[held][None, :]) / width
         return (np.exp(-z * z / 2) @ held_rows[held]) / (n * width * np.sqrt(2 * np.pi))
 
-    if decoy.all() or not decoy.any():
-        return np.full(len(grid), 1.0 if decoy.all() else 0.0)
+    if decoy.all() or not decoy.any():  # nothing to compare with: no row can be called right
+        return np.ones(len(grid))
     wrong = float(np.clip(rows[decoy].sum() / max(rows[~decoy].sum(), 1), 0.01, 0.99))
     bad, good = density(scores[decoy], rows[decoy]) * wrong, density(scores[~decoy], rows[~decoy]) * (1 - wrong)
     return falling(np.divide(bad, bad + good, out=np.ones(len(grid)), where=bad + good > 0))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.arrays import let
-from tidewell.operators.components import connected_components
 from tidewell.operators.joins import band_join
+from tidewell.storage import stored
 
 #: Shares of the heavier isotopes of C, H, N (one more), O (one, two more) and S (one, two more).
 HEAVY = {"c": 0.0107, "h": 0.000115, "n": 0.00364}
@@ -76,34 +75,24 @@ def isotope_distribution(atoms: Column) -> Column:
 def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place: str, fragments: str, rank: str, distance: float, least_share: float = 0.5) -> DataFrame:
     """``rows`` without those that a better row of their ``keys`` explains: near in ``place`` and with enough fragments in common.
 
-    The best row by ``rank`` (then the smaller id) stays and removes its neighbours, then
-    the next one that is left. Neighbours are found by a band join; the turns run in each
-    connected part of that graph by itself, so parts don't depend on each other's order.
+    The best row by ``rank`` (nulls last, then the smaller id) stays and removes its
+    neighbours, then the next one that is left. Neighbours are found by a band join. In each
+    round all rows that no better one is left beside stay and remove their neighbours, until
+    no pair is left: as many rounds as the longest chain of better and better neighbours.
     """
-    narrow = rows.select(*keys, row_id, place, fragments, rank)
-    other = narrow.select(*keys, F.col(row_id).alias("_o"), F.col(place).alias("_p"), F.col(fragments).alias("_f"))
-    met = band_join(narrow, other, keys, place, "_p", distance).filter(F.col(row_id) < F.col("_o"))
+    best = F.coalesce(F.col(rank).cast("double"), F.lit(float("-inf")))
+    narrow = rows.select(*keys, row_id, place, fragments, best.alias("_rank"))
+    other = narrow.select(*keys, F.col(row_id).alias("_o"), F.col(place).alias("_p"), F.col(fragments).alias("_f"), F.col("_rank").alias("_r"))
+    better = (F.col("_rank") > F.col("_r")) | ((F.col("_rank") == F.col("_r")) & (F.col(row_id) < F.col("_o")))
+    met = band_join(narrow, other, keys, place, "_p", distance).filter(better)
     need = F.ceil(F.least(F.size(fragments), F.size("_f")) * least_share)
-    pairs = met.filter(F.size(F.array_intersect(fragments, "_f")) >= need).select(F.col(row_id).alias("a"), F.col("_o").alias("b"))
-    roots = connected_components(pairs)
-    linked = pairs.join(roots, pairs["a"] == roots["node"]).select("root", "a", "b")
-    ranks = rows.select(F.col(row_id).alias("_id"), F.col(rank).cast("double").alias("_rank"))
-    linked = linked.join(ranks.select(F.col("_id").alias("a"), F.col("_rank").alias("ra")), "a").join(ranks.select(F.col("_id").alias("b"), F.col("_rank").alias("rb")), "b")
-
-    def turns(part: pd.DataFrame) -> pd.DataFrame:
-        score, near = {}, {}
-        for a, b, ra, rb in zip(part["a"], part["b"], part["ra"], part["rb"], strict=True):
-            score[a], score[b] = ra, rb
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        gone: set = set()
-        for one in sorted(score, key=lambda i: (-score[i], i)):
-            if one not in gone:
-                gone |= near[one]
-        return pd.DataFrame({"_gone": sorted(gone)})
-
-    kind = dict(rows.dtypes)[row_id]
-    # parts don't touch each other, so many are run through together: most are a few rows
-    n = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gone = linked.groupBy(F.pmod(F.xxhash64("root"), F.lit(n)).alias("part")).applyInPandas(turns, f"_gone {kind}")
-    return rows.join(gone, F.col(row_id) == F.col("_gone"), "left_anti")
+    pairs = met.filter(F.size(F.array_intersect(fragments, "_f")) >= need).select(F.col(row_id).alias("a"), F.col("_o").alias("b")).distinct()
+    left, gone = stored(pairs, "better_pairs"), []
+    while not left.isEmpty():
+        staying = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        gone.append(stored(left.join(staying, "a", "left_semi").select(F.col("b").alias("_gone")).distinct(), "removed"))
+        out = gone[-1]
+        left = stored(left.join(out, F.col("a") == F.col("_gone"), "left_anti").join(out, F.col("b") == F.col("_gone"), "left_anti"), "better_pairs")
+    for out in gone:
+        rows = rows.join(out, F.col(row_id) == F.col("_gone"), "left_anti")
+    return rows

@@ -4,8 +4,8 @@ Rows carry an id of the pair (``base``), a class (``decoy``, boolean) and a ``sc
 Estimates follow the rank by score, best first, with ties in the order of ``base``.
 Everything below works on columns of these names; rename before if yours differ.
 
-Experiment-wide ranks are running sums over all rows. They are made in two steps, totals
-of score ranges first and rows within a range second, so no rank lands in one task.
+Ranks, of the experiment or of a run, are running sums over all rows. They are made in two
+steps, totals of score ranges first and rows within a range second, so none lands in one task.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators import ranges
 from tidewell.storage import stored
 
 #: (numerator correction, least denominator) of the estimates: reported, training, calibration.
@@ -40,40 +41,20 @@ def _raw(targets: Column, decoys: Column, kind: str) -> Column:
     return F.when(targets == 0, F.lit(1.0)).otherwise((decoys + (1 if kind == REPORTED else 0)) / targets)
 
 
-def _frames(partition: list[str], tie: list[str]) -> tuple:
-    """All ranks up to a row, and all from it on. The second is a running frame of the reversed order: frames that end with the partition are computed anew for each row."""
-    best_first = W.partitionBy(*partition).orderBy(F.col("score").desc(), *tie)
-    worst_first = W.partitionBy(*partition).orderBy(F.col("score").asc(), *[F.col(t).desc() for t in tie])
-    return best_first.rowsBetween(W.unboundedPreceding, 0), worst_first.rowsBetween(W.unboundedPreceding, 0)
-
-
 def q_values(winners: DataFrame, tie: list[str], kind: str = REPORTED, partition: list[str] | None = None) -> DataFrame:
     """Adds ``q``: the least estimate at this rank or a worse one, 1 at most. ``partition``: ranks of their own, as of runs."""
-    if not partition:
-        return _global_q_values(winners, tie, kind)
-    upto, from_here = _frames(partition, tie)
-    one = F.when(F.col("decoy"), 1).otherwise(0)
-    raw = winners.withColumn("_raw", _raw(F.sum(1 - one).over(upto), F.sum(one).over(upto), kind))
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("_raw").over(from_here))).drop("_raw")
-
-
-def _global_q_values(winners: DataFrame, tie: list[str], kind: str) -> DataFrame:
-    spark = winners.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = winners.repartitionByRange(parts, F.col("score").desc(), *tie).withColumn("_part", F.spark_partition_id())
-    ranged = stored(ranged, "score_ranges")  # the ranges stay as they are, whatever is computed again
+    keys = list(partition or [])
+    best_first = [F.col("score").desc(), *map(F.col, tie)]
+    # frames that end with the partition are computed anew for each row, so the last frame runs over the reversed order
+    worst_first = [F.col("score").asc(), *[F.col(t).desc() for t in tie]]
     one = F.when(F.col("decoy"), 1).otherwise(0)
-    totals = ranged.groupBy("_part").agg(F.sum(1 - one).alias("t"), F.sum(one).alias("d"))
-    over = W.orderBy("_part")
-    before = totals.select("_part", (F.sum("t").over(over) - F.col("t")).alias("_t"), (F.sum("d").over(over) - F.col("d")).alias("_d"))
-    upto, from_here = _frames(["_part"], tie)
-    raw = ranged.join(F.broadcast(before), "_part")  # a row per score range
-    raw = raw.withColumn("_raw", _raw(F.col("_t") + F.sum(1 - one).over(upto), F.col("_d") + F.sum(one).over(upto), kind))
-    raw = raw.withColumn("_least", F.min("_raw").over(from_here))
-    worse = raw.groupBy("_part").agg(F.min("_raw").alias("m"))
-    below = worse.select("_part", F.min("m").over(W.orderBy(F.col("_part").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_below"))
-    joined = raw.join(F.broadcast(below), "_part")
-    return joined.withColumn("q", F.least(F.lit(1.0), "_least", "_below")).drop("_part", "_t", "_d", "_raw", "_least", "_below")
+    rows = ranges.with_running(ranges.ranged(winners, keys, best_first, "score_ranges"), keys, best_first, {"_t": 1 - one, "_d": one})
+    raw = rows.withColumn("_raw", _raw(F.col("_t"), F.col("_d"), kind))
+    raw = raw.withColumn("_least", F.min("_raw").over(W.partitionBy(*keys, ranges.PART).orderBy(*worst_first).rowsBetween(W.unboundedPreceding, 0)))
+    worse = raw.groupBy(*keys, ranges.PART).agg(F.min("_raw").alias("m"))
+    below = F.min("m").over(W.partitionBy(*keys).orderBy(F.col(ranges.PART).desc()).rowsBetween(W.unboundedPreceding, -1))
+    both = ranges.matched(raw, worse.select(*keys, ranges.PART, below.alias("_below")), [*keys, ranges.PART])
+    return both.withColumn("q", F.least(F.lit(1.0), "_least", "_below")).select(*winners.columns, "q")
 
 
 def run_q_values(rows: DataFrame, run: str = "run", base: str = "base") -> DataFrame:
@@ -86,6 +67,46 @@ def experiment_q_values(rows: DataFrame, base: str = "base") -> DataFrame:
     return q_values(compete(rows, [base]), [base])
 
 
+def _winning_rows(rows: DataFrame, keys: list[str], order: list[str], carried: list[str]) -> DataFrame:
+    """As ``compete``, with the columns ``carried`` of the winner: of a class's rows the best, the first by ``order`` on a tie."""
+    row = F.struct((-F.col("score")).alias("worse"), *order, *[F.col(c).alias(f"_{c}") for c in carried], F.col("score").alias("x"))
+    best = rows.groupBy(*keys).agg(F.min(F.when(~F.col("decoy"), row)).alias("t"), F.min(F.when(F.col("decoy"), row)).alias("d"))
+    target_wins = F.col("t").isNotNull() & (F.col("d").isNull() | F.coalesce(F.col("t.x") > F.col("d.x"), F.lit(False)))
+    won = best.withColumn("w", F.when(target_wins, F.col("t")).otherwise(F.col("d")))
+    return won.select(*keys, F.col("w.x").alias("score"), (~target_wins).alias("decoy"), *[F.col(f"w._{c}").alias(c) for c in carried])
+
+
+def all_levels(rows: DataFrame, order: list[str], run: str = "run", base: str = "base", peptide: str = "peptide") -> DataFrame:
+    """``rows`` with run_precursor_q, run_peptide_q, exp_precursor_q and exp_peptide_q.
+
+    ``order`` names columns that tell rows apart; of equal scores the first by it counts.
+    In a run, pairs compete, the winning row has its q-value and all others 1; peptides
+    compete by their best row, and all their rows have the peptide's. Over the experiment
+    pairs and peptides compete by their best rows of all runs, and every row has its pair's
+    and its peptide's. With one run only, the experiment's are the run's.
+    """
+    rows = stored(rows, "rated_rows")
+    one = F.lit(1.0)
+
+    def peptides(keys: list[str]) -> DataFrame:
+        first = W.partitionBy(*keys, peptide).orderBy(F.col("score").desc(), *order)
+        best = rows.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+        won = _winning_rows(best, [*keys, base], order, [peptide])
+        return q_values(won, [base], partition=keys).select(*keys, peptide, F.col("q").alias("_q"))
+
+    def given(to: DataFrame, rated: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return to.join(rated.withColumnRenamed("_q", name), keys, "left").withColumn(name, F.coalesce(name, one))
+
+    row = list(dict.fromkeys([run, base, "decoy", *order]))
+    in_run = q_values(_winning_rows(rows, [run, base], order, [c for c in row if c not in (run, base, "decoy", "score")]), [base], partition=[run])
+    out = given(rows, in_run.select(*row, F.col("q").alias("_q")), row, "run_precursor_q")
+    out = given(out, peptides([run]), [run, peptide], "run_peptide_q")
+    if rows.select(run).distinct().limit(2).count() < 2:
+        return out.withColumn("exp_precursor_q", F.col("run_precursor_q")).withColumn("exp_peptide_q", F.col("run_peptide_q"))
+    over_all = experiment_q_values(rows, base).select(base, F.col("q").alias("_q"))
+    return given(given(out, over_all, [base], "exp_precursor_q"), peptides([]), [peptide], "exp_peptide_q")
+
+
 def effective_q(precursor: Column, peptide: Column, protein: Column, level: str) -> Column:
     """The q-value that counts at ``level``: precursor, peptide, protein or both (the larger of the first two)."""
     choices = {"precursor": precursor, "peptide": peptide, "protein": protein, "both": F.greatest(precursor, peptide)}

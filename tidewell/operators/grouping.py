@@ -36,40 +36,29 @@ def split_members(groups: DataFrame) -> DataFrame:
     return each.join(owners, "member").groupBy("group_id").agg(F.sum(F.when(F.col("owners") == 1, 1).otherwise(0)).cast("long").alias("n_unique"), F.sum(F.when(F.col("owners") > 1, 1).otherwise(0)).cast("long").alias("n_shared"))
 
 
+def without_shared(groups: DataFrame) -> DataFrame:
+    """(group_id, members): members that several groups have are left out of all; groups that have no others keep an empty list."""
+    each = groups.select("group_id", F.explode("members").alias("member"))
+    own = each.groupBy("member").agg(F.min("group_id").alias("group_id"), F.count("*").alias("owners")).filter("owners = 1")
+    return _gathered(groups, own)
+
+
 def razor(groups: DataFrame) -> DataFrame:
     """(group_id, members): every shared member goes to one group.
 
     In turns, of the groups that still share members, that with the most members of its
-    own takes all it shares, the smallest id on a tie. Turns run in each connected part of
-    the graph by itself, in a task per part.
+    own takes all it shares, the smallest id on a tie. A group that waits gains no member
+    of its own, so the order of turns is known from the start: a member goes to the first
+    of its owners in that order, and all turns are one aggregation.
     """
-    import pandas as pd
+    each = groups.select("group_id", F.explode("members").alias("member"))
+    owners = each.groupBy("member").agg(F.count("*").alias("owners"))
+    own = each.join(owners, "member").groupBy("group_id").agg(F.count(F.when(F.col("owners") == 1, 1)).alias("own"))
+    taken = each.join(own, "group_id").groupBy("member").agg(F.min_by("group_id", F.struct((-F.col("own")).alias("own"), "group_id")).alias("group_id"))
+    return _gathered(groups, taken)
 
-    from tidewell.operators.components import connected_components
 
-    each = groups.select("group_id", F.explode("members").alias("member"))
-    first = each.groupBy("member").agg(F.min("group_id").alias("a"))
-    links = each.join(first, "member").select("a", F.col("group_id").alias("b"))
-    roots = connected_components(links)
-    parts = groups.select("group_id", "members").join(roots, F.col("group_id") == F.col("node"), "left").withColumn("part", F.coalesce("root", "group_id")).select("part", "group_id", "members")
-
-    def turns(part: pd.DataFrame) -> pd.DataFrame:
-        sets = {g: set(m) for g, m in zip(part["group_id"], part["members"], strict=True)}
-        owners: dict = {}
-        for g, members in sets.items():
-            for m in members:
-                owners.setdefault(m, set()).add(g)
-        while True:
-            shared = {g: {m for m in members if len(owners[m]) > 1} for g, members in sets.items()}
-            waiting = [g for g in sets if shared[g]]
-            if not waiting:
-                break
-            taker = min(waiting, key=lambda g: (-(len(sets[g]) - len(shared[g])), g))
-            for m in shared[taker]:
-                for other in owners[m] - {taker}:
-                    sets[other].discard(m)
-                owners[m] = {taker}
-        return pd.DataFrame({"group_id": list(sets), "members": [sorted(m) for m in sets.values()]})
-
-    kinds = dict(groups.select("group_id", "members").dtypes)
-    return parts.groupBy("part").applyInPandas(turns, f"group_id {kinds['group_id']}, members {kinds['members']}")
+def _gathered(groups: DataFrame, owned: DataFrame) -> DataFrame:
+    lists = owned.groupBy("group_id").agg(F.array_sort(F.collect_list("member")).alias("members"))
+    none = F.array().cast(groups.schema["members"].dataType)
+    return groups.select("group_id").join(lists, "group_id", "left").select("group_id", F.coalesce("members", none).alias("members"))

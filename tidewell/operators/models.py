@@ -9,15 +9,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
 from tidewell.operators import fdr, stats
 from tidewell.storage import stored
 
-FOLDS, ROUNDS, COSTS = 3, 5, (0.01, 0.1, 1.0, 10.0)
-#: Rows that a fold is fitted on at most (documented bound of the sample).
+FOLDS, ROUNDS, COSTS = 3, 10, (0.01, 0.1, 1.0, 10.0)
+#: Rows that a fold is fitted on, about (documented bound of the sample); whole groups are drawn.
 MAX_ROWS = 10_000
 GRID = 1000
 
@@ -31,12 +30,30 @@ def _estimates(score: np.ndarray, decoy: np.ndarray) -> np.ndarray:
     return q
 
 
-def _train(x: np.ndarray, decoy: np.ndarray, threshold: float) -> np.ndarray:
-    """Start from the feature that separates best; then refit on the targets accepted so far until no more are."""
+def _chosen_cost(x: np.ndarray, decoy: np.ndarray, parts: np.ndarray, use: np.ndarray, threshold: float) -> float:
+    """The cost whose machines accept most targets among the rows that they weren't fitted on, the first on a tie."""
+    best, most = COSTS[0], -1
+    for cost in COSTS:
+        accepted = 0
+        for part in np.unique(parts):
+            fitted = use & (parts != part)
+            if decoy[fitted].all() or not decoy[fitted].any():
+                continue
+            w = kernels.linear_machine(x[fitted], np.where(decoy[fitted], -1.0, 1.0), cost, 42, epochs=20)
+            left = parts == part
+            accepted += ((_estimates(x[left] @ w[:-1], decoy[left]) <= threshold) & ~decoy[left]).sum()
+        if accepted > most:
+            best, most = cost, accepted
+    return best
+
+
+def _train(x: np.ndarray, decoy: np.ndarray, parts: np.ndarray, threshold: float) -> np.ndarray:
+    """Start from the feature that separates best; then refit on the targets accepted so far until twice in turn there are no more."""
     sides = [(s * x[:, k], k, s) for k in range(x.shape[1]) for s in (1, -1)]
     score, k, s = max(sides, key=lambda c: ((_estimates(c[0], decoy) <= threshold) & ~decoy).sum())
     best = np.append(np.eye(x.shape[1])[k] * s, 0.0)
     most = ((_estimates(score, decoy) <= threshold) & ~decoy).sum()
+    failed, cost = 0, None
     for _ in range(ROUNDS):
         for limit in (threshold, 0.05, 0.1, 0.25, 0.5):
             chosen = (_estimates(score, decoy) <= limit) & ~decoy
@@ -45,27 +62,45 @@ def _train(x: np.ndarray, decoy: np.ndarray, threshold: float) -> np.ndarray:
         use = chosen | decoy
         if not chosen.any() or not decoy.any():
             break
-        fits = [kernels.linear_machine(x[use], np.where(decoy[use], -1.0, 1.0), c, 42, epochs=20) for c in COSTS]
-        w = max(fits, key=lambda w: ((_estimates(x @ w[:-1], decoy) <= threshold) & ~decoy).sum())
+        cost = cost or _chosen_cost(x, decoy, parts, use, threshold)
+        w = kernels.linear_machine(x[use], np.where(decoy[use], -1.0, 1.0), cost, 42, epochs=20)
         score = x @ w[:-1] + w[-1]
         now = ((_estimates(score, decoy) <= threshold) & ~decoy).sum()
-        if now <= most:
+        failed = 0 if now > most else failed + 1
+        if now > most:
+            best, most = w, now
+        if failed == 2:
             break
-        best, most = w, now
     return best
 
 
+def normalized(scored: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """``score`` less that of the last accepted target, by the distance from there to the decoys' median; as it is if that isn't positive.
+
+    The accepted are the targets of the winners of each pair within ``threshold``.
+    """
+    rated = fdr.q_values(fdr.compete(scored, ["base"]), ["base"], fdr.TRAINING)
+    last = rated.filter(~F.col("decoy") & (F.col("q") <= threshold)).agg(F.min("score").alias("_last"))
+    decoys = scored.filter("decoy").select(F.lit(0).alias("_k"), "score")
+    middle = stats.order_statistics(decoys, ["_k"], "score", stats.MIDDLE).agg(F.max((F.col("_below") + F.col("_above")) / 2).alias("_mid"))
+    both = stored(last.crossJoin(middle), "score_scale")  # one row
+    apart = F.col("_last") - F.col("_mid")
+    moved = F.when(apart > 0, (F.col("score") - F.col("_last")) / apart).otherwise(F.col("score"))
+    return scored.crossJoin(F.broadcast(both)).withColumn("score", moved).drop("_last", "_mid")
+
+
 def score(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01) -> DataFrame:
     """``rows`` with ``score``: each row by the model of the folds that its group isn't in. ``rows`` has ``decoy``."""
     standard = stats.standardized(rows, features)
     folded = stored(standard.join(stats.folds(rows, group, FOLDS), group), "model_rows")
-    nth = F.row_number().over(W.partitionBy("held").orderBy(F.xxhash64(base), base, "decoy"))
-    dealt = folded.select(base, "decoy", "fold", *features, F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")).filter("fold <> held")
-    dealt = dealt.withColumn("_nth", nth).filter(F.col("_nth") <= MAX_ROWS)
+    # whole groups (all rows of a peptide or pair) are drawn by their hash, in about the share that the bound allows
+    share = min(1.0, MAX_ROWS * FOLDS / (FOLDS - 1) / max(folded.count(), 1))
+    drawn = folded.filter(F.pmod(F.xxhash64(group), F.lit(1 << 40)) < int(share * (1 << 40)))
+    dealt = drawn.select(base, "decoy", "fold", *features, F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")).filter("fold <> held")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_nth")
-        w = _train(part[features].to_numpy(float), part["decoy"].to_numpy(bool), threshold)
+        part = part.sort_values([base, "decoy", *features])
+        w = _train(part[features].to_numpy(float), part["decoy"].to_numpy(bool), part["fold"].to_numpy(int), threshold)
         return pd.DataFrame({"held": [int(part["held"].iloc[0])], "w": [w]})
 
     models = stored(dealt.groupBy("held").applyInPandas(fit, "held int, w array<double>"), "models")

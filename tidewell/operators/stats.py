@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewell.operators import ranges
+from tidewell.storage import stored
+
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """keys, median: the least value at which half of the weight is reached.
 
-    Weights are added up per distinct value first, so a group's window holds its distinct values only.
+    Weights are added up per distinct value first, and then over ranges of values.
     """
     each = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    upto = F.sum("_w").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    total = F.sum("_w").over(W.partitionBy(*keys))
-    placed = each.withColumn("_upto", upto).withColumn("_all", total)
-    return placed.filter(F.col("_upto") * 2 >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias("median"))
+    totals = each.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    rows = ranges.with_running(ranges.ranged(each, keys, [F.col(value)]), keys, [F.col(value)], {"_upto": F.col("_w")})
+    return ranges.matched(rows, totals, keys).filter(F.col("_upto") * 2 >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias("median"))
 
 
 def sorted_values(value: str) -> Column:
     return F.sort_array(F.collect_list(value))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Of a sorted array, the value at round(share * (n - 1))."""
-    return F.get(values, F.round(F.lit(share) * (F.size(values) - 1)).cast("int"))
-
-
 def middle(values: Column) -> Column:
     """Of a sorted array, the middle value or the mean of the two middle ones."""
     n = F.size(values)
     return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2.0
 
 
+def nearest_rank(n: Column, share: float) -> Column:
+    """The place of a percentile among n sorted values: round(share * (n - 1))."""
+    return F.round(F.lit(share) * (n - 1)).cast("long")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], levels: int = 2, bins: int = 4096) -> DataFrame:
+    """keys and, for each name, the value at place ``places[name](n)`` (from 0) of the key's n sorted values; nulls don't count.
+
+    Exact, without a sort of all values and without an array of them: counts of ``bins`` even
+    ranges say in which range a place is, that range is divided again, and only the values
+    of the last ranges are sorted, equal ones as one.
+    """
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), f(F.col("_n")).cast("long").alias("_at")) for name, f in places.items()]))
+    asked = ends.select(*keys, "_lo", "_hi", each.alias("_x")).select(*keys, "_lo", "_hi", "_x._name", "_x._at")
+    upto = W.partitionBy(*keys, "_name").orderBy("_lo").rowsBetween(W.unboundedPreceding, 0)
+    for level in range(levels + 1):
+        inside = ranges.matched(rows, asked, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        even = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+        part = even if level < levels else F.col("_v")
+        counts = inside.groupBy(*keys, "_name", "_at", part.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        held = counts.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).filter(F.col("_at").between(F.col("_before"), F.col("_before") + F.col("_c") - 1))
+        # a row per key and place
+        asked = stored(held.select(*keys, "_lo", "_hi", "_name", (F.col("_at") - F.col("_before")).alias("_at")), "value_ranges")
+    return asked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in places])
+
+
+#: Places of the two middle values; their mean is the median.
+MIDDLE = {"_below": lambda n: F.floor((n - 1) / 2), "_above": lambda n: F.floor(n / 2)}
+
+
 def clipped_mad(df: DataFrame, keys: list[str], residual: str, clip: float, least: int = 20) -> DataFrame:
     """keys, mad: the upper median of absolute residuals up to ``clip``, or of all if fewer than ``least`` are."""
-    arrays = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.abs(residual))).alias("_all"))
-    kept = F.filter("_all", lambda v: v <= clip)
-    used = F.when(F.size(kept) < least, F.col("_all")).otherwise(kept)
-    return arrays.withColumn("_used", used).select(*keys, F.get("_used", F.floor(F.size("_used") / 2).cast("int")).alias("mad"))
+    each = df.select(*keys, F.abs(residual).alias("_a"))
+    few = each.groupBy(*keys).agg((F.count(F.when(F.col("_a") <= clip, 1)) < least).alias("_few"))
+    used = ranges.matched(each, few, keys).filter(F.col("_few") | (F.col("_a") <= clip))
+    return order_statistics(used, keys, "_a", {"mad": lambda n: F.floor(n / 2)})
 
 
 def calibration_summary(df: DataFrame, keys: list[str], error: str) -> DataFrame:
@@ -69,10 +100,10 @@ def fit_quality(df: DataFrame, keys: list[str], observed: str, fitted: str) -> D
         F.max("_a").alias("largest"),
         F.sum(F.col("_r") * F.col("_r")).alias("_ss"),
         (F.var_pop(observed) * F.count("*")).alias("_tot"),
-        sorted_values("_a").alias("_v"),
     )
-    v = F.col("_v")
-    return out.select(*keys, "n", "sd", "mean_abs", "largest", F.when(F.col("_tot") > 0, 1 - F.col("_ss") / F.col("_tot")).otherwise(0.0).alias("r2"), nearest_rank(v, 0.2).alias("p20"), nearest_rank(v, 0.8).alias("p80"), middle(v).alias("mad"))
+    places = {"p20": lambda n: nearest_rank(n, 0.2), "p80": lambda n: nearest_rank(n, 0.8), **MIDDLE}
+    r2 = F.when(F.col("_tot") > 0, 1 - F.col("_ss") / F.col("_tot")).otherwise(0.0)
+    return ranges.matched(out, order_statistics(each, keys, "_a", places), keys).select(*keys, "n", "sd", "mean_abs", "largest", r2.alias("r2"), "p20", "p80", ((F.col("_below") + F.col("_above")) / 2).alias("mad"))
 
 
 def rank_auc(df: DataFrame, keys: list[str], value: str, positive: str) -> DataFrame:
@@ -81,8 +112,8 @@ def rank_auc(df: DataFrame, keys: list[str], value: str, positive: str) -> DataF
     Counts per distinct value first; ties have their average rank.
     """
     each = df.groupBy(*keys, value).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.count("*").alias("n"))
-    before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = each.withColumn("_below", F.coalesce(F.sum(F.col("n") - F.col("p")).over(before), F.lit(0)))
+    rows = ranges.with_running(ranges.ranged(each, keys, [F.col(value)]), keys, [F.col(value)], {"_upto": F.col("n") - F.col("p")})
+    placed = rows.withColumn("_below", F.col("_upto") - (F.col("n") - F.col("p")))
     won = F.sum(F.col("p") * F.col("_below") + F.col("p") * (F.col("n") - F.col("p")) / 2.0)
     total = F.sum("p") * F.sum(F.col("n") - F.col("p"))
     return placed.groupBy(*keys).agg(F.when(total > 0, won / total).otherwise(0.5).alias("auc"))

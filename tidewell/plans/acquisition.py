@@ -29,7 +29,8 @@ def envelopes(spark, sf_dir):
 def deduplicated(spark, sf_dir):
     """Lines of an order whose parts are near and whose flags agree count once, by price."""
     lines = table(spark, sf_dir, "lineitem")
-    rows = lines.select("l_orderkey", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_quantity").cast("double").alias("at"), F.array("l_returnflag", "l_linestatus").alias("fragments"), "l_extendedprice").dropDuplicates(["id"])
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), F.array("l_returnflag", "l_linestatus").alias("fragments"), "l_extendedprice").dropDuplicates(["id"])
     return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 3.0).select("l_orderkey", "id")
 
 
@@ -38,5 +39,11 @@ ORACLE_SQL = {
     "cycle_first": """WITH m AS (SELECT user_id, event_id, floor(value)::BIGINT AS center, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS seen FROM events),
       a AS (SELECT user_id, min(event_id) FILTER (seen = 2) AS again FROM m GROUP BY 1)
       SELECT user_id, count(*) AS n_windows, min(center) AS least, max(center) AS most FROM m JOIN a USING (user_id) WHERE again IS NULL OR event_id < again GROUP BY 1""",
+    "dedup_double_counts": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS id, l_quantity::DOUBLE AS place, l_returnflag AS f, l_linestatus AS s, l_extendedprice AS price FROM lineitem),
+      n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, id) AS nth FROM l),
+      r AS (SELECT l_orderkey, 1::BIGINT AS nth, [struct_pack(id := id, place := place, f := f, s := s)] AS kept FROM n WHERE nth = 1
+        UNION ALL SELECT n.l_orderkey, n.nth, CASE WHEN len(list_filter(r.kept, lambda k: abs(k.place - n.place) <= 3 AND (k.f = n.f OR k.f = n.s OR k.s = n.f OR k.s = n.s))) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(id := n.id, place := n.place, f := n.f, s := n.s)) END
+        FROM r JOIN n ON r.l_orderkey = n.l_orderkey AND n.nth = r.nth + 1)
+      SELECT l_orderkey, unnest(kept).id AS id FROM (SELECT l_orderkey, max_by(kept, nth) AS kept FROM r GROUP BY 1)""",
     "score_hyperscore": "SELECT l_orderkey, round(lgamma(count(*) FILTER (l_returnflag = 'A') + 1) + lgamma(count(*) FILTER (l_returnflag = 'R') + 1) + sum(ln(1 + l_extendedprice)), 6) AS score FROM lineitem GROUP BY 1",
 }

@@ -76,6 +76,12 @@ def levels(spark, sf_dir):
     return joined.select("run", "base", "line", F.round(q, 9).alias("q"))
 
 
+def all_levels(spark, sf_dir):
+    out = fdr.all_levels(scored(spark, sf_dir), ["line", "base", "peptide", "score"])
+    names = ("run_precursor_q", "run_peptide_q", "exp_precursor_q", "exp_peptide_q")
+    return out.select("run", "base", "line", "peptide", *[F.round(n, 9).alias(n) for n in names])
+
+
 def picked(spark, sf_dir):
     """Groups are suppliers, members their parts, scores the best line of each part and class."""
     rows = scored(spark, sf_dir)
@@ -105,6 +111,16 @@ def rated(tie: str, raw: str, partition: str = "", rows: str = "w") -> str:
 q AS (SELECT *, least(1.0, min({raw}) OVER ({by}ORDER BY score DESC, {tie} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM c)"""
 
 
+def levelled(name: str, rows: str, keys: str, partition: str) -> str:
+    """Winning rows by keys of the best rows, and their q-values, as table ``name``."""
+    by = f"PARTITION BY {partition} " if partition else ""
+    return f"""{name}_b AS (SELECT *, row_number() OVER (PARTITION BY {keys}, decoy ORDER BY score DESC, line, base, peptide) AS n_ FROM {rows}),
+      {name}_s AS (SELECT *, max(score) FILTER (decoy) OVER (PARTITION BY {keys}) AS d_, max(score) FILTER (NOT decoy) OVER (PARTITION BY {keys}) AS t_ FROM {name}_b WHERE n_ = 1),
+      {name}_w AS (SELECT * FROM {name}_s WHERE CASE WHEN decoy THEN t_ IS NULL OR t_ <= d_ ELSE d_ IS NULL OR t_ > d_ END),
+      {name}_c AS (SELECT *, count(*) FILTER (NOT decoy) OVER o AS nt, count(*) FILTER (decoy) OVER o AS nd FROM {name}_w WINDOW o AS ({by}ORDER BY score DESC, base ROWS UNBOUNDED PRECEDING)),
+      {name} AS (SELECT *, least(1.0, min({REPORTED}) OVER ({by}ORDER BY score DESC, base ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM {name}_c)"""
+
+
 REPORTED = "CASE WHEN nt = 0 THEN 1.0 ELSE (nd + 1) / nt END"
 TRAINING = "CASE WHEN nt = 0 THEN 1.0 ELSE nd / nt END"
 CALIBRATION = "nd / greatest(nt, 1)"
@@ -121,6 +137,7 @@ QUERIES = {
     "fdr_best_per_peptide": peptides,
     "fdr_compaction": compacted,
     "fdr_effective_level": levels,
+    "fdr_all_levels": all_levels,
     "fdr_picked_groups": picked,
     "fdr_simple_by_quality": simple_by_quality,
 }
@@ -140,6 +157,14 @@ ORACLE_SQL = {
       p AS (SELECT run, peptide AS base, decoy, score FROM r), {winners('run, base', 'p').replace('w AS', 'w2 AS')}, {rated('base', REPORTED, 'run', 'w2').replace('c AS', 'c2 AS').replace('q AS (', 'q2 AS (').replace('FROM c)', 'FROM c2)')}
       SELECT r.run, r.base, line, round(greatest(coalesce(q.q, 1.0), coalesce(q2.q, 1.0)), 9) AS q
       FROM r LEFT JOIN q ON r.run = q.run AND r.base = q.base AND r.decoy = q.decoy LEFT JOIN q2 ON r.run = q2.run AND r.peptide = q2.base AND r.decoy = q2.decoy""",
+    "fdr_all_levels": f"""WITH {ROWS},
+      {levelled('rp', 'r', 'run, base', 'run')},
+      rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, peptide ORDER BY score DESC, line, base) AS n FROM r) WHERE n = 1), {levelled('rq', 'rb', 'run, base', 'run')},
+      {levelled('ep', 'r', 'base', '')},
+      eb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY score DESC, line, base) AS n FROM r) WHERE n = 1), {levelled('eq', 'eb', 'base', '')}
+      SELECT r.run, r.base, r.line, r.peptide, round(coalesce(rp.q, 1), 9) AS run_precursor_q, round(coalesce(rq.q, 1), 9) AS run_peptide_q, round(coalesce(ep.q, 1), 9) AS exp_precursor_q, round(coalesce(eq.q, 1), 9) AS exp_peptide_q
+      FROM r LEFT JOIN rp ON r.run = rp.run AND r.base = rp.base AND r.decoy = rp.decoy AND r.line = rp.line AND r.peptide = rp.peptide AND r.score = rp.score
+      LEFT JOIN rq ON r.run = rq.run AND r.peptide = rq.peptide LEFT JOIN ep ON r.base = ep.base LEFT JOIN eq ON r.peptide = eq.peptide""",
     "fdr_picked_groups": f"""WITH {ROWS}, b AS (SELECT peptide, decoy, max(score) AS score, min(line / 10.0) AS best_q FROM r GROUP BY peptide, decoy),
       m AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS peptide FROM lineitem),
       s AS (SELECT group_id, max(score) FILTER (NOT decoy AND best_q <= 0.1) AS t, max(score) FILTER (decoy) AS d FROM m JOIN b USING (peptide) GROUP BY group_id),
