@@ -7,20 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables that this process has stored.
+_held: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. A temporary one only if there is none and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tidewell-{uuid.uuid4().hex}"
+    _held.append(folder)
+    return f"{folder}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,3 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables stored so far and says how many; call it when no result that was made from them is read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folders = _held[:]
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _held.remove(folder)
+    return len(folders)
