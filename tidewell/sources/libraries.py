@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.dedup import renumbered
+
 #: Header names of each logical column, matched without case.
 ALIASES = {
     "precursor_mz": "PrecursorMz Q1 precursor_mz",
@@ -115,6 +117,71 @@ def spectral_library(spark: SparkSession, path: str) -> DataFrame:
     return spectra.join(owners, "id", "left").withColumn("p", peaks).select("id", "sequence", "modified_sequence", "precursor_mz", "charge", "rt", "p.mzs", "p.intensities", F.coalesce("proteins", F.array().cast("array<string>")).alias("proteins"))
 
 
+def unpack_plain(mz: Column, intensity: Column) -> Column:
+    """(mzs, intensities) of uncompressed little-endian blobs of doubles, or of singles where the sizes don't fit doubles."""
+
+    @F.pandas_udf("mzs array<double>, intensities array<double>")
+    def unpack(mz_blobs, intensity_blobs):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for a, b in zip(mz_blobs, intensity_blobs, strict=True):
+            a, b = a or b"", b or b""
+            width = 8 if len(a) % 8 == 0 and len(b) % 8 == 0 else 4
+            if len(a) % width or len(b) % width:
+                raise ValueError(f"blobs of {len(a)} and {len(b)} bytes hold no numbers of 8 or 4 bytes")
+            x, y = (np.frombuffer(v, f"<f{width}").astype(float) for v in (a, b))
+            n = min(len(x), len(y))
+            out.append((x[:n], y[:n]))
+        return pd.DataFrame(out, columns=["mzs", "intensities"])
+
+    return unpack(mz, intensity)
+
+
+def entry_library(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a SQLite library with tables ``entries`` and ``peaks``, or, where there are none, the precursors of ``peptidetoprotein`` without fragments.
+
+    Columns: entry_id (in the order of sequence and charge), modified_sequence, charge,
+    precursor_mz, rt (minutes, 0 if unknown), mzs, intensities, proteins.
+    """
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as con:
+        tables = {r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+    none = F.array().cast("array<double>")
+    if "entries" in tables:
+        query = "SELECT e.PeptideModSeq, e.PrecursorCharge, e.PrecursorMz, e.RTInSeconds, e.ProteinAccession, p.MassArray, p.IntensityArray FROM entries e LEFT JOIN peaks p ON e.PeptideModSeq = p.PeptideModSeq AND e.PrecursorCharge = p.PrecursorCharge"
+        rows = sqlite_table(spark, path, query, "modified_sequence string, charge int, precursor_mz double, seconds double, protein string, mz_blob binary, intensity_blob binary")
+        both = F.col("mz_blob").isNotNull() & F.col("intensity_blob").isNotNull()
+        peaks = unpack_plain(F.when(both, F.col("mz_blob")), F.when(both, F.col("intensity_blob")))
+        rows = rows.withColumn("p", peaks).withColumn("mzs", F.col("p.mzs")).withColumn("intensities", F.col("p.intensities"))
+    else:
+        rows = sqlite_table(spark, path, "SELECT DISTINCT PeptideModSeq, PrecursorCharge, PrecursorMz FROM peptidetoprotein", "modified_sequence string, charge int, precursor_mz double")
+        rows = rows.withColumn("seconds", F.lit(None).cast("double")).withColumn("protein", F.lit(None).cast("string")).withColumn("mzs", none).withColumn("intensities", none)
+    rows = rows.withColumn("rt", F.coalesce(F.col("seconds") / 60, F.lit(0.0))).withColumn("proteins", F.filter(F.array("protein"), lambda x: x.isNotNull()))
+    return renumbered(rows.drop("seconds", "protein", "p", "mz_blob", "intensity_blob"), ["modified_sequence", "charge", "precursor_mz"])
+
+
+#: Headers of result tables of error-rate tools, lower-cased.
+RESULT_HEADERS = {
+    "psm_id": ("specid", "psm_id", "psmid"),
+    "peptide": ("peptide",),
+    "score": ("score", "mokapot_score", "mokapot score"),
+    "q": ("q-value", "qvalue", "mokapot_qvalue", "mokapot q-value"),
+    "pep": ("posterior_error_prob", "pep", "mokapot_pep"),
+}
+
+
+def external_results(spark: SparkSession, path: str) -> DataFrame:
+    """(psm_id, peptide, score, q, pep) of a tab-separated result table; rows without an id go, numbers that can't be read are 0, 1 and 1."""
+    raw = spark.read.csv(path, sep="\t", header=True, mode="PERMISSIVE")
+    by_name = {c.lower(): c for c in raw.columns}
+    found = {k: next((by_name[n] for n in names if n in by_name), None) for k, names in RESULT_HEADERS.items()}
+    column = lambda k: F.lit(None).cast("string") if found[k] is None else F.col(f"`{found[k]}`")
+    number = lambda k, other: F.coalesce(column(k).try_cast("double"), F.lit(other))
+    rows = raw.select(column("psm_id").alias("psm_id"), F.coalesce(column("peptide"), F.lit("")).alias("peptide"), number("score", 0.0).alias("score"), number("q", 1.0).alias("q"), number("pep", 1.0).alias("pep"))
+    return rows.filter("psm_id IS NOT NULL")
+
+
 def pack(values: list[float], code: str) -> bytes:
     """Little-endian bytes, by zlib if that is shorter."""
     raw = struct.pack(f"<{len(values)}{code}", *values)

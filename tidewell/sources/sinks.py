@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,19 @@ def library_tables(entries: DataFrame) -> dict[str, DataFrame]:
 
     proteins = renumbered(links.select("accession").distinct(), ["accession"], "protein_id")
     return {"spectra": spectra, "peaks": peaks, "proteins": proteins, "links": links.join(proteins, "accession").select("id", "protein_id")}
+
+
+def write_calibration(curves: DataFrame, path: str, keys: list[str]) -> None:
+    """A JSON line per curve, as ``read_calibration`` reads it."""
+    curves.select(*keys, "knots", "fitted", "residuals", "sd", "mad", "n").write.json(path, ignoreNullFields=False)
+
+
+def read_calibration(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Curves as ``local_fit`` gives them."""
+    schema = ", ".join(f"`{k}` string" for k in keys) + ", knots array<double>, fitted array<double>, residuals array<double>, sd double, mad double, n long"
+    return spark.read.schema(schema).json(path)
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Pairs of target and decoy as CSV with a header, in the order of their first column, missing values empty."""
+    pairs.orderBy(pairs.columns[0]).write.csv(path, header=True, nullValue="")
