@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
-from tidewell.operators import acquisition, local_fit, models, stats
+from tidewell.operators import acquisition, fdr, local_fit, models, stats
 
 
 def test_counts_stand_for_rows():
@@ -119,3 +119,42 @@ def test_score_scale(spark):
     assert np.median([v for (b, d), v in got.items() if d]) == pytest.approx(-1.0)
     same = df.filter("decoy")
     assert sorted(r.score for r in models.normalized(same).collect()) == sorted(r.score for r in same.collect())
+
+
+def test_calibration_chances():
+    """The decoys' share weighs in, and a higher score never has a higher chance."""
+    pick = np.random.default_rng(9)
+    scores, decoy = np.concatenate((pick.normal(0, 1, 500), pick.normal(2.5, 1, 1500))), np.arange(2000) < 500
+    grid = np.linspace(-3, 6, 300)
+    got = kernels.calibration_chances(grid, scores, decoy)
+
+    def height(values):
+        width = values.std(ddof=1) * (4 / (3 * len(values))) ** 0.2
+        return np.exp(-(((grid[:, None] - values) / width) ** 2) / 2).sum(axis=1) / (len(values) * width * np.sqrt(2 * np.pi))
+
+    bad, good = height(scores[decoy]) * 0.25, height(scores[~decoy]) * 0.75
+    want = np.maximum.accumulate((bad / (bad + good))[::-1])[::-1]
+    assert np.abs(got - want).max() < 0.02 and (np.diff(got) <= 1e-12).all()
+    assert kernels.calibration_chances(grid, scores, np.zeros(2000, bool)).min() == 1.0
+
+
+def test_discriminant(spark):
+    """Two measures together separate better than the first alone; a measure that misleads has no weight."""
+    pick = np.random.default_rng(4)
+    rows = []
+    for i in range(1500):
+        for d in (False, True):
+            good = not d and i % 3
+            rows.append((i, d, f"p{i}", float(pick.normal(1.5 * bool(good), 1)), float(pick.normal(3.0 * bool(good), 1)), float(pick.normal(-1.0 * bool(good), 1))))
+    df = spark.createDataFrame(rows, "base long, decoy boolean, peptide string, a double, b double, c double")
+    scored = models.discriminant_scores(df, ["a", "b", "c"], threshold=0.05)
+    assert sorted(scored.columns) == ["base", "decoy", "peptide", "score"] and scored.count() == 3000
+
+    def accepted(score):
+        best = scored.join(df.select("base", "decoy", "a"), ["base", "decoy"]).select("base", "decoy", score.alias("score"))
+        return fdr.accepted_targets(fdr.compete(best, ["base"]), ["base"], 0.05).count()
+
+    assert accepted(F.col("score")) > 1.3 * accepted(F.col("a"))
+    both = scored.join(df, ["base", "decoy", "peptide"]).select("score", "a", "b", "c").toPandas()
+    weights = np.linalg.lstsq(both[["a", "b", "c"]].to_numpy(), both["score"].to_numpy(), rcond=None)[0]
+    assert weights[2] == pytest.approx(0, abs=1e-9) and weights[1] > weights[0] > 0 and weights @ weights == pytest.approx(1)

@@ -180,6 +180,29 @@ def discriminant(x: np.ndarray, positive: np.ndarray) -> np.ndarray | None:
     return w / norm if norm > 0 else w
 
 
+def density(grid: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Gaussian density of weighted values at the places of ``grid``, as wide as their spread and number ask (Silverman)."""
+    n = weights.sum()
+    spread = np.sqrt(weights @ (values - (weights @ values) / n) ** 2 / (n - 1)) if n > 1 else 0.0
+    width = max(spread * (4 / (3 * n)) ** 0.2, 1e-6)
+    held_rows, edges = np.histogram(values, bins=int(min(4096, max(64, n))), weights=weights)
+    centers = (edges[1:] + edges[:-1]) / 2
+    held = held_rows > 0
+    z = (grid[:, None] - centers[held][None, :]) / width
+    return (np.exp(-z * z / 2) @ held_rows[held]) / (n * width * np.sqrt(2 * np.pi))
+
+
+def calibration_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+    """As ``error_chances``, with the decoys' share of all rows as the prior and the largest chance of any higher score; 1 if a class is missing."""
+    rows = np.ones(len(scores)) if counts is None else counts.astype(float)
+    if decoy.all() or not decoy.any():
+        return np.ones(len(grid))
+    wrong = rows[decoy].sum() / rows.sum()
+    bad, good = density(grid, scores[decoy], rows[decoy]) * wrong, density(grid, scores[~decoy], rows[~decoy]) * (1 - wrong)
+    raw = np.divide(bad, bad + good, out=np.ones(len(grid)), where=bad + good > 0)
+    return np.maximum.accumulate(raw[::-1])[::-1]
+
+
 def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """Chance of an error at each score of ``grid``: from Gaussian densities of both classes, never rising with the score.
 
@@ -188,20 +211,10 @@ def error_chances(grid: np.ndarray, scores: np.ndarray, decoy: np.ndarray, count
     """
     rows = np.ones(len(scores)) if counts is None else counts.astype(float)
 
-    def density(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        n = weights.sum()
-        spread = np.sqrt(weights @ (values - (weights @ values) / n) ** 2 / (n - 1)) if n > 1 else 0.0
-        width = max(spread * (4 / (3 * n)) ** 0.2, 1e-6)
-        held_rows, edges = np.histogram(values, bins=int(min(4096, max(64, n))), weights=weights)
-        centers = (edges[1:] + edges[:-1]) / 2
-        held = held_rows > 0
-        z = (grid[:, None] - centers[held][None, :]) / width
-        return (np.exp(-z * z / 2) @ held_rows[held]) / (n * width * np.sqrt(2 * np.pi))
-
     if decoy.all() or not decoy.any():  # nothing to compare with: no row can be called right
         return np.ones(len(grid))
     wrong = float(np.clip(rows[decoy].sum() / max(rows[~decoy].sum(), 1), 0.01, 0.99))
-    bad, good = density(scores[decoy], rows[decoy]) * wrong, density(scores[~decoy], rows[~decoy]) * (1 - wrong)
+    bad, good = density(grid, scores[decoy], rows[decoy]) * wrong, density(grid, scores[~decoy], rows[~decoy]) * (1 - wrong)
     return falling(np.divide(bad, bad + good, out=np.ones(len(grid)), where=bad + good > 0))
 
 

@@ -54,12 +54,13 @@ def fit_curves(points: DataFrame, keys: list[str], x: str, y: str, bandwidth: fl
     return curves.join(profile, keys).join(spread, keys).join(middle, keys).select(*keys, "knots", "fitted", "residuals", "sd", "mad", "n")
 
 
-def place(sorted_values: Column, value: Column, equal: bool = False) -> Column:
-    """How many of the sorted values are below ``value`` (with ``equal``: or equal to it), by halving."""
+def place(sorted_values: Column, value: Column, field: str | None = None, equal: bool = False) -> Column:
+    """How many of the sorted values (or their ``field``) are below ``value`` (with ``equal``: or equal to it), by halving."""
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s.lo + s.hi) / 2).cast("int")
         at = F.get(sorted_values, mid)
+        at = at[field] if field else at
         right = (at <= value) if equal else (at < value)
         return F.when(s.lo >= s.hi, s).when(right, F.struct((mid + 1).alias("lo"), s.hi.alias("hi"))).otherwise(F.struct(s.lo.alias("lo"), mid.alias("hi")))
 

@@ -89,14 +89,18 @@ def normalized(scored: DataFrame, threshold: float = 0.01) -> DataFrame:
     return scored.crossJoin(F.broadcast(both)).withColumn("score", moved).drop("_last", "_mid")
 
 
+def _sampled(folded: DataFrame, features: list[str], base: str, group: str) -> DataFrame:
+    """Rows of each fold left out (held). Whole groups are drawn by their hash, in about the share that MAX_ROWS allows."""
+    share = min(1.0, MAX_ROWS * FOLDS / (FOLDS - 1) / max(folded.count(), 1))
+    drawn = folded.filter(F.pmod(F.xxhash64(group), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return drawn.select(base, "decoy", "fold", *features, F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")).filter("fold <> held")
+
+
 def score(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01) -> DataFrame:
     """``rows`` with ``score``: each row by the model of the folds that its group isn't in. ``rows`` has ``decoy``."""
     standard = stats.standardized(rows, features)
     folded = stored(standard.join(stats.folds(rows, group, FOLDS), group), "model_rows")
-    # whole groups (all rows of a peptide or pair) are drawn by their hash, in about the share that the bound allows
-    share = min(1.0, MAX_ROWS * FOLDS / (FOLDS - 1) / max(folded.count(), 1))
-    drawn = folded.filter(F.pmod(F.xxhash64(group), F.lit(1 << 40)) < int(share * (1 << 40)))
-    dealt = drawn.select(base, "decoy", "fold", *features, F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")).filter("fold <> held")
+    dealt = _sampled(folded, features, base, group)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([base, "decoy", *features])
@@ -111,7 +115,47 @@ def score(rows: DataFrame, features: list[str], base: str = "base", group: str =
     return joined.withColumn("score", total).drop("w", "held", *features)
 
 
-def error_chances(winners: DataFrame) -> DataFrame:
+def discriminant_scores(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01, rounds: int = 3) -> DataFrame:
+    """``rows`` with ``score``: one linear discriminant for all, whose weights are the mean of those of the folds.
+
+    Each fold's weights are fitted up to ``rounds`` times on the decoys and on the targets
+    accepted so far; weights below 0 are 0, and their squares sum to 1. The first feature
+    is where it starts, and where it stays if no fit accepts more targets.
+    """
+    folded = stored(rows.join(stats.folds(rows, group, FOLDS), group), "model_rows")
+    dealt = _sampled(folded, features, base, group)
+
+    def accepted(score: np.ndarray, decoy: np.ndarray) -> np.ndarray:
+        return (_estimates(score, decoy) <= threshold) & ~decoy
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([base, "decoy", *features])
+        x, decoy = part[features].to_numpy(float), part["decoy"].to_numpy(bool)
+        best = np.eye(len(features))[0]
+        chosen = accepted(x @ best, decoy)
+        most = chosen.sum()
+        for _ in range(rounds):
+            use = chosen | decoy
+            w = kernels.discriminant(x[use], ~decoy[use])
+            w = None if w is None else np.maximum(w, 0)
+            if w is None or not w.any():
+                break
+            w = w / np.linalg.norm(w)
+            chosen = accepted(x @ w, decoy)
+            if chosen.sum() > most:
+                best, most = w, chosen.sum()
+        return pd.DataFrame({"held": [int(part["held"].iloc[0])], "w": [best]})
+
+    fitted = dealt.groupBy("held").applyInPandas(fit, "held int, w array<double>").collect()  # a row per fold
+    mean = np.maximum(np.mean([r["w"] for r in fitted], axis=0), 0) if fitted else np.eye(len(features))[0]
+    mean = mean / np.linalg.norm(mean)
+    total = F.lit(0.0)
+    for f, w in zip(features, mean, strict=True):
+        total = total + F.lit(float(w)) * F.col(f)
+    return folded.withColumn("score", total).drop("fold", *features)
+
+
+def error_chances(winners: DataFrame, chances=kernels.error_chances) -> DataFrame:
     """``winners`` (of a competition, with score and decoy) with ``pep``: from densities on a grid of GRID scores.
 
     Scores are counted per cell of the grid first, so the fit sees counts, not rows.
@@ -126,7 +170,7 @@ def error_chances(winners: DataFrame) -> DataFrame:
         low, high = part["_lo"].iloc[0], part["_hi"].iloc[0]
         grid = np.linspace(low, high, GRID)
         at, decoy = part["_cell"].to_numpy(int), part["decoy"].to_numpy(bool)
-        return pd.DataFrame({"_cell": np.arange(GRID, dtype=np.int32), "pep": kernels.error_chances(grid, grid[np.clip(at, 0, GRID - 1)], decoy, part["n"].to_numpy(int))})
+        return pd.DataFrame({"_cell": np.arange(GRID, dtype=np.int32), "pep": chances(grid, grid[np.clip(at, 0, GRID - 1)], decoy, part["n"].to_numpy(int))})
 
     table = cells.groupBy("_lo", "_hi").applyInPandas(fit, "_cell int, pep double")
     return placed.join(F.broadcast(table), "_cell").drop("_cell", "_lo", "_hi")  # GRID rows

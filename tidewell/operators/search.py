@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
 from tidewell.operators.joins import range_join
+from tidewell.operators.local_fit import place
 
 TOP_FRAGMENTS = 6
 
@@ -30,8 +31,13 @@ def top_fragments(fragments: Column, n: int = TOP_FRAGMENTS) -> Column:
 
 
 def closest_intensity(mz: Column, peaks: Column, ppm: float) -> Column:
-    """Intensity of the peak (mz, intensity) closest to ``mz`` within ``ppm``, the lower one on a tie, 0 without any."""
-    near = F.filter(peaks, lambda p: F.abs(p.mz - mz) <= mz * ppm / 1e6)
+    """Intensity of the peak (mz, intensity) closest to ``mz`` within ``ppm``, the lower one on a tie, 0 without any.
+
+    Peaks are sorted by place, so the band is cut out by halving and only its peaks are compared.
+    """
+    width = mz * ppm / 1e6
+    low, high = place(peaks, mz - width, "mz"), place(peaks, mz + width, "mz", equal=True)
+    near = F.slice(peaks, low + 1, F.greatest(high - low, F.lit(0)))
     best = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p.mz - mz).alias("d"), p.mz.alias("m"), p.intensity.cast("double").alias("y"))))
     return F.coalesce(best.y, F.lit(0.0))
 
@@ -72,11 +78,11 @@ def prefiltered(rows: DataFrame, least_fragments: int = 2, length: int = 4, leas
     return rows.join(keep, ["file_name", "entry_id"], "left_semi")
 
 
-SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, rank_score double"
+SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, rank_score double, rank int"
 
 
 def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
-    """The best peak of each entry and run by mean correlation, closeness to the expected time and height."""
+    """The ``top`` best peaks of each entry and run by mean correlation, closeness to the expected time and height."""
     sigma = max(rt_sigma, 0.1)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
@@ -97,11 +103,11 @@ def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
             out.append((rt[apex], rt[start], rt[end], total[apex], area, noise, pairs.sum(), root, int((y[:, apex] > 0).sum()), rank))
         out.sort(key=lambda r: -r[-1])
         first = part.iloc[0]
-        return pd.DataFrame([(first["file_name"], first["entry_id"], first["decoy"], first["expected_rt"], *r) for r in out[:top]], columns=[c.split()[0] for c in SCORES.split(", ")])
+        return pd.DataFrame([(first["file_name"], first["entry_id"], first["decoy"], first["expected_rt"], *r, n) for n, r in enumerate(out[:top], 1)], columns=[c.split()[0] for c in SCORES.split(", ")])
 
     return rows.groupBy("file_name", "entry_id").applyInPandas(one, SCORES)
 
 
-def search(entries: DataFrame, spectra: DataFrame, rt_tolerance: float = 2.0, ppm: float = 10.0) -> DataFrame:
-    """Scored peaks, the best of each entry and run."""
-    return score(prefiltered(series(entries, spectra, rt_tolerance, ppm)), rt_tolerance / 2)
+def search(entries: DataFrame, spectra: DataFrame, rt_tolerance: float = 2.0, ppm: float = 10.0, top: int = 1) -> DataFrame:
+    """Scored peaks, the ``top`` best of each entry and run with their rank from 1."""
+    return score(prefiltered(series(entries, spectra, rt_tolerance, ppm)), rt_tolerance / 2, top)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import local_fit, models, peaks
+from tidewell.functions import kernels
+from tidewell.operators import fdr, local_fit, models, peaks, search
 from tidewell.session import table
 
 
@@ -45,11 +46,35 @@ def scored_lines(spark, sf_dir):
     return models.experiment(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+def discriminated(spark, sf_dir):
+    """Lines by one discriminant of their measures, with q-values and the calibration's error chances."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("base"), (F.col("l_linenumber") % 2 == 0).alias("decoy"), F.col("l_partkey").alias("peptide"), F.col("l_extendedprice"), "l_quantity", "l_discount", "l_tax")
+    scored = models.discriminant_scores(rows, ["l_extendedprice", "l_quantity", "l_discount", "l_tax"], threshold=0.5)
+    winners = fdr.q_values(fdr.compete(models.normalized(scored, 0.5), ["base"]), ["base"], fdr.CALIBRATION)
+    return models.error_chances(winners, kernels.calibration_chances)
+
+
+def searched(spark, sf_dir):
+    """Users as catalogue entries and isolation windows, event types as fragments, time slots as scans: five peaks of each."""
+    slots = event_matrix(spark, sf_dir).withColumn("mz", F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(9000)) / 10.0 + 100)
+    peaks_of = F.array_sort(F.collect_list(F.struct("mz", F.col("value").alias("y"))))
+    center = 400.0 + F.col("user_id")
+    scans = slots.groupBy("user_id", "slot").agg(peaks_of.alias("p")).select(
+        F.lit("events").alias("file_name"), F.col("slot").alias("scan"), F.col("slot").cast("double").alias("rt"), (center - 0.4).alias("iso_low"), (center + 0.4).alias("iso_high"), F.col("p.mz").alias("mzs"), F.col("p.y").alias("intensities")
+    )
+    fragments = F.array_sort(F.collect_list(F.struct("mz", F.col("total").alias("intensity"))))
+    by_type = slots.groupBy("user_id", "mz").agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("slot")).alias("moment"))
+    entries = by_type.groupBy("user_id").agg(fragments.alias("fragments"), (F.sum("moment") / F.sum("total")).alias("rt")).select(F.col("user_id").alias("entry_id"), (400.0 + F.col("user_id")).alias("precursor_mz"), "rt", "fragments", F.lit(False).alias("decoy"))
+    return search.search(entries, scans, rt_tolerance=60.0, ppm=20.0, top=5)
+
+
 QUERIES = {
     "peaks_consensus": detected,
     "peaks_median_polish": polished,
     "calibration_curves": curves,
     "calibration_applied": calibrated,
     "model_experiment": scored_lines,
+    "model_discriminant": discriminated,
+    "search_peaks": searched,
 }
 ORACLE_SQL: dict = {}
