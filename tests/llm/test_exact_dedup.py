@@ -46,3 +46,11 @@ def test_empty_and_drop(spark):
     docs = spark.createDataFrame(ROWS[:2] + ROWS[7:8], "doc_id long, text string")
     assert E.exact_groups(docs.limit(0)).count() == 0
     assert sorted(r.doc_id for r in E.drop_exact_copies(docs).collect()) == [2, 8]
+
+
+def test_rows_decide(spark):
+    """Of each text one row stays, that with the largest id; ids may be null or repeat; equal rows count once."""
+    rows = [(1, "a b", "x"), (4, "a b", "y"), (4, "a b", "y"), (4, "other", "z"), (None, "a b", "n"), (None, "alone", None), (None, None, "p"), (2, "", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, recipe string")
+    got = sorted(map(tuple, E.drop_exact_copies(docs).collect()), key=str)
+    assert got == sorted([(4, "a b", "y"), (4, "other", "z"), (None, "alone", None), (2, "", "q")], key=str)

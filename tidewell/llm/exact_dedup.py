@@ -9,7 +9,8 @@ compared by recipe alone.
 
 Defined cases: a null text counts as empty; the empty text has the empty recipe;
 of rows equal in text and doc_id one stays; a null doc_id is smaller than any
-other; an empty table gives an empty result; other columns are ignored.
+other; an empty table gives an empty result; other columns are ignored, and kept by
+``drop_exact_copies``, which tells rows of an id apart by them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.rows import KEY, keep, row_key
 from tidewell.storage import stored
 
 #: Characters of a chunk: no anchor is looked for before the first number, and none after the second.
@@ -57,18 +59,21 @@ def variants(texts: DataFrame, clashing: DataFrame, hash_of=chunk_hash, **sizes)
     return found.groupBy("text_sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("variant"))
 
 
+def recipes_of(docs: DataFrame, id_col: str, text_col: str, hash_of, named: bool = False, **sizes) -> tuple[DataFrame, list[str]]:
+    """(doc_id, text_sha256, recipe) per row, with ``named`` also _row_key, and the columns that are equal for equal texts only."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([row_key(docs).alias(KEY)] if named else []))
+    others = [KEY] if named else []
+    recipes = stored(texts.select("doc_id", *others, F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text"), **sizes), hash_of).alias("recipe")), "recipes")
+    clashing = stored(clashes(texts, hash_of, **sizes), "clashes")
+    if clashing.isEmpty():
+        return recipes, ["recipe"]
+    recipes = recipes.join(variants(texts, clashing, hash_of, **sizes), "text_sha256", "left").withColumn("variant", F.coalesce("variant", F.array()))
+    return recipes, ["recipe", "variant"]
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_of=chunk_hash, **sizes) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    recipes = stored(
-        texts.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.transform(chunks(F.col("text"), **sizes), hash_of).alias("recipe")),
-        "recipes",
-    )
-    clashing = stored(clashes(texts, hash_of, **sizes), "clashes")
-    key = ["recipe"]
-    if not clashing.isEmpty():
-        recipes = recipes.join(variants(texts, clashing, hash_of, **sizes), "text_sha256", "left").withColumn("variant", F.coalesce("variant", F.array()))
-        key = ["recipe", "variant"]
+    recipes, key = recipes_of(docs, id_col, text_col, hash_of, **sizes)
     rows = recipes.groupBy("doc_id", "text_sha256", *key).agg(F.count("*").alias("copies"))
     groups = stored(recipes.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     each = rows.join(groups, key).select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
@@ -83,9 +88,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger id has; ids are taken as unique."""
-    dropped = stored(exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")), "dropped")
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_dropped")), "left_anti")
+    """``docs`` with one row of each text: that with the largest id, null last; of rows equal in every column any one."""
+    recipes, key = recipes_of(docs, id_col, text_col, chunk_hash, named=True)
+    return keep(docs, recipes.select(KEY, "doc_id", F.struct(*key).alias("component_id")), largest=True)
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

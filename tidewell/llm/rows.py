@@ -49,14 +49,16 @@ def attach(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return whole.join(decided, KEY).select(*[whole[f"`{c}`"] for c in docs.columns], *[decided[c] for c in theirs])
 
 
-def keep(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that with the smallest id (null last), any one of several equal rows.
+def keep(docs: DataFrame, groups: DataFrame, largest: bool = False) -> DataFrame:
+    """One row of ``docs`` for each group: that with the smallest id (or the ``largest``; null last), any one of several equal rows.
 
     ``groups`` has (_row_key, doc_id, component_id) for each row. Whole rows stay where they are
     and are checked against the keys that go; only rows that repeat in every column move.
     """
     keys = groups.groupBy("component_id", KEY, "doc_id").agg(F.count("*").alias("copies"))
-    first = keys.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)).alias("first"))
+    known = F.col("doc_id").isNotNull()
+    first = F.max(F.struct(known.alias("known"), "doc_id", KEY)) if largest else F.min(F.struct((~known).alias("none"), "doc_id", KEY))
+    first = keys.groupBy("component_id").agg(first.alias("first"))
     same = keys["component_id"].eqNullSafe(first["component_id"])
     marked = keys.join(first, same).select(keys[KEY], "copies", (F.col(KEY) == F.col(f"first.{KEY}")).alias("stays"))
     marked = stored(marked.filter("copies > 1 OR NOT stays"), "row_decisions")
