@@ -26,6 +26,8 @@ def brute(docs, items, similarity=0.8, k=5):
                     found.add((doc, *name, 1.0, 0, len(w)))
                 continue
             target, best = shingles(iw), None
+            if not shingles(w).keys() & target.keys():
+                continue
             for s in range(max(len(w) - len(iw), 0) + 1):
                 part = w[s : s + len(iw)]
                 have = shingles(part)

@@ -83,24 +83,32 @@ def anchors(shingled: DataFrame, similarity: float) -> DataFrame:
     return shingled.join(ranked, "cid").select(F.explode(F.aggregate("ranked", none, taken).h).alias("h"), "cid", F.size("words").alias("length"))
 
 
-def hits(texts: DataFrame, looked_up: DataFrame, max_broadcast: int) -> DataFrame:
-    """(tkey, p, h, length): where texts have anchors.
+def leaky_texts(texts: DataFrame, looked_up: DataFrame, max_broadcast: int) -> DataFrame:
+    """(tkey, words, hits, shingles): texts with anchors, each once, and where these are (p, h, length).
 
-    Outer generators: of others the optimizer infers a filter that computes the array twice.
+    Only texts with hits move. Outer generators: of others the optimizer infers a filter
+    that computes the array twice.
     """
-    each = with_shingles(texts).select("tkey", F.posexplode_outer("shingles").alias("p", "h"))
-    small = looked_up.count() <= max_broadcast
-    return each.join(F.broadcast(looked_up) if small else looked_up, "h").select("tkey", "p", "h", "length").distinct()
-
-
-def windows(found: DataFrame, leaky: DataFrame, item_shingles: DataFrame) -> DataFrame:
+    places = F.collect_set(F.struct("p", "h", "length")).alias("hits")
+    each = F.posexplode_outer("shingles").alias("p", "h")
+    if looked_up.count() <= max_broadcast:
+        met = with_shingles(texts).select("tkey", "words", each).join(F.broadcast(looked_up), "h")
+        found = met.groupBy("tkey").agg(F.first("words").alias("words"), places)
+    else:
+        met = with_shingles(texts).select("tkey", each).join(looked_up, "h")
+        found = texts.dropDuplicates(["tkey"]).join(met.groupBy("tkey").agg(places), "tkey")
+    return with_shingles(found)
+
+
+def windows(leaky: DataFrame, item_shingles: DataFrame) -> DataFrame:
     """(tkey, start, length, h): the windows that can be similar to an item, and the anchors that they hold.
 
-    ``leaky`` has (tkey, words, shingles) of the texts with hits, ``item_shingles`` (h).
+    ``leaky`` as ``leaky_texts`` gives it, ``item_shingles`` (h).
     """
     last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
     first = F.greatest(F.col("p") - (F.col("length") - SHINGLE_WORDS), F.lit(0))
-    around = found.join(leaky, "tkey").select("tkey", "h", "length", "shingles", last.alias("last"), F.sequence(first, F.greatest(F.least("p", last), first)).alias("starts"))
+    found = leaky.select("tkey", "words", "shingles", F.inline("hits"))
+    around = found.select("tkey", "h", "length", "shingles", last.alias("last"), F.sequence(first, F.greatest(F.least("p", last), first)).alias("starts"))
     each = around.select("tkey", "h", "length", "last", "shingles", F.explode("starts").alias("start")).filter("start <= last")
     each = each.select("tkey", "start", "length", "h", "last", F.get("shingles", F.col("start")).alias("begins")).distinct()
     begins = each.filter("start < last").join(item_shingles.select(F.col("h").alias("begins")), "begins", "left_semi")
@@ -155,11 +163,9 @@ def leaks(texts: DataFrame, items: DataFrame, similarity: float, max_broadcast:
     named = classes.select(F.col("cid"), "item_id", "n_items")
     shingled = with_shingles(classes.filter(F.size("words") >= SHINGLE_WORDS))
     anchored = stored(anchors(shingled, similarity), "anchors")
-    found = stored(hits(texts, stored(anchored.select("h", "length").distinct(), "looked_up"), max_broadcast), "hits")
-    leaky = texts.join(found.select("tkey").distinct(), "tkey", "left_semi").dropDuplicates(["tkey"])
-    leaky = stored(with_shingles(leaky), "leaky_texts")
+    leaky = stored(leaky_texts(texts, stored(anchored.select("h", "length").distinct(), "looked_up"), max_broadcast), "leaky_texts")
     item_shingles = shingled.select(F.explode("shingles").alias("h")).distinct()
-    taken = stored(windows(found, leaky, item_shingles), "windows")
+    taken = stored(windows(leaky, item_shingles), "windows")
     key = ["tkey", "start", "length"]
     shingles_in = F.slice("shingles", F.col("start") + 1, F.greatest(F.least(F.col("length"), F.size("words")) - (SHINGLE_WORDS - 1), F.lit(1)))
     distinct = taken.select(key).distinct()
