@@ -201,6 +201,6 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[removed]") ->
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:OTHER])]
+    counts = [F.size(F.filter(F.transform("base", lambda s: s.kind), lambda x: x == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:OTHER])]
     both = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(both).alias("spans"))
