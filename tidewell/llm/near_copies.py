@@ -14,9 +14,11 @@ fingerprint (pivot), and the pivot table holds these distances in standard units
    4.8 standard deviations of such a difference at 0.8, which leaves 0.4 % of other pairs.
 3. What survives is verified exactly, on the sets of shingles.
 
-Equal sets are one node from there on. A key's nodes are first compared with one of them;
-what this leaves in different components is then compared pair by pair, so the components
-are those of all pairs that meet, without a comparison of all pairs.
+Equal sets are one node from there on. A key's nodes are first compared with one of them.
+Only keys that this leaves in several components are looked at again: their nodes get a
+table of WIDE pivots, and each key is swept in its task, where the table's distances
+discard pairs whose similarity they estimate to be 4.5 standard deviations below 0.8. So
+the components are those of all pairs that meet, and pairs are made of survivors only.
 
 Defined cases: ASCII letters are folded; with fewer words than a shingle has, the whole
 sequence is the shingle; texts without words (and null texts) equal each other only; ids
@@ -51,6 +53,13 @@ KEYS = SETS
 #: Coordinates of the pivot table, steps of a coordinate to a standard deviation, and the largest difference of similar texts.
 COORDINATES, UNIT = 48, 16
 LIMIT = int(4.8 * UNIT * np.sqrt(2 * (1 - 8 / 9)))
+#: Nodes that stand for their keys: a set of keys' first nodes in so many orders, so that texts on the edge of a large group meet several of it.
+HUBS = 8
+#: Pivots of the wide table, and the least cosine of two of its rows at a similarity of 0.8.
+WIDE = 512
+LEAST_COSINE = 8 / 9 - 4.5 * (1 - (8 / 9) ** 2) / np.sqrt(WIDE)
+#: Rows that a sweep compares at once with as many others.
+SWEEP = 2048
 #: Shingles whose bits are counted at once.
 BLOCK = 255 * 16
 
@@ -77,16 +86,16 @@ def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray
     return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
 
 
-def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """For each of BITS bits drawn from the hashes: how many have it set, less how many do not."""
-    counts = np.zeros(BITS, np.int64)
+def bit_counts(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each of ``bits`` bits drawn from the hashes: how many have it set, less how many do not."""
+    counts = np.zeros(bits, np.int64)
     for i in range(0, len(hashes), BLOCK):
-        part = hashes[i : i + BLOCK, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = hashes[i : i + BLOCK, None] + np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        bits = np.unpackbits((part ^ (part >> np.uint64(31))).view(np.uint8), axis=1)
-        for j in range(0, len(bits), 255):
-            counts += bits[j : j + 255].sum(axis=0, dtype=np.uint8)
+        each = np.unpackbits((part ^ (part >> np.uint64(31))).view(np.uint8), axis=1)
+        for j in range(0, len(each), 255):
+            counts += each[j : j + 255].sum(axis=0, dtype=np.uint8)
     return 2 * counts - len(hashes)
 
 
@@ -106,13 +115,20 @@ def pivot_tables(counts: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np
     return keys.view(np.int64), np.clip(np.rint(away * UNIT), -127, 127).astype(np.int8)
 
 
+def wide_table(counts: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Standardised distances of rows of WIDE counts to as many pivots, those of each BITS of them to a set's."""
+    unit = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9) * np.sqrt(WIDE / BITS)
+    away = np.concatenate([unit[:, i : i + BITS].astype(np.float32) @ pivots[s].T for s, i in enumerate(range(0, WIDE, BITS))], axis=1)
+    return np.clip(np.rint(away * UNIT), -127, 127).astype(np.int8)
+
+
 def shingle_sets(rows: DataFrame, kept: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, _row_key, text_key, node, n, ...) of rows (doc_id, _row_key, text_key, text).
 
     node is the XXH64 of the set and n its size. With ``kept`` "shingles", the set; with
-    "pivots", keys and coordinates.
+    "pivots", keys and coordinates; with "wide", the wide table, a byte for each pivot.
     """
-    found = {"shingles": "shingles array<bigint>", "pivots": "keys array<bigint>, coordinates array<tinyint>"}[kept]
+    found = {"shingles": "shingles array<bigint>", "pivots": "keys array<bigint>, coordinates array<tinyint>", "wide": "wide binary"}[kept]
     names = [x.split()[0] for x in found.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +140,8 @@ def shingle_sets(rows: DataFrame, kept: str, shingle_words: int = SHINGLE_WORDS)
                 nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
                 if kept == "shingles":
                     arrays = [pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+                elif kept == "wide":
+                    arrays = [pa.array([x.tobytes() for x in wide_table(np.array([bit_counts(s, WIDE) for s in sets]), pivots)], pa.binary())]
                 else:
                     keys, places = pivot_tables(np.array([bit_counts(s) for s in sets]), pivots)
                     some = [len(s) > 0 for s in sets]
@@ -144,6 +162,43 @@ def not_discarded(pairs: DataFrame, tables: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(sizes & (far <= LIMIT)).select("a", "b")
 
 
+def swept(placed: DataFrame, wide: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of a key that are in different parts and that their wide tables don't discard.
+
+    ``placed`` has (key, node, part), ``wide`` (node, wide).
+    """
+
+    def pairs(nodes: np.ndarray, parts: np.ndarray, tables: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if parts[0] == parts[-1]:
+            return
+        rows = np.frombuffer(b"".join(tables), np.int8).reshape(-1, WIDE).astype(np.float32)
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        for i in range(0, len(rows), SWEEP):
+            for j in range(i, len(rows), SWEEP):
+                near = rows[i : i + SWEEP] @ rows[j : j + SWEEP].T >= LEAST_COSINE
+                near &= parts[i : i + SWEEP, None] < parts[None, j : j + SWEEP]  # sorted by part
+                p, q = np.nonzero(near)
+                a, b = nodes[i + p], nodes[j + q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, parts, tables = None, [], [], []
+        for batch in batches:
+            for k, node, part, table in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if len(nodes) > 1:
+                        yield from pairs(np.array(nodes), np.array(parts), tables)
+                    key, nodes, parts, tables = k, [], [], []
+                nodes.append(node)
+                parts.append(part)
+                tables.append(table)
+        if len(nodes) > 1:
+            yield from pairs(np.array(nodes), np.array(parts), tables)
+
+    rows = placed.join(wide, "node").select("key", "node", "part", "wide").repartition("key").sortWithinPartitions("key", "part", "node")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, holders: DataFrame, shingle_words: int, name: str) -> DataFrame:
     """Those of the pairs whose sets' similarity is LEAST or more; only their sets are made again, from ``texts``."""
     pairs = stored(pairs, f"{name}_pairs")
@@ -162,22 +217,22 @@ def links(nodes: DataFrame, texts: DataFrame, shingle_words: int = SHINGLE_WORDS
     ``nodes`` has (node, n, text_key, keys, coordinates), a row for each set.
     """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    crowd = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").select("key", "hub")
+    order = F.xxhash64("node", F.pmod(F.floor(F.col("key") / float((2 * BITS) ** len(STEPS))), F.lit(HUBS)))  # by the key's set
+    crowd = keyed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node")).alias("first"), F.min("node").alias("least"), F.max("node").alias("most"))
+    crowd = crowd.filter("least <> most").select("key", F.col("first.node").alias("hub"))
     shared = stored(keyed.join(crowd, "key"), "shared_keys")
     tables, holders = nodes.select("node", "n", "coordinates"), nodes.select("node", "text_key")
-    stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = shared.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = verified(not_discarded(stars, tables), texts, holders, shingle_words, "star")
 
     part = F.coalesce("root", "node")
     placed = shared.select("key", "node").join(connected_components(first), "node", "left").select("key", "node", part.alias("part"))
     several = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
     placed = stored(placed.join(several.select("key"), "key", "left_semi"), "parted_keys")
-    parts = placed.select("key", "part").distinct()
-    crossed = parts.withColumnRenamed("part", "p").join(parts.withColumnRenamed("part", "q"), "key").filter("p < q")
-    one, other = (placed.select("key", F.col("part").alias(p), F.col("node").alias(p * 2)) for p in "pq")
-    rest = crossed.join(one, ["key", "p"]).join(other, ["key", "q"])
-    rest = rest.select(F.least("pp", "qq").alias("a"), F.greatest("pp", "qq").alias("b")).distinct()
-    return first.unionByName(verified(not_discarded(rest, tables), texts, holders, shingle_words, "rest"))
+    asked = placed.select("node").distinct().join(holders, "node").select("text_key").distinct()
+    again = texts.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
+    wide = stored(shingle_sets(again, "wide", shingle_words).select("node", "wide").dropDuplicates(["node"]), "wide_tables")
+    return first.unionByName(verified(swept(placed, wide), texts, holders, shingle_words, "rest"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
