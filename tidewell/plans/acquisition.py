@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import sequences as S
 from tidewell.operators import acquisition as A
+from tidewell.plans.text import ORACLE_SQL as TEXT_SQL
 from tidewell.plans.text import parts
 from tidewell.session import table
 
@@ -34,11 +37,32 @@ def deduplicated(spark, sf_dir):
     return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 3.0).select("l_orderkey", "id")
 
 
+def _falling(n: str, k: int) -> str:
+    return " * ".join(["1.0", *[f"({n} - {i})" for i in range(k)]])
+
+
+def _shares(n: str, one: float, two: float = 0.0) -> str:
+    """SQL list of the chances of 0 to 4 units of mass more: i atoms with one, j with two, of n."""
+    rest, out = 1 - one - two, []
+    for mass in range(5):
+        ways = [(mass - 2 * j, j) for j in range(mass // 2 + 1) if two or not j]
+        out.append(" + ".join(f"{_falling(n, i + j)} / {factorial(i) * factorial(j)} * {one**i * two**j!r} * pow({rest!r}, {n} - {i + j})" for i, j in ways))
+    return f"[{', '.join(out)}]"
+
+
+def _folded(a: str, b: str) -> str:
+    return f"list_transform(range(0, 5), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: {a}[j + 1] * {b}[i - j + 1])))"
+
+
 QUERIES = {"cycle_first": cycles, "score_hyperscore": hyperscores, "isotope_envelopes": envelopes, "dedup_double_counts": deduplicated}
 ORACLE_SQL = {
     "cycle_first": """WITH m AS (SELECT user_id, event_id, floor(value)::BIGINT AS center, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS seen FROM events),
       a AS (SELECT user_id, min(event_id) FILTER (seen = 2) AS again FROM m GROUP BY 1)
       SELECT user_id, count(*) AS n_windows, min(center) AS least, max(center) AS most FROM m JOIN a USING (user_id) WHERE again IS NULL OR event_id < again GROUP BY 1""",
+    "isotope_envelopes": f"""WITH a AS ({TEXT_SQL['sequence_composition']}),
+      e AS (SELECT p_partkey, {', '.join(f'{_shares(x, p)} AS {x}' for x, p in A.HEAVY.items())}, {', '.join(f'{_shares(x, *p)} AS {x}' for x, p in A.HEAVY_TWO.items())} FROM a),
+      f AS (SELECT *, {_folded('c', 'h')} AS ch FROM e), g AS (SELECT *, {_folded('ch', 'n')} AS chn FROM f), k AS (SELECT *, {_folded('chn', 'o')} AS chno FROM g), w AS (SELECT p_partkey, {_folded('chno', 's')} AS d FROM k)
+      SELECT p_partkey, unnest(range(0, 5))::INT AS k, round(unnest(d) / list_sum(d), 9) AS share FROM w""",
     "dedup_double_counts": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS id, l_quantity::DOUBLE AS place, l_returnflag AS f, l_linestatus AS s, l_extendedprice AS price FROM lineitem),
       n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, id) AS nth FROM l),
       r AS (SELECT l_orderkey, 1::BIGINT AS nth, [struct_pack(id := id, place := place, f := f, s := s)] AS kept FROM n WHERE nth = 1
