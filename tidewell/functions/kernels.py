@@ -102,28 +102,6 @@ def local_lines(x: np.ndarray, y: np.ndarray, counts: np.ndarray, weights: np.nd
     return fitted
 
 
-def local_regression(x: np.ndarray, y: np.ndarray, bandwidth: float, passes: int = 2) -> np.ndarray:
-    """Robust locally weighted lines at the sorted ``x``: after the first pass with bisquare weights at six median absolute residuals."""
-    robust, fitted = np.ones(len(x)), np.zeros(len(x))
-    for _ in range(passes + 1):
-        fitted = local_lines(x, y, np.ones(len(x)), robust, bandwidth)
-        scale = 6 * np.median(np.abs(y - fitted))
-        if scale <= 0:
-            break
-        robust = (1 - np.clip(np.abs(y - fitted) / scale, 0, 1) ** 2) ** 2
-    return fitted
-
-
-def interpolate(x: np.ndarray, knots: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Piecewise linear through the knots, their outer slopes beyond; equal knots count as one with the mean value."""
-    at, where = np.unique(knots, return_inverse=True)
-    mean = np.bincount(where, weights=values) / np.bincount(where)
-    if len(at) == 1:
-        return np.full(len(x), mean[0])
-    i = np.clip(np.searchsorted(at, x) - 1, 0, len(at) - 2)
-    return mean[i] + (mean[i + 1] - mean[i]) / (at[i + 1] - at[i]) * (x - at[i])
-
-
 def median_polish(y: np.ndarray, rounds: int = 10, tolerance: float = 0.01) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """(overall, row effects, column effects, residuals) of the logarithms of positive values; others are missing."""
     with np.errstate(divide="ignore", invalid="ignore"):
