@@ -8,8 +8,9 @@ fingerprint (pivot), and the pivot table holds these distances in standard units
 
 1. Which pairs are looked at: pivots form sets of BITS orthogonal fingerprints, and of
    each set the nearest (or farthest) pivot of a text is noted. Texts that have three of
-   these in common, out of KEYS triples, meet. A pair at 0.8 shares a triple's pivots in
-   6.8 % of cases, so it is missed in about 0.4 %; at 0.85 in under 1 in 10,000.
+   these in common, out of KEYS triples, meet. A pair at 0.8 is missed in 0.7 % of cases
+   (simulated), at 0.85 in under 1 in 1000; texts that have nothing to do with each other
+   share one of the 2 ** 27 triples of a key by chance.
 2. A pair is discarded if it differs in any coordinate of its pivot table by over LIMIT:
    4.8 standard deviations of such a difference at 0.8, which leaves 0.4 % of other pairs.
 3. What survives is verified exactly, on the sets of shingles.
@@ -46,7 +47,7 @@ SHINGLE_WORDS = 5
 LEAST = (4, 5)
 SEED = 42
 #: Bits of a shingle's hash that are counted; pivots of a set; sets of which the nearest pivot is noted.
-BITS, SETS = 128, 96
+BITS, SETS = 256, 128
 #: A key is the nearest pivots of set i and of those so far from it; one key for each set.
 STEPS = (0, 7, 31)
 KEYS = SETS
@@ -54,7 +55,7 @@ KEYS = SETS
 COORDINATES, UNIT = 48, 16
 LIMIT = int(4.8 * UNIT * np.sqrt(2 * (1 - 8 / 9)))
 #: Nodes that stand for their keys: a set of keys' first nodes in so many orders, so that texts on the edge of a large group meet several of it.
-HUBS = 8
+HUBS = 2
 #: Pivots of the wide table, and the least cosine of two of its rows at a similarity of 0.8.
 WIDE = 512
 LEAST_COSINE = 8 / 9 - 4.5 * (1 - (8 / 9) ** 2) / np.sqrt(WIDE)
