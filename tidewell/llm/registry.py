@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import conversations, decontamination, exact_dedup, langid, mixing, pii, sharding, simhash, token_counts, toxicity, warc
+from tidewell.llm import conversations, decontamination, exact_dedup, langid, licenses, mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_sharding": sharding.op10_sharding,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_license_scan": licenses.op12_license_scan,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
     "op11_conversation_repair": conversations.ORACLE_SQL,
+    "op12_license_scan": licenses.ORACLE_SQL,
 }
