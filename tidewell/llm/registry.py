@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import conversations, decontamination, exact_dedup, langid, licenses, mixing, pii, sharding, simhash, token_counts, toxicity, warc
+from tidewell.llm import alignment, conversations, decontamination, exact_dedup, langid, licenses, mixing, pii, sharding, simhash, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_license_scan": licenses.op12_license_scan,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 ORACLE_SQL = {
