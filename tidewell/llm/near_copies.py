@@ -15,8 +15,8 @@ fingerprint (pivot), and the pivot table holds these distances in standard units
    4.8 standard deviations of such a difference at 0.8, which leaves 0.4 % of other pairs.
 3. What survives is verified exactly, on the sets of shingles.
 
-Equal sets are one node from there on. A key's nodes are first compared with one of them.
-Only keys that this leaves in several components are looked at again: their nodes get a
+Equal sets are one node from there on. A key is first stood for by one of its nodes, and
+each node compared with the few of these that share most keys with it. Only keys that this leaves in several components are looked at again: their nodes get a
 table of WIDE pivots, and each key is swept in its task, where the table's distances
 discard pairs whose similarity they estimate to be 4.5 standard deviations below 0.8. So
 the components are those of all pairs that meet, and pairs are made of survivors only.
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.llm.rows import KEY, keep, row_key
@@ -54,8 +55,10 @@ KEYS = SETS
 #: Coordinates of the pivot table, steps of a coordinate to a standard deviation, and the largest difference of similar texts.
 COORDINATES, UNIT = 48, 16
 LIMIT = int(4.8 * UNIT * np.sqrt(2 * (1 - 8 / 9)))
-#: Nodes that stand for their keys: a set of keys' first nodes in so many orders, so that texts on the edge of a large group meet several of it.
-HUBS = 2
+#: A key's first node by one of these orders stands for it, so that texts on the edge of a large group meet several of it.
+ORDERS = (0, 0x5DEECE66D5DEECE6)
+#: Of the nodes that stand for its keys, each node is first compared with so many, those with which it shares most keys.
+HUBS = 16
 #: Pivots of the wide table, and the least cosine of two of its rows at a similarity of 0.8.
 WIDE = 512
 LEAST_COSINE = 8 / 9 - 4.5 * (1 - (8 / 9) ** 2) / np.sqrt(WIDE)
@@ -218,12 +221,15 @@ def links(nodes: DataFrame, texts: DataFrame, shingle_words: int = SHINGLE_WORDS
     ``nodes`` has (node, n, text_key, keys, coordinates), a row for each set.
     """
     keyed = nodes.select("node", F.explode("keys").alias("key"))
-    order = F.xxhash64("node", F.pmod(F.floor(F.col("key") / float((2 * BITS) ** len(STEPS))), F.lit(HUBS)))  # by the key's set
-    crowd = keyed.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node")).alias("first"), F.min("node").alias("least"), F.max("node").alias("most"))
-    crowd = crowd.filter("least <> most").select("key", F.col("first.node").alias("hub"))
+    mine = F.pmod(F.floor(F.col("key") / float((2 * BITS) ** len(STEPS))), F.lit(len(ORDERS)))  # by the key's set
+    flip = F.element_at(F.array(*map(F.lit, ORDERS)), (mine + 1).cast("int"))
+    order = F.col("node").bitwiseXOR(flip)
+    crowd = keyed.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).filter("low <> high").select("key", F.col("low").bitwiseXOR(flip).alias("hub"))
     shared = stored(keyed.join(crowd, "key"), "shared_keys")
     tables, holders = nodes.select("node", "n", "coordinates"), nodes.select("node", "text_key")
-    stars = shared.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    met = shared.filter("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("times"))
+    most = F.row_number().over(W.partitionBy("node").orderBy(F.desc("times"), "hub"))  # of a text's KEYS at most
+    stars = met.withColumn("nth", most).filter(F.col("nth") <= HUBS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = verified(not_discarded(stars, tables), texts, holders, shingle_words, "star")
 
     part = F.coalesce("root", "node")
