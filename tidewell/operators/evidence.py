@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,70 +56,43 @@ def spread_sample(df: DataFrame, keys: list[str], x: str, order: list[str], bins
 
 def whole_groups(df: DataFrame, group: str, most: int, seed: int = 42) -> DataFrame:
     """Whole groups in the order of a hash, as long as they fit in ``most`` rows together: a sampling operator that cuts no group."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", F.xxhash64(F.lit(seed), group))
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))))
     order = [F.col("_h"), F.col(group)]
     upto = ranges.with_running(ranges.ranged(sizes, [], order, "group_sizes"), [], order, {"_upto": F.col("_n")})
     return df.join(upto.filter(F.col("_upto") <= most).select(group), group, "left_semi")
 
 
-#: Fixed values of the chance estimate: bins a unit of score, bins in all, the value that says there is none, its limits.
-SCALE, BINS, NO_ESTIMATE, LEAST_LOG, MOST_LOG = 50.0, 152, 999.0, -10.0, 10.0
-LEAST_SCORES = 10
-
-
-def _chance(counts: np.ndarray, n: int, best: float) -> float:
-    """Expected chance matches at ``best``: a line through the logarithms of the upper tail of a histogram of scores."""
-    filled = np.flatnonzero(counts[: BINS - 1])
-    if n < LEAST_SCORES or not len(filled):
-        return NO_ESTIMATE
-    last = end = int(filled[-1])
-    for i in range(max(5, int(filled[0]) + 1), last):  # the tail ends before the first gap of two bins
-        if counts[i] == 0 and (counts[i + 1] == 0 or i + 1 == last):
-            end = i - 1
-            break
-    if end == last >= 5:
-        gaps = [i for i in range(last, last - 6, -1) if counts[i] == 0]
-        end = gaps[0] if gaps else last - 1
-    tail = np.zeros(BINS)
-    tail[end] = counts[end]
-    for i in range(end - 1, -1, -1):
-        tail[i] = tail[i + 1] + counts[i]
-        if counts[i + 1] == 0:
-            tail[i + 1] = 0.0
-    logs = np.zeros(BINS)
-    for i in range(end, -1, -1):
-        logs[i] = np.log10(tail[i] if tail[i] > 0 else tail[i + 1]) if max(tail[i], tail[i + 1]) > 0 else 0.0
-    start = max(end - 5, 0)
-    start = max(start - int((logs[start : end + 1] == 0).sum()), 0)
-    at = np.arange(start, end + 1)
-    used = counts[at] > 0
-    if used.sum() < 3:
-        return NO_ESTIMATE
-    x, y = at[used].mean(), logs[at[used]].mean()
-    fitted = logs[at] > 0
-    dx, dy = at[fitted] - x, logs[at[fitted]] - y
-    if dx @ dx < 1e-10 or dx @ dy >= 0:
-        return NO_ESTIMATE
-    slope = (dx @ dy) / (dx @ dx)
-    return float(np.clip(10 ** np.clip(slope * SCALE * best + y - slope * x, LEAST_LOG, MOST_LOG), 10**LEAST_LOG, NO_ESTIMATE))
+#: Fixed values of the chance estimate: bins a unit of score, bins in all, the value that says there is none, its limits, scores needed.
+SCALE, BINS, NO_ESTIMATE, LEAST_LOG, MOST_LOG, LEAST_SCORES = 50.0, 152, 999.0, -10.0, 10.0, 10
+#: The line is drawn through the filled ones of so many bins below the end of the chance scores; three of them at least.
+#: A gap of so many empty bins ends the chance scores, from this bin on.
+TAIL_BINS, TAIL_LEAST, GAP, FIRST_GAP = 10, 3, 2, 5
 
 
 def expectation(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """keys, best, e_value: how many matches as good as the best are to be expected by chance among all scores of the key.
 
-    Scores are counted in BINS bins by Spark; only the counts meet in a group.
+    Chance scores are those below the first gap of the key's histogram, or, if it has none, all but its highest bin. How
+    many of them reach a bin falls about exponentially with the bin, so a line through the logarithms of these counts over
+    the last TAIL_BINS bins is carried on to the best score. There is no estimate (NO_ESTIMATE) without LEAST_SCORES scores,
+    TAIL_LEAST filled bins and a falling line. A key has BINS rows at most from the first aggregation on.
     """
-    kinds = dict(df.dtypes)
     bin_of = F.when(F.col(score) > 0, F.least(F.floor(F.col(score) * SCALE + 0.5), F.lit(BINS - 1))).otherwise(-1).cast("int")
-    counted = df.groupBy(*keys, bin_of.alias("bin")).agg(F.count("*").alias("n"), F.max(score).cast("double").alias("best"))
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        counts, positive = np.zeros(BINS), part[part["bin"] >= 0]
-        counts[positive["bin"].to_numpy(int)] = positive["n"].to_numpy(float)
-        best = float(part["best"].max())
-        return pd.DataFrame([(*key, best, _chance(counts, int(part["n"].sum()), best))], columns=[*keys, "best", "e_value"])
-
-    return counted.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", best double, e_value double")
+    counted = df.filter(F.col(score).isNotNull()).groupBy(*keys, bin_of.alias("bin")).agg(F.count("*").alias("n"), F.max(score).cast("double").alias("best"))
+    up, down = W.partitionBy(*keys).orderBy("bin"), W.partitionBy(*keys).orderBy(F.desc("bin"))
+    key = W.partitionBy(*keys)
+    rows = counted.withColumns({"best": F.max("best").over(key), "all": F.sum("n").over(key)})
+    steps = rows.filter((F.col("bin") >= 0) & (F.col("bin") < BINS - 1)).withColumn("step", F.lead("bin").over(up) - F.col("bin"))
+    gap = F.min(F.when((F.col("bin") >= FIRST_GAP) & (F.col("step") > GAP), F.col("bin"))).over(key)
+    end = F.coalesce(gap, F.max(F.when(F.col("step").isNotNull(), F.col("bin"))).over(key))
+    chance = steps.withColumn("end", end).filter(F.col("bin") <= F.col("end")).withColumn("reach", F.log10(F.sum("n").over(down)))
+    tail = chance.filter(F.col("bin") > F.col("end") - TAIL_BINS)
+    lines = tail.groupBy(*keys).agg(F.regr_slope("reach", "bin").alias("slope"), F.regr_intercept("reach", "bin").alias("at_zero"), F.count("*").alias("filled"))
+    heads = rows.groupBy(*keys).agg(F.max("best").alias("best"), F.max("all").alias("all"))
+    sound = (F.col("all") >= LEAST_SCORES) & (F.col("filled") >= TAIL_LEAST) & (F.col("slope") < 0)
+    power = F.greatest(F.least(F.col("slope") * SCALE * F.col("best") + F.col("at_zero"), F.lit(MOST_LOG)), F.lit(LEAST_LOG))
+    e_value = F.when(sound, F.least(F.pow(F.lit(10.0), power), F.lit(NO_ESTIMATE))).otherwise(NO_ESTIMATE)
+    return ranges.matched(heads, lines, keys, "left").select(*keys, "best", e_value.alias("e_value"))
 
 
 def merged_peaks(peaks: Column, tolerance: float) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidewell.functions import kernels
+from tidewell.functions import kernels, tailing
 
 PEAK = "apex long, peak_start long, peak_end long, height double, area double, snr double"
 
@@ -62,3 +66,37 @@ def polish(df: DataFrame, keys: list[str], row: str, order: str, value: str) ->
         return pd.DataFrame([(*key, overall, int(x[int(np.argmax(cols))]), float(off))], columns=[*keys, "overall", "apex", "residual_ratio"])
 
     return df.select(*keys, row, order, value).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", overall double, apex long, residual_ratio double")
+
+
+TAILING = ["mu", "sigma", "tau", "area", "r_squared", "start", "end"]
+
+
+def tailing_fit(df: DataFrame, keys: list[str], order: str, value: str, coverage: float = 0.95, least: int = 5) -> DataFrame:
+    """keys, mu, sigma, tau, area, r_squared, start, end: the tailing peak closest to each series, and where ``coverage`` of it lies.
+
+    A row of the input is a point. Series are gathered by Spark, padded to the longest of an Arrow batch and fitted together,
+    a bounded number at once. Those of fewer than ``least`` points or without positive values have none.
+    """
+    kinds = dict(df.dtypes)
+    point = F.struct(F.col(order).cast("double").alias("x"), F.col(value).cast("double").alias("y"))
+    known = df.filter(F.col(order).isNotNull() & F.col(value).isNotNull())
+    series = known.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("_s")).filter(F.size("_s") >= least)
+    rows = series.select(*keys, F.col("_s.x").alias("_x"), F.col("_s.y").alias("_y"))
+    together = 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, together):
+                batch = whole.slice(at, together)
+                xs, ys = ([np.asarray(v.values, float) for v in batch.column(c)] for c in ("_x", "_y"))
+                x, y, mask = (np.zeros((len(xs), max(map(len, xs)))) for _ in range(3))
+                for i, (a, b) in enumerate(zip(xs, ys, strict=True)):
+                    x[i, : len(a)], y[i, : len(a)], mask[i, : len(a)] = a, b, 1
+                found = tailing.fit(x, y, mask > 0)
+                ends = tailing.limits(*found[:, :3].T, coverage)
+                good = ~np.isnan(found[:, 0])
+                columns = [*found[good].T, *(e[good] for e in ends)]
+                kept = batch.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*(kept.column(k) for k in keys), *map(pa.array, columns)], [*keys, *TAILING])
+
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + "".join(f", {n} double" for n in TAILING))

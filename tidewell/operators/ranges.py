@@ -19,11 +19,11 @@ def ranged(df: DataFrame, keys: list[str], order: list[Column], name: str = "ran
     return stored(df.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id()), name)
 
 
-def matched(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def matched(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the other columns of ``other`` of equal keys; null keys equal each other."""
     named = other.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *[c for c in other.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_k_{i}")) for i, k in enumerate(keys)]
-    return rows.join(named, reduce(lambda x, y: x & y, same)).drop(*[f"_k_{i}" for i in range(len(keys))])
+    return rows.join(named, reduce(lambda x, y: x & y, same), how).drop(*[f"_k_{i}" for i in range(len(keys))])
 
 
 def with_running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:

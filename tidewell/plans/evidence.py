@@ -39,19 +39,15 @@ def spread(spark, sf_dir):
 
 
 def groups(spark, sf_dir):
-    """Whole orders in at most half of the lines; sizes only, as the order of the hash is Spark's own."""
+    """Whole orders in at most half of the lines, with their number of lines."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
-    most = lines.count() // 2
-    kept = evidence.whole_groups(lines, "l_orderkey", most)
-    sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    whole = kept.groupBy("l_orderkey").agg(F.count("*").alias("kept")).join(sizes, "l_orderkey")
-    return whole.agg((F.sum("kept") <= most).alias("fits"), (F.sum("kept") > most - 50).alias("full"), F.min(F.col("kept") == F.col("n")).alias("whole"))
+    return evidence.whole_groups(lines, "l_orderkey", lines.count() // 2).groupBy("l_orderkey").agg(F.count("*").alias("n"))
 
 
 def chances(spark, sf_dir):
     """Each supplier's best line by price a piece, and how many as good are to be expected by chance."""
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") * 10 + F.col("l_extendedprice") / 100000).alias("score"))
-    return evidence.expectation(lines, ["l_suppkey"], "score")
+    return evidence.expectation(lines, ["l_suppkey"], "score").select("l_suppkey", "best", F.round(F.log10("e_value"), 5).alias("log_e"))
 
 
 def merged(spark, sf_dir):
@@ -80,7 +76,17 @@ ORACLE_SQL = {
     "evidence_spread_sample": """WITH o AS (SELECT o_orderpriority, o_orderkey, o_totalprice AS x, min(o_totalprice) OVER p AS lo, max(o_totalprice) OVER p AS hi FROM orders WINDOW p AS (PARTITION BY o_orderpriority)),
       b AS (SELECT *, CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 20), 19) ELSE 0 END AS bin FROM o)
       SELECT o_orderpriority, o_orderkey, x FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, bin ORDER BY x, o_orderkey) AS nth FROM b) WHERE nth <= 3""",
-    "evidence_whole_groups": "SELECT true AS fits, true AS full, true AS whole",
+    "evidence_whole_groups": """WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+      u AS (SELECT *, sum(n) OVER (ORDER BY md5('42:' || l_orderkey::VARCHAR), l_orderkey ROWS UNBOUNDED PRECEDING) AS upto FROM g)
+      SELECT l_orderkey, n FROM u WHERE upto <= (SELECT count(*) // 2 FROM lineitem)""",
+    "evidence_expectation": """WITH b AS (SELECT l_suppkey, l_discount * 10 + l_extendedprice / 100000 AS score FROM lineitem),
+      c AS (SELECT l_suppkey, CASE WHEN score > 0 THEN least(floor(score * 50 + 0.5)::INT, 151) ELSE -1 END AS bin, count(*) AS n, max(score) AS best FROM b GROUP BY ALL),
+      h AS (SELECT l_suppkey, max(best) AS best, sum(n) AS total FROM c GROUP BY 1),
+      s AS (SELECT *, lead(bin) OVER (PARTITION BY l_suppkey ORDER BY bin) - bin AS step FROM c WHERE bin BETWEEN 0 AND 150),
+      e AS (SELECT l_suppkey, coalesce(min(bin) FILTER (bin >= 5 AND step > 2), max(bin) FILTER (step IS NOT NULL)) AS last FROM s GROUP BY 1),
+      r AS (SELECT s.l_suppkey, bin, last, log10(sum(n) OVER (PARTITION BY s.l_suppkey ORDER BY bin DESC)) AS reach FROM s JOIN e USING (l_suppkey) WHERE bin <= last),
+      l AS (SELECT l_suppkey, regr_slope(reach, bin) AS slope, regr_intercept(reach, bin) AS zero, count(*) AS filled FROM r WHERE bin > last - 10 GROUP BY 1)
+      SELECT l_suppkey, best, round(log10(CASE WHEN total >= 10 AND filled >= 3 AND slope < 0 THEN least(pow(10, greatest(least(slope * 50 * best + zero, 10), -10)), 999) ELSE 999 END), 5) AS log_e FROM h LEFT JOIN l USING (l_suppkey)""",
     "evidence_merged_peaks": """WITH RECURSIVE v AS (SELECT user_id, list_sort(list(value)) AS l FROM events GROUP BY 1),
       g AS (SELECT user_id, l, 1 AS k, len(list_filter(l, lambda x: x - l[1] <= 1.5)) AS n FROM v
         UNION ALL SELECT user_id, l, k + n, len(list_filter(l[k + n:], lambda x: x - l[k + n] <= 1.5)) FROM g WHERE k + n <= len(l))
