@@ -11,6 +11,8 @@ per entry and run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,19 +51,23 @@ def windows(spectra: DataFrame) -> DataFrame:
     return grouped.agg(F.min_by(F.struct("iso_low", "iso_high"), "scan").alias("b"), F.min("rt").alias("first_rt"), F.max("rt").alias("last_rt")).select("file_name", F.col("_iso_low").alias("low_key"), F.col("_iso_high").alias("high_key"), "b.iso_low", "b.iso_high", "first_rt", "last_rt")
 
 
-def candidates(entries: DataFrame, spectra: DataFrame, rt_tolerance: float) -> DataFrame:
-    """Entries in each window that selects their precursor while they are expected."""
+def candidates(entries: DataFrame, spectra: DataFrame, rt_tolerance: float, expected: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Entries in each window that selects their precursor while they are expected.
+
+    ``expected`` turns an entry's rt into the time at which it is expected in a run; it gets rows with file_name and rt.
+    """
     met = range_join(entries.withColumn("fragments", top_fragments(F.col("fragments"))), windows(spectra), "precursor_mz", "iso_low", "iso_high", 25.0)
+    met = expected(met) if expected else met
     return met.filter((F.col("rt") >= F.col("first_rt") - rt_tolerance) & (F.col("rt") <= F.col("last_rt") + rt_tolerance))
 
 
-def series(entries: DataFrame, spectra: DataFrame, rt_tolerance: float, ppm: float) -> DataFrame:
+def series(entries: DataFrame, spectra: DataFrame, rt_tolerance: float, ppm: float, expected: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """file_name, entry_id, scan, scan_rt, values: each fragment's intensity at each scan in reach, zeros included.
 
     Scans meet entries by window and by time cells of the tolerance, three cells for each
     entry, so a long run isn't paired with every entry.
     """
-    found = candidates(entries, spectra, rt_tolerance).withColumnRenamed("rt", "expected_rt")
+    found = candidates(entries, spectra, rt_tolerance, expected).withColumnRenamed("rt", "expected_rt")
     found = found.withColumn("_cell", F.explode(F.array(*[F.floor(F.col("expected_rt") / rt_tolerance) + i for i in (-1, 0, 1)])))
     scans = spectra.select("file_name", "scan", F.col("rt").alias("scan_rt"), F.floor(F.col("iso_low") * 10).alias("low_key"), F.floor(F.col("iso_high") * 10).alias("high_key"), F.floor(F.col("rt") / rt_tolerance).alias("_cell"), F.arrays_zip(F.col("mzs").alias("mz"), F.col("intensities").alias("intensity")).alias("peaks"))
     met = found.join(scans, ["file_name", "low_key", "high_key", "_cell"]).filter(F.abs(F.col("scan_rt") - F.col("expected_rt")) <= rt_tolerance)
@@ -108,6 +114,6 @@ def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
     return rows.groupBy("file_name", "entry_id").applyInPandas(one, SCORES)
 
 
-def search(entries: DataFrame, spectra: DataFrame, rt_tolerance: float = 2.0, ppm: float = 10.0, top: int = 1) -> DataFrame:
+def search(entries: DataFrame, spectra: DataFrame, rt_tolerance: float = 2.0, ppm: float = 10.0, top: int = 1, expected: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Scored peaks, the ``top`` best of each entry and run with their rank from 1."""
-    return score(prefiltered(series(entries, spectra, rt_tolerance, ppm)), rt_tolerance / 2, top)
+    return score(prefiltered(series(entries, spectra, rt_tolerance, ppm, expected)), rt_tolerance / 2, top)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,3 +154,31 @@ def stratified_sample(df: DataFrame, x: str, y: str, order: str, size: int) -> D
     per_cell = -(-size // (bins * bins))
     nth = F.row_number().over(W.partitionBy("_x", "_y").orderBy(order))
     return placed.withColumn("_nth", nth).filter((F.col("_n") <= size) | (F.col("_nth") <= per_cell)).select(*df.columns)
+
+
+def stride_sample(df: DataFrame, x: str, y: str, order: str, size: int, seed: int = 0) -> DataFrame:
+    """Exactly ``size`` rows of ``df`` (all, if there are no more) spread over a grid of ceil(sqrt(size) / 2) bins, 5 at least, on each axis.
+
+    Each cell gives an even share of the sample, taken in strides through its rows by ``order`` from a place that ``seed``
+    gives. What thin cells leave open is filled by one more row of each cell in turn, then a second, and so on. Places in
+    cells and in the turns are running sums in two steps, so neither a crowded cell nor the whole is one task's.
+    """
+    bins = max(5, ceil(size**0.5 / 2))
+    ends = df.agg(F.count("*").alias("_n"), *[f(c).cast("double").alias(f"_{k}_{c}") for c in (x, y) for k, f in (("lo", F.min), ("hi", F.max))])
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"_lo_{c}")) / (F.greatest(F.col(f"_hi_{c}") - F.col(f"_lo_{c}"), F.lit(1e-6)) / bins)), F.lit(bins - 1))
+    placed = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(ends))  # one row
+    rows = ranges.ranged(placed.withColumn("_x", cell(x)).withColumn("_y", cell(y)), ["_x", "_y"], [F.col(order)], "cells")
+    counted = rows.groupBy("_x", "_y").agg(F.count("*").alias("_cell"))  # bins * bins rows at most
+    cells = counted.crossJoin(F.broadcast(counted.agg(F.count("*").alias("_cells"))))
+    share = F.least(F.col("_cell"), F.greatest(F.floor(F.lit(size) / F.col("_cells")), F.lit(1))).cast("long")
+    cells = cells.select("_x", "_y", "_cell", share.alias("_share"), F.greatest(F.floor(F.col("_cell") / share), F.lit(1)).alias("_stride"))
+    numbered = ranges.matched(ranges.with_running(rows, ["_x", "_y"], [F.col(order)], {"_at": F.lit(1)}), cells, ["_x", "_y"])
+    step = F.pmod(F.col("_at") - 1 - F.pmod(F.lit(seed), F.col("_cell")), F.col("_cell"))
+    turn = F.when((step % F.col("_stride") == 0) & (step / F.col("_stride") < F.col("_share")), F.floor(step / F.col("_stride")))
+    numbered = numbered.withColumn("_turn", turn)
+    rest = ranges.with_running(numbered, ["_x", "_y"], [F.col(order)], {"_left": F.when(F.col("_turn").isNull(), 1).otherwise(0)})
+    by = [F.col("_turn").isNull().cast("int"), F.coalesce("_turn", "_left"), F.col("_x"), F.col("_y")]
+    turns = rest.withColumns({f"_o{i}": c.cast("long") for i, c in enumerate(by)}).drop(ranges.PART)
+    order_by = [F.col(f"_o{i}") for i in range(4)]
+    ranked = ranges.with_running(ranges.ranged(turns, [], order_by, "turns"), [], order_by, {"_rank": F.lit(1)})
+    return ranked.filter(F.col("_rank") <= size).select(*df.columns)
