@@ -81,3 +81,19 @@ def test_pivots_find_and_discard(spark):
         far += np.abs(table[0].astype(int) - table[2]).max() > near_copies.LIMIT
         assert not set(keys[0]) & set(keys[2])
     assert met >= 59 and far >= 55
+
+
+def test_wide_tables_keep_similar_pairs():
+    """Sets of a similarity of exactly 0.8 are never discarded by their wide tables, unrelated ones always."""
+    rng, pivots = np.random.default_rng(9), near_copies._pivots()
+    pairs = []
+    for n in (27, 90, 450):
+        for _ in range(60):
+            values = rng.integers(0, 1 << 63, n * 10 // 9 + 1, dtype=np.uint64)
+            once = n // 9
+            pairs += [np.unique(values[:n]), np.unique(values[once : n + once])]
+    rows = near_copies.wide_rows([x.tobytes() for x in near_copies.wide_table(np.array([near_copies.bit_counts(s, near_copies.WIDE) for s in pairs]), pivots)])
+    sims = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(pairs[::2], pairs[1::2])]
+    assert min(sims) > 0.79 and max(sims) < 0.81
+    assert ((rows[::2] * rows[1::2]).sum(axis=1) >= near_copies.LEAST_COSINE).all()
+    assert ((rows[::2] * np.roll(rows[1::2], 1, axis=0)).sum(axis=1) < near_copies.LEAST_COSINE / 2).all()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import zlib
 
 from tidewell.llm import langid, token_counts
@@ -81,3 +83,12 @@ def test_nothing_to_learn(spark):
     assert langid.identify(docs.limit(0)).count() == 0
     one = spark.createDataFrame([(1, "some text", "en"), (4, "other", "en"), (5, "word", "en")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in langid.identify(one).collect()} == {"en"}
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "andere", None), (3, "12", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_identified(docs).orderBy("doc_id").collect()] == [1, 2]
+    for asked in ({"languages": ["de"]}, {"least_score": 0.5}):
+        with pytest.raises(ValueError):
+            langid.keep_identified(docs, **asked)
+        assert langid.keep_identified(docs.limit(0), **asked).count() == 0

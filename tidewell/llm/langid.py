@@ -234,10 +234,13 @@ def keep_identified(
     """``docs`` whose predicted language is one of ``languages`` (None: all learned ones) and fits the text.
 
     It fits if its score is ``least_score`` or more and if ``least_letters`` of the text's letters
-    are of its alphabet.
+    are of its alphabet. Where no language can be learned, texts with letters stay; to ask for
+    languages or scores is an error then.
     """
     langs, machines, sample = fit(docs, id_col, text_col, lang_col, max_per_lang)
     if not langs:
+        if (languages is not None or least_score > 0) and not docs.isEmpty():
+            raise ValueError("no row has a language to learn from, so none can be asked for")
         return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     model = docs.sparkSession.sparkContext.broadcast((langs, machines, known_letters(sample)))
     wanted = set(langs if languages is None else languages)

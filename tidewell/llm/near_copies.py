@@ -59,9 +59,10 @@ LIMIT = int(4.8 * UNIT * np.sqrt(2 * (1 - 8 / 9)))
 ORDERS = (0, 0x5DEECE66D5DEECE6)
 #: Of the nodes that stand for its keys, each node is first compared with so many, those with which it shares most keys.
 HUBS = 16
-#: Pivots of the wide table, and the least cosine of two of its rows at a similarity of 0.8.
-WIDE = 512
-LEAST_COSINE = 8 / 9 - 4.5 * (1 - (8 / 9) ** 2) / np.sqrt(WIDE)
+#: Pivots of the wide table, and its steps to a standard deviation: STEPS_WIDE on either side of 0, so that two distances fit a byte.
+WIDE, UNIT_WIDE, STEPS_WIDE = 1024, 3, 7
+#: The least cosine of two of its rows at a similarity of 0.8: 4.5 standard deviations below the mean (both simulated).
+LEAST_COSINE = 0.8793 - 4.5 * 0.00701
 #: Rows that a sweep compares at once with as many others.
 SWEEP = 2048
 #: Shingles whose bits are counted at once.
@@ -123,14 +124,22 @@ def wide_table(counts: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Standardised distances of rows of WIDE counts to as many pivots, those of each BITS of them to a set's."""
     unit = counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9) * np.sqrt(WIDE / BITS)
     away = np.concatenate([unit[:, i : i + BITS].astype(np.float32) @ pivots[s].T for s, i in enumerate(range(0, WIDE, BITS))], axis=1)
-    return np.clip(np.rint(away * UNIT), -127, 127).astype(np.int8)
+    steps = (np.clip(np.rint(away * UNIT_WIDE), -STEPS_WIDE, STEPS_WIDE) + STEPS_WIDE).astype(np.uint8)
+    return steps[:, 0::2] << 4 | steps[:, 1::2]
+
+
+def wide_rows(tables: list[bytes]) -> np.ndarray:
+    """The steps of rows of the wide table, as vectors of length one (in another order of pivots, the same for all)."""
+    both = np.frombuffer(b"".join(tables), np.uint8).reshape(-1, WIDE // 2)
+    rows = np.concatenate([both >> 4, both & 15], axis=1).astype(np.float32) - STEPS_WIDE
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
 def shingle_sets(rows: DataFrame, kept: str, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, _row_key, text_key, node, n, ...) of rows (doc_id, _row_key, text_key, text).
 
     node is the XXH64 of the set and n its size. With ``kept`` "shingles", the set; with
-    "pivots", keys and coordinates; with "wide", the wide table, a byte for each pivot.
+    "pivots", keys and coordinates; with "wide", the wide table, a byte for two pivots.
     """
     found = {"shingles": "shingles array<bigint>", "pivots": "keys array<bigint>, coordinates array<tinyint>", "wide": "wide binary"}[kept]
     names = [x.split()[0] for x in found.split(", ")]
@@ -175,8 +184,7 @@ def swept(placed: DataFrame, wide: DataFrame) -> DataFrame:
     def pairs(nodes: np.ndarray, parts: np.ndarray, tables: list[bytes]) -> Iterator[pa.RecordBatch]:
         if parts[0] == parts[-1]:
             return
-        rows = np.frombuffer(b"".join(tables), np.int8).reshape(-1, WIDE).astype(np.float32)
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        rows = wide_rows(tables)
         for i in range(0, len(rows), SWEEP):
             for j in range(i, len(rows), SWEEP):
                 near = rows[i : i + SWEEP] @ rows[j : j + SWEEP].T >= LEAST_COSINE
