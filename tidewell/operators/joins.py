@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, closed: bool = False) -> DataFrame:
-    """Rows of ``points`` with ``low <= at < high`` (or ``<= high``) of a row of ``ranges``.
+def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, closed: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Rows of ``points`` with ``low <= at < high`` (or ``<= high``) of a row of ``ranges`` with equal ``keys``.
 
     Ranges stand under every bin of ``width`` that they touch, points under their own, so
     each pair meets once. Choose ``width`` near the usual length of a range.
@@ -16,7 +16,7 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     bins = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
     spread = ranges.filter(F.col(low) <= F.col(high)).withColumn("_bin", F.explode(bins))
     inside = (F.col(at) >= F.col(low)) & ((F.col(at) <= F.col(high)) if closed else (F.col(at) < F.col(high)))
-    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(spread, "_bin").filter(inside).drop("_bin")
+    return points.withColumn("_bin", F.floor(F.col(at) / width)).join(spread, [*(keys or []), "_bin"]).filter(inside).drop("_bin")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, tolerance: float) -> DataFrame:

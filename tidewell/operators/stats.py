@@ -66,11 +66,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
 MIDDLE = {"_below": lambda n: F.floor((n - 1) / 2), "_above": lambda n: F.floor(n / 2)}
 
 
-def clipped_mad(df: DataFrame, keys: list[str], residual: str, clip: float, least: int = 20) -> DataFrame:
+def clipped_mad(df: DataFrame, keys: list[str], residual: str, clip: float | Column, least: int = 20) -> DataFrame:
     """keys, mad: the upper median of absolute residuals up to ``clip``, or of all if fewer than ``least`` are."""
-    each = df.select(*keys, F.abs(residual).alias("_a"))
-    few = each.groupBy(*keys).agg((F.count(F.when(F.col("_a") <= clip, 1)) < least).alias("_few"))
-    used = ranges.matched(each, few, keys).filter(F.col("_few") | (F.col("_a") <= clip))
+    each = df.select(*keys, F.abs(residual).alias("_a"), (F.abs(residual) <= clip).alias("_in"))
+    few = each.groupBy(*keys).agg((F.count(F.when(F.col("_in"), 1)) < least).alias("_few"))
+    used = ranges.matched(each, few, keys).filter(F.col("_few") | F.col("_in"))
     return order_statistics(used, keys, "_a", {"mad": lambda n: F.floor(n / 2)})
 
 

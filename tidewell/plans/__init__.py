@@ -6,9 +6,9 @@ where SQL can express the query.
 
 from __future__ import annotations
 
-from tidewell.plans import acquisition, arrays, bounds, competition, evidence, grouping, kernels, matching, products, series, statistics, text
+from tidewell.plans import acquisition, arrays, bounds, competition, evidence, grouping, kernels, matching, products, runs, series, statistics, text
 
-_MODULES = (acquisition, competition, matching, series, statistics, arrays, grouping, text, kernels, bounds, evidence, products)
+_MODULES = (acquisition, competition, matching, series, statistics, arrays, grouping, text, kernels, bounds, evidence, products, runs)
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 for _m in _MODULES:
