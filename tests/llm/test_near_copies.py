@@ -4,6 +4,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from tidewell.llm import near_copies
 

@@ -242,8 +242,8 @@ def links(nodes: DataFrame, texts: DataFrame, shingle_words: int = SHINGLE_WORDS
 
     part = F.coalesce("root", "node")
     placed = shared.select("key", "node").join(connected_components(first), "node", "left").select("key", "node", part.alias("part"))
-    several = placed.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least <> most")
-    placed = stored(placed.join(several.select("key"), "key", "left_semi"), "parted_keys")
+    ends = {"least": F.min("part").over(W.partitionBy("key")), "most": F.max("part").over(W.partitionBy("key"))}
+    placed = stored(placed.withColumns(ends).filter("least <> most").select("key", "node", "part"), "parted_keys")
     asked = placed.select("node").distinct().join(holders, "node").select("text_key").distinct()
     again = texts.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
     wide = stored(shingle_sets(again, "wide", shingle_words).select("node", "wide").dropDuplicates(["node"]), "wide_tables")
