@@ -80,12 +80,15 @@ def tolerances(points: DataFrame, agreed: DataFrame, curves: DataFrame, before:
 
 
 def planned(rows: DataFrame, agreed: DataFrame, items: DataFrame, curves: DataFrame, allowed: DataFrame) -> DataFrame:
-    """file_name, entry_id, action, apex, start, end of each detection of an accepted item: keep, move or force."""
+    """file_name, entry_id, action, apex, start, end of each detection of an accepted item: keep, move or force.
+
+    Of peaks as near as each other, to a billionth, the first stored counts.
+    """
     used = rows.select(*RUN, "entry_id", *PEPTIDE, "charge", "apex", "start", "end", "candidates").join(items, PRECURSOR, "left_semi")
     met = used.join(agreed.select(*PEPTIDE, "library_rt", "width"), PEPTIDE).join(allowed, RUN)
     met = local_fit.apply_curves(met, curves, RUN, "library_rt", "expected")
     off = lambda at: F.abs(at - F.col("expected"))
-    near = F.filter(F.transform("candidates", lambda c, i: F.struct(off(c.apex).alias("off"), i.alias("i"), c.alias("c"))), lambda c: c.off <= F.col("tolerance"))
+    near = F.filter(F.transform("candidates", lambda c, i: F.struct(F.round(off(c.apex), 9).alias("off"), i.alias("i"), c.alias("c"))), lambda c: c.off <= F.col("tolerance"))
     best = F.array_min(F.transform(near, lambda c: F.struct(c.off.alias("off"), c.i.alias("i"), c.c.apex.alias("apex"), c.c.start.alias("start"), c.c.end.alias("end"))))
     met = met.withColumn("_best", best)
     peak = lambda action, apex, start, end: F.struct(F.lit(action).alias("action"), apex.cast("double").alias("apex"), start.cast("double").alias("start"), end.cast("double").alias("end"))

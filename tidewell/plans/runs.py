@@ -16,7 +16,7 @@ def detections(spark, sf_dir):
     peak = F.struct(F.col("q").alias("apex"), (F.col("q") - 0.5).alias("start"), (F.col("q") + 0.75).alias("end"))
     best = F.max_by("q", F.struct("l_extendedprice", "q", "l_orderkey"))
     found = rows.groupBy("file_name", "peptide", "charge", "decoy").agg(
-        best.alias("apex"), F.array_sort(F.collect_set(peak)).alias("candidates"), F.min("l_discount").alias("run_precursor_q"), F.min("l_tax").alias("run_peptide_q"), F.max("l_discount").alias("exp_precursor_q"), F.max("l_tax").alias("exp_peptide_q"), F.max(F.col("l_discount") * 10).alias("score"), F.count("*").cast("double").alias("coelution")
+        best.alias("apex"), F.array_sort(F.collect_set(peak)).alias("candidates"), F.min("l_discount").alias("run_precursor_q"), F.min("l_tax").alias("run_peptide_q"), F.max("l_discount").alias("exp_precursor_q"), F.max("l_tax").alias("exp_peptide_q"), (F.max("l_extendedprice") / 30000 - 1).alias("score"), F.count("*").cast("double").alias("coelution")
     )
     entry = F.col("peptide") * 8 + F.col("charge") * 2 + F.col("decoy").cast("int")
     return found.select("*", (F.col("apex") - 0.5).alias("start"), (F.col("apex") + 0.75).alias("end"), F.lit(1.0).alias("run_protein_q"), entry.alias("entry_id"))
@@ -68,7 +68,7 @@ _COVER = reconcile.MAD_SD * reconcile.COVER
 QUERIES = {"reconcile_runs": reconciled, "stats_stride_sample": stride, "calibration_attempts": calibrated}
 ORACLE_SQL = {
     "reconcile_runs": f"""WITH d AS (SELECT l_returnflag AS file_name, l_partkey AS peptide, l_linenumber % 3 + 1 AS charge, l_suppkey % 2 = 1 AS decoy, arg_max(l_quantity::DOUBLE, (l_extendedprice, l_quantity, l_orderkey)) AS apex,
-        list_sort(list(DISTINCT l_quantity::DOUBLE)) AS others, min(l_discount) AS rq, min(l_tax) AS tq, max(l_discount) AS eq, max(l_tax) AS uq, greatest(1 / (1 + exp(-max(l_discount * 10))), 1e-6) AS w FROM lineitem GROUP BY ALL),
+        list_sort(list(DISTINCT l_quantity::DOUBLE)) AS others, min(l_discount) AS rq, min(l_tax) AS tq, max(l_discount) AS eq, max(l_tax) AS uq, greatest(1 / (1 + exp(-(max(l_extendedprice) / 30000 - 1))), 1e-6) AS w FROM lineitem GROUP BY ALL),
       good AS (SELECT *, NOT decoy AND rq <= 0.03 AND tq <= 0.03 AS ok FROM d),
       m AS (SELECT peptide, decoy, file_name, w, (apex - b) / a AS rt FROM good JOIN {_S} USING (file_name) WHERE (ok OR decoy) AND peptide IN (SELECT peptide FROM good WHERE ok)),
       r AS (SELECT *, sum(w) OVER (PARTITION BY peptide, decoy ORDER BY rt) AS upto, sum(w) OVER (PARTITION BY peptide, decoy) AS whole FROM m),
@@ -81,7 +81,7 @@ ORACLE_SQL = {
       t AS (SELECT s.file_name, least(own, greatest(2.0 * {_COVER}, 0.1), coalesce(greatest(x.mad * {_COVER}, 0.1), 1e9)) AS tol FROM {_S} LEFT JOIN (SELECT file_name, list_sort(list(off))[len(list(off)) // 2 + 1] AS mad FROM u GROUP BY 1) x USING (file_name), own),
       i AS (SELECT DISTINCT peptide, charge FROM d WHERE NOT decoy AND least(rq, tq, eq, uq) <= 0.03),
       e AS (SELECT d.file_name, d.peptide * 8 + d.charge * 2 + d.decoy::INT AS entry_id, apex, others, a * k.rt + b AS x, tol FROM d JOIN i USING (peptide, charge) JOIN k USING (peptide, decoy) JOIN t USING (file_name) JOIN {_S} USING (file_name)),
-      n AS (SELECT *, list_sort(list_transform(list_filter(others, lambda v: abs(v - x) <= tol), lambda v: struct_pack(off := abs(v - x), v := v)))[1].v AS near FROM e),
+      n AS (SELECT *, list_sort(list_transform(list_filter(others, lambda v: abs(v - x) <= tol), lambda v: struct_pack(off := round(abs(v - x), 9), v := v)))[1].v AS near FROM e),
       g AS (SELECT w.file_name, i.peptide, i.charge FROM i JOIN (SELECT DISTINCT file_name, low, high FROM {_W}) w ON 400.0 + i.peptide % 100 >= low AND 400.0 + i.peptide % 100 < high GROUP BY ALL)
       SELECT file_name, entry_id, CASE WHEN abs(apex - x) <= tol THEN 'keep' WHEN near IS NOT NULL THEN 'move' ELSE 'force' END AS action, round(CASE WHEN abs(apex - x) <= tol THEN apex ELSE coalesce(near, x) END, 5) AS apex,
         round(CASE WHEN abs(apex - x) <= tol THEN apex - 0.5 WHEN near IS NOT NULL THEN near - 0.5 ELSE x - 0.625 END, 5) AS "start", round(CASE WHEN abs(apex - x) <= tol THEN apex + 0.75 WHEN near IS NOT NULL THEN near + 0.75 ELSE x + 0.625 END, 5) AS "end" FROM n
