@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewell.functions.arrays import let
+from tidewell.functions.arrays import let, tolerance_width
 from tidewell.operators.joins import band_join
+from tidewell.operators.local_fit import place as at_place
 from tidewell.storage import stored
 
 #: Shares of the heavier isotopes of C, H, N (one more), O (one, two more) and S (one, two more).
@@ -72,9 +73,21 @@ def isotope_distribution(atoms: Column) -> Column:
     return let(out, lambda v: let(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), lambda whole: F.transform(v, lambda x: x / whole)))
 
 
-def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place: str, fragments: str, rank: str, distance: float, least_share: float = 0.5) -> DataFrame:
+def n_overlapping(a: Column, b: Column, tolerance: float, unit: str) -> Column:
+    """How many places of ``a`` have one of ``b`` within tolerance of them; ``b`` is sorted once and searched by halving."""
+
+    def count(s: Column) -> Column:
+        reach = lambda x: tolerance_width(x, tolerance, unit)
+        return F.size(F.filter(s.a, lambda x: at_place(s.b, x - reach(x)) < at_place(s.b, x + reach(x), equal=True)))
+
+    return F.when(F.size(a) * F.size(b) > 0, let(F.struct(a.alias("a"), F.array_sort(b).alias("b")), count)).otherwise(0)
+
+
+def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place: str, fragments: str, rank: str, distance: float, least_share: float = 0.5, tolerance: float | None = None, unit: str = "ppm") -> DataFrame:
     """``rows`` without those that a better row of their ``keys`` explains: near in ``place`` and with enough fragments in common.
 
+    Fragments are common if they are equal, or, with ``tolerance``, if the better row has one within it.
+
     The best row by ``rank`` (nulls last, then the smaller id) stays and removes its
     neighbours, then the next one that is left. Neighbours are found by a band join. In each
     round all rows that no better one is left beside stay and remove their neighbours, until
@@ -86,7 +99,8 @@ def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place:
     better = (F.col("_rank") > F.col("_r")) | ((F.col("_rank") == F.col("_r")) & (F.col(row_id) < F.col("_o")))
     met = band_join(narrow, other, keys, place, "_p", distance).filter(better)
     need = F.ceil(F.least(F.size(fragments), F.size("_f")) * least_share)
-    pairs = met.filter(F.size(F.array_intersect(fragments, "_f")) >= need).select(F.col(row_id).alias("a"), F.col("_o").alias("b")).distinct()
+    common = F.size(F.array_intersect(fragments, "_f")) if tolerance is None else n_overlapping(F.col("_f"), F.col(fragments), tolerance, unit)
+    pairs = met.filter(common >= need).select(F.col(row_id).alias("a"), F.col("_o").alias("b")).distinct()
     left, gone = stored(pairs, "better_pairs"), []
     while not left.isEmpty():
         staying = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")

@@ -37,6 +37,15 @@ def deduplicated(spark, sf_dir):
     return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 3.0).select("l_orderkey", "id")
 
 
+def overlapping(spark, sf_dir):
+    """Lines of an order count once if half of the places of the worse one's (part, supplier, price) are near one of the better one's."""
+    lines = table(spark, sf_dir, "lineitem")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    places = F.array((F.col("l_partkey") % 60).cast("double"), F.col("l_suppkey") % 40 + 0.25, F.col("l_linenumber") * 8 + 0.5)
+    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), places.alias("fragments"), "l_extendedprice").dropDuplicates(["id"])
+    return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 10.0, tolerance=1.5, unit="absolute").select("l_orderkey", "id")
+
+
 def _falling(n: str, k: int) -> str:
     return " * ".join(["1.0", *[f"({n} - {i})" for i in range(k)]])
 
@@ -54,7 +63,7 @@ def _folded(a: str, b: str) -> str:
     return f"list_transform(range(0, 5), lambda i: list_sum(list_transform(range(0, i + 1), lambda j: {a}[j + 1] * {b}[i - j + 1])))"
 
 
-QUERIES = {"cycle_first": cycles, "score_hyperscore": hyperscores, "isotope_envelopes": envelopes, "dedup_double_counts": deduplicated}
+QUERIES = {"cycle_first": cycles, "score_hyperscore": hyperscores, "isotope_envelopes": envelopes, "dedup_double_counts": deduplicated, "dedup_overlapping_fragments": overlapping}
 ORACLE_SQL = {
     "cycle_first": """WITH m AS (SELECT user_id, event_id, floor(value)::BIGINT AS center, row_number() OVER (PARTITION BY user_id, floor(value) ORDER BY event_id) AS seen FROM events),
       a AS (SELECT user_id, min(event_id) FILTER (seen = 2) AS again FROM m GROUP BY 1)
@@ -69,5 +78,11 @@ ORACLE_SQL = {
         UNION ALL SELECT n.l_orderkey, n.nth, CASE WHEN len(list_filter(r.kept, lambda k: abs(k.place - n.place) <= 3 AND (k.f = n.f OR k.f = n.s OR k.s = n.f OR k.s = n.s))) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(id := n.id, place := n.place, f := n.f, s := n.s)) END
         FROM r JOIN n ON r.l_orderkey = n.l_orderkey AND n.nth = r.nth + 1)
       SELECT l_orderkey, unnest(kept).id AS id FROM (SELECT l_orderkey, max_by(kept, nth) AS kept FROM r GROUP BY 1)""",
+    "dedup_overlapping_fragments": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS id, l_quantity::DOUBLE AS place, [(l_partkey % 60)::DOUBLE, l_suppkey % 40 + 0.25, l_linenumber * 8 + 0.5] AS f, l_extendedprice AS price FROM lineitem),
+      n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY price DESC, id) AS nth FROM l),
+      r AS (SELECT l_orderkey, 1::BIGINT AS nth, [struct_pack(id := id, place := place, f := f)] AS kept FROM n WHERE nth = 1
+        UNION ALL SELECT n.l_orderkey, n.nth, CASE WHEN len(list_filter(r.kept, lambda k: abs(k.place - n.place) <= 10 AND len(list_filter(n.f, lambda x: len(list_filter(k.f, lambda y: abs(x - y) <= 1.5)) > 0)) >= 2)) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(id := n.id, place := n.place, f := n.f)) END
+        FROM r JOIN n ON r.l_orderkey = n.l_orderkey AND n.nth = r.nth + 1)
+      SELECT l_orderkey, unnest(kept).id AS id FROM (SELECT l_orderkey, max_by(kept, nth) AS kept FROM r GROUP BY 1)""",
     "score_hyperscore": "SELECT l_orderkey, round(lgamma(count(*) FILTER (l_returnflag = 'A') + 1) + lgamma(count(*) FILTER (l_returnflag = 'R') + 1) + sum(ln(1 + l_extendedprice)), 6) AS score FROM lineitem GROUP BY 1",
 }
