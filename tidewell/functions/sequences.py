@@ -116,3 +116,13 @@ def ion_type(code: Column) -> Column:
 def neutral_loss(name: Column) -> Column:
     """Mass of a named loss, or the number itself; null for none."""
     return F.coalesce(F.try_element_at(_lookup(NEUTRAL_LOSS), F.trim(name)), F.trim(name).try_cast("double"))
+
+
+def bracketed_masses(noted: Column) -> Column:
+    """(position from 0, mass) of each number in brackets or parentheses after a residue, its sign as it stands; those before the first are at 0."""
+    tokens = F.regexp_extract_all(noted, F.lit(r"[A-Za-z]|\[[^\]]*\]|\([^)]*\)"), F.lit(0))
+    residues = lambda t, i: F.size(F.filter(F.slice(t, 1, i), lambda x: x.rlike("^[A-Za-z]$")))
+    number = lambda x: F.regexp_replace(F.regexp_replace(x, r"[\[\]()]", ""), r"^\++", "")
+    mass = lambda x: F.when(number(x).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number(x).cast("double"))
+    each = F.transform(tokens, lambda x, i: F.struct(F.greatest(residues(tokens, i) - 1, F.lit(0)).alias("position"), mass(x).alias("mass")))
+    return F.filter(each, lambda m: m.mass.isNotNull())

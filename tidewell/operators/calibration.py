@@ -115,8 +115,7 @@ def mass_errors(points: DataFrame, entries: DataFrame, spectra: DataFrame, ppm:
     met = kept.join(scans, [*RUN, "apex_rt"]).filter((F.col("precursor_mz") >= F.col("iso_low")) & (F.col("precursor_mz") < F.col("iso_high")))
     errors = F.filter(F.transform("fragments", lambda f: closest_error(f.mz, F.col("mzs"), ppm)), lambda e: e.isNotNull())
     each = stored(met.select(*RUN, F.explode(errors).alias("error")), "mass_errors")
-    middle = stats.order_statistics(each, RUN, "error", stats.MIDDLE).select(*RUN, ((F.col("_below") + F.col("_above")) / 2).alias("median"))
-    return stats.calibration_summary(each, RUN, "error").join(middle, RUN)
+    return stats.calibration_summary(each, RUN, "error")
 
 
 def closest_error(mz: Column, mzs: Column, ppm: float) -> Column:

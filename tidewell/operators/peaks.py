@@ -49,23 +49,30 @@ def detect(df: DataFrame, keys: list[str], row: str, order: str, value: str, lea
     return df.select(*keys, row, order, value).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", rank int, {PEAK}")
 
 
-def polish(df: DataFrame, keys: list[str], row: str, order: str, value: str) -> DataFrame:
-    """keys, overall, largest column effect's place, residual_ratio: median polish of each group's matrix of positive values.
+POLISH = ["cosine", "r2", "residual_ratio", "least_r2", "residual_correlation"]
 
-    Groups of fewer than two rows or three places have none.
+
+def polish(df: DataFrame, keys: list[str], row: str, order: str, value: str, expected: str | None = None) -> DataFrame:
+    """keys, overall, apex (place of the largest column effect) and the features POLISH: median polish of each group's positive values.
+
+    ``expected`` is a column with what is expected of a row (the same at all its places); without it, all rows are expected
+    to be alike. Groups of fewer than two rows or three places have none.
     """
     kinds = dict(df.dtypes)
+    ideal = F.col(expected).cast("double") if expected else F.lit(1.0)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         y, x = _matrix(part, row, order, value)
+        names = [*keys, "overall", "apex", *POLISH]
         if y.shape[0] < 2 or y.shape[1] < 3 or not (y > 0).any():
-            return pd.DataFrame(columns=[*keys, "overall", "apex", "residual_ratio"])
-        overall, rows, cols, r = kernels.median_polish(y)
-        fitted = np.exp(overall + rows[:, None] + cols[None, :])
-        off = np.where(y > 0, np.abs(y - fitted), 0.0).sum() / y.sum()
-        return pd.DataFrame([(*key, overall, int(x[int(np.argmax(cols))]), float(off))], columns=[*keys, "overall", "apex", "residual_ratio"])
-
-    return df.select(*keys, row, order, value).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", overall double, apex long, residual_ratio double")
+            return pd.DataFrame(columns=names)
+        found = kernels.median_polish(y)
+        weights = part.groupby(row)["_ideal"].max().to_numpy(float)  # rows in the order of the matrix
+        features = kernels.polish_features(y, found, weights)
+        return pd.DataFrame([(*key, found[0], int(x[int(np.argmax(found[2]))]), *[features[n] for n in POLISH])], columns=names)
+
+    rows = df.select(*keys, row, order, value, ideal.alias("_ideal"))
+    return rows.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", overall double, apex long" + "".join(f", {n} double" for n in POLISH))
 
 
 TAILING = ["mu", "sigma", "tau", "area", "r_squared", "start", "end"]

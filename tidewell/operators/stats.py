@@ -39,27 +39,31 @@ def nearest_rank(n: Column, share: float) -> Column:
     return F.round(F.lit(share) * (n - 1)).cast("long")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], levels: int = 2, bins: int = 4096) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
     """keys and, for each name, the value at place ``places[name](n)`` (from 0) of the key's n sorted values; nulls don't count.
 
     Exact, without a sort of all values and without an array of them: counts of ``bins`` even
-    ranges say in which range a place is, that range is divided again, and only the values
-    of the last ranges are sorted, equal ones as one.
+    ranges, shared by all places, say in which range a place is; only the rows of such ranges
+    are divided again, and only those of the ranges within are counted by value.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    even = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    inside = stored(ranges.matched(rows, ends.drop("_n"), keys).select(*keys, "_v", even.alias("_b0")), "values")
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), f(F.col("_n")).cast("long").alias("_at")) for name, f in places.items()]))
-    asked = ends.select(*keys, "_lo", "_hi", each.alias("_x")).select(*keys, "_lo", "_hi", "_x._name", "_x._at")
-    upto = W.partitionBy(*keys, "_name").orderBy("_lo").rowsBetween(W.unboundedPreceding, 0)
-    for level in range(levels + 1):
-        inside = ranges.matched(rows, asked, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        even = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-        part = even if level < levels else F.col("_v")
-        counts = inside.groupBy(*keys, "_name", "_at", part.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        held = counts.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).filter(F.col("_at").between(F.col("_before"), F.col("_before") + F.col("_c") - 1))
-        # a row per key and place
-        asked = stored(held.select(*keys, "_lo", "_hi", "_name", (F.col("_at") - F.col("_before")).alias("_at")), "value_ranges")
-    return asked.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_lo"))).alias(name) for name in places])
+    asked = ends.select(*keys, each.alias("_x")).select(*keys, "_x._name", "_x._at")
+    within = list(keys)
+    for level, part in enumerate(("_b0", "_b1", "_v")):
+        counts = inside.groupBy(*within, part).agg(F.count("*").alias("_c"), *([F.min("_v").alias("_lo"), F.max("_v").alias("_hi")] if part != "_v" else []))
+        upto = W.partitionBy(*within).orderBy(part).rowsBetween(W.unboundedPreceding, 0)
+        running = counts.withColumn("_before", F.sum("_c").over(upto) - F.col("_c"))
+        held = ranges.matched(asked, running, within).filter(F.col("_at").between(F.col("_before"), F.col("_before") + F.col("_c") - 1))
+        within = [*within, part]
+        if part != "_v":
+            asked = held.select(*within, "_name", (F.col("_at") - F.col("_before")).alias("_at"))
+            open_ranges = held.select(*within, "_lo", "_hi").distinct()  # a row per key and place at most
+            inside = ranges.matched(inside, open_ranges, within).select(*within, "_v", *([even.alias("_b1")] if level == 0 else []))
+    return held.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in places])
 
 
 #: Places of the two middle values; their mean is the median.
@@ -75,9 +79,11 @@ def clipped_mad(df: DataFrame, keys: list[str], residual: str, clip: float | Col
 
 
 def calibration_summary(df: DataFrame, keys: list[str], error: str) -> DataFrame:
-    """keys, n, mean, sd (sample), tolerance: |mean| + 3 sd."""
+    """keys, n, mean, median, sd (sample), tolerance: |mean| + 3 sd."""
     sd = F.coalesce(F.stddev_samp(error), F.lit(0.0))
-    return df.groupBy(*keys).agg(F.count(error).alias("n"), F.avg(error).alias("mean"), sd.alias("sd"), (F.abs(F.avg(error)) + 3 * sd).alias("tolerance"))
+    moments = df.groupBy(*keys).agg(F.count(error).alias("n"), F.avg(error).alias("mean"), sd.alias("sd"), (F.abs(F.avg(error)) + 3 * sd).alias("tolerance"))
+    middle = order_statistics(df, keys, error, MIDDLE).select(*keys, ((F.col("_below") + F.col("_above")) / 2).alias("median"))
+    return ranges.matched(moments, middle, keys, "left").select(*keys, "n", "mean", "median", "sd", "tolerance")
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, width: float) -> DataFrame:

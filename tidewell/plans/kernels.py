@@ -23,7 +23,9 @@ def detected(spark, sf_dir):
 
 
 def polished(spark, sf_dir):
-    return peaks.polish(event_matrix(spark, sf_dir), ["user_id"], "event_type", "slot", "value")
+    """Each user's values, and how far event types share them as they do over all users."""
+    whole = table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum("value").alias("expected"))
+    return peaks.polish(event_matrix(spark, sf_dir).join(whole, "event_type"), ["user_id"], "event_type", "slot", "value", "expected")
 
 
 def orders(spark, sf_dir):

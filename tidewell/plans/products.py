@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import correlation, peaks, products
+from tidewell.operators import correlation, features, peaks, products
 from tidewell.plans.kernels import event_matrix
 from tidewell.session import table
 
@@ -43,10 +43,20 @@ def fitted(spark, sf_dir):
     return peaks.tailing_fit(series, ["user_id"], "slot", "value")
 
 
+def eluted(spark, sf_dir):
+    """How steadily each user's values are shared among event types over time, as they are over all users."""
+    slots = event_matrix(spark, sf_dir)
+    ideal = slots.groupBy("event_type").agg(F.sum("value").alias("expected"))
+    users = slots.select("user_id", "event_type").distinct().join(ideal, "event_type").groupBy("user_id").agg(F.sum("expected").alias("total"))
+    weight = slots.groupBy("user_id", "slot").agg(F.count("*").cast("double").alias("weight"))
+    found = features.elution_cosine(slots.join(ideal, "event_type").join(weight, ["user_id", "slot"]), users, ["user_id"], "slot", "weight", "expected", "value", "total")
+    return found.select("user_id", F.round("cosine", 6).alias("cosine"))
+
+
 _BIN = f"floor(mz / {correlation.WIDTH} + {1 - correlation.OFFSET})::INT"
 _P = "p AS (SELECT l_suppkey, l_partkey, l_extendedprice / 60 AS mz, l_quantity AS intensity FROM lineitem)"
 _SPAN = correlation.n_bins() // correlation.WINDOWS + 1
-QUERIES = {"score_cross_correlation": correlated, "products_best_spectra": best_spectra, "products_best_vectors": best_vectors, "peaks_tailing_fit": fitted}
+QUERIES = {"score_cross_correlation": correlated, "products_best_spectra": best_spectra, "products_best_vectors": best_vectors, "peaks_tailing_fit": fitted, "score_elution_cosine": eluted}
 ORACLE_SQL = {
     "score_cross_correlation": f"""WITH {_P},
       b AS (SELECT l_suppkey, {_BIN} AS bin, sum(sqrt(intensity)) AS v FROM p WHERE mz >= 0 AND mz < 2000 GROUP BY 1, 2),
@@ -62,6 +72,11 @@ ORACLE_SQL = {
       n AS (SELECT key, side, bin, v / sqrt(sum(v * v) OVER (PARTITION BY key, side)) AS v FROM v),
       d AS (SELECT a.key AS l_partkey, b.key AS l_suppkey, round(sum(a.v * b.v), 6) AS score FROM n a JOIN n b ON a.side = 'p' AND b.side = 's' AND a.bin = b.bin GROUP BY 1, 2)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY score DESC, l_suppkey) AS rank FROM d WHERE score > 0) WHERE rank <= 5""",
+    "score_elution_cosine": """WITH z AS (SELECT *, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) / greatest(max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER (), 1) * 120) AS slot FROM events),
+      m AS (SELECT user_id, event_type, slot, sum(value) AS v FROM z GROUP BY ALL), i AS (SELECT event_type, sum(v) AS e FROM m GROUP BY 1),
+      t AS (SELECT user_id, sum(e) AS total FROM (SELECT DISTINCT user_id, event_type FROM m) JOIN i USING (event_type) GROUP BY 1),
+      c AS (SELECT user_id, slot, count(*) AS w, least(1.0, sum(sqrt(e * v)) / sqrt(any_value(total) * sum(v))) AS cosine FROM m JOIN i USING (event_type) JOIN t USING (user_id) GROUP BY 1, 2)
+      SELECT user_id, round(sum(cosine * w * w) / sum(w * w), 6) AS cosine FROM c GROUP BY 1""",
     "products_best_vectors": """WITH n AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
       d AS (SELECT q.vec_id AS query, r.vec_id AS row, round(list_dot_product(q.v, r.v), 6) AS score FROM n q JOIN n r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, row) AS rank FROM d WHERE score > 0) WHERE rank <= 10""",

@@ -25,7 +25,7 @@ def mad(spark, sf_dir):
 def calibration(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("error", F.col("value") - 50.0)
     out = stats.calibration_summary(rows, ["event_type"], "error")
-    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "tolerance")])
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "sd", "tolerance")])
 
 
 def bins(spark, sf_dir):
@@ -127,7 +127,7 @@ ORACLE_SQL = {
     "stats_weighted_median": """SELECT o_custkey, min(o_totalprice) AS median FROM (SELECT o_custkey, o_totalprice, sum(w) OVER (PARTITION BY o_custkey ORDER BY o_totalprice ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY o_custkey) AS al
       FROM (SELECT o_custkey, o_totalprice, sum(n) AS w FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1, 2)) WHERE upto * 2 >= al GROUP BY 1""",
     "stats_clipped_mad": "SELECT user_id, round(u[len(u) // 2 + 1], 9) AS mad FROM (SELECT user_id, CASE WHEN len(list_filter(v, lambda x: x <= 30)) < 20 THEN v ELSE list_filter(v, lambda x: x <= 30) END AS u FROM (SELECT user_id, list_sort(list(abs(value - 50.0))) AS v FROM events GROUP BY 1))",
-    "stats_calibration_summary": "SELECT event_type, count(value) AS n, round(avg(value - 50.0), 6) AS mean, round(stddev_samp(value - 50.0), 6) AS sd, round(abs(avg(value - 50.0)) + 3 * stddev_samp(value - 50.0), 6) AS tolerance FROM events GROUP BY 1",
+    "stats_calibration_summary": "SELECT event_type, count(value) AS n, round(avg(value - 50.0), 6) AS mean, round(median(value - 50.0), 6) AS median, round(stddev_samp(value - 50.0), 6) AS sd, round(abs(avg(value - 50.0)) + 3 * stddev_samp(value - 50.0), 6) AS tolerance FROM events GROUP BY 1",
     "stats_histogram": """WITH e AS (SELECT event_type, min(value) AS lo, max(value) AS hi, greatest(ceil((max(value) - min(value)) / 10.0), 1)::INT AS b FROM events GROUP BY 1),
       c AS (SELECT event_type, least(floor((value - lo) / 10.0), b - 1)::INT AS bin, count(*) AS n FROM events JOIN e USING (event_type) GROUP BY 1, 2)
       SELECT e.event_type, g.bin::INT AS bin, coalesce(n, 0) AS n FROM e, unnest(generate_series(0, b - 1)) g(bin) LEFT JOIN c ON c.event_type = e.event_type AND c.bin = g.bin""",
