@@ -7,7 +7,7 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import calibration, fdr, local_fit, models
+from tidewell.operators import apex, calibration, fdr, local_fit, models
 from tidewell.operators.calibration import FEATURES, RUN
 from tidewell.stages import Stage, run_stages
 from tidewell.storage import stored
@@ -24,9 +24,10 @@ def spectra_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def searched(entries: DataFrame, spectra: DataFrame, curves: DataFrame, ppm: float) -> DataFrame:
-    """The best peak of each entry in each run that has a curve, around the time that the curve gives."""
+    """The best peak of each entry in each run that has a curve, around the time that the curve gives, with its features."""
     by_curve = lambda met: local_fit.apply_curves(met, curves, RUN, "rt", "_t").withColumn("rt", F.col("_t")).drop("_t")
-    return calibration.matches(entries, spectra, curves.select(*RUN, "tolerance"), by_curve, ppm)
+    found = stored(calibration.matches(entries, spectra, curves.select(*RUN, "tolerance"), by_curve, ppm), "job_matches")
+    return apex.with_apex_features(found, entries, spectra, ppm)
 
 
 def rated(found: DataFrame, threshold: float) -> DataFrame:

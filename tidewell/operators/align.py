@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.stats import middle, weighted_median
+from tidewell.operators.stats import MIDDLE, order_statistics, weighted_median
 
 
 def consensus(rows: DataFrame, keys: list[str], place: str, width: str, score: str, run: str) -> DataFrame:
@@ -15,8 +15,12 @@ def consensus(rows: DataFrame, keys: list[str], place: str, width: str, score: s
     widths = weighted_median(weighted, keys, width, "_w").withColumnRenamed("median", width)
     both = places.join(widths, keys)
     center = both.select(*keys, F.col(place).alias("_c"))
-    spread = rows.join(center, keys).groupBy(*keys).agg(F.count_distinct(run).alias("n_runs"), F.sort_array(F.collect_list(F.abs(F.col(place) - F.col("_c")))).alias("_v"))
-    return both.join(spread, keys).select(*keys, place, width, "n_runs", F.when(F.col("n_runs") >= 3, middle(F.col("_v"))).alias("mad"))
+    off = rows.join(center, keys).select(*keys, run, F.abs(F.col(place) - F.col("_c")).alias("_off"))
+    runs = off.groupBy(*keys).agg(F.count_distinct(run).alias("n_runs"))
+    # only where a spread is asked for; no key's deviations are gathered
+    several = off.join(runs.filter("n_runs >= 3").select(*keys), keys, "left_semi")
+    spread = order_statistics(several, keys, "_off", MIDDLE).select(*keys, ((F.col("_below") + F.col("_above")) / 2).alias("mad"))
+    return both.join(runs, keys).join(spread, keys, "left").select(*keys, place, width, "n_runs", "mad")
 
 
 def reconcile_action(apex: Column, candidates: Column, expected: Column, tolerance: Column, half_width: Column) -> Column:

@@ -82,11 +82,12 @@ def matches(entries: DataFrame, spectra: DataFrame, tolerances: DataFrame, expec
     ``tolerances`` has (file_name, tolerance), a row for each run that is searched. ``expected`` gives entries their time in
     the run. Times in tolerances of the run serve the search, and are turned back after it.
     """
-    scans = spectra.join(tolerances, RUN).withColumn("rt", F.col("rt") / F.col("tolerance")).drop("tolerance")
+    scans = spectra.join(tolerances, RUN).withColumn("_rt", F.col("rt")).withColumn("rt", F.col("rt") / F.col("tolerance")).drop("tolerance")
+    places = scans.groupBy(*RUN, F.col("rt").alias("apex_rt")).agg(F.min("_rt").alias("_rt"))  # a scan's time to the last bit, for joins on it
     scaled = lambda met: expected(met).join(tolerances, RUN).withColumn("rt", F.col("rt") / F.col("tolerance")).drop("tolerance")
-    found = search.search(entries.select("entry_id", "precursor_mz", "rt", "fragments", "decoy"), scans, 1.0, ppm, expected=scaled).join(tolerances, RUN)
-    times = {c: F.col(c) * F.col("tolerance") for c in ("expected_rt", "apex_rt", "start_rt", "end_rt", "area")}
-    return found.withColumns(times).drop("tolerance", "rank").join(entries.select("entry_id", "base", "rt"), "entry_id")
+    found = search.search(entries.select("entry_id", "precursor_mz", "rt", "fragments", "decoy"), scans.drop("_rt"), 1.0, ppm, expected=scaled).join(places, [*RUN, "apex_rt"]).join(tolerances, RUN)
+    times = {c: F.col(c) * F.col("tolerance") for c in ("expected_rt", "start_rt", "end_rt", "area")} | {"apex_rt": F.col("_rt"), "sharpness": F.col("sharpness") / F.col("tolerance")}
+    return found.withColumns(times).drop("tolerance", "rank", "_rt").join(entries.select("entry_id", "base", "rt"), "entry_id")
 
 
 def passing(found: DataFrame, settings: Settings) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Rows of a list of places that is broadcast.
+MOST_PLACES = 100_000
+
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float, closed: bool = False, keys: list[str] | None = None) -> DataFrame:
     """Rows of ``points`` with ``low <= at < high`` (or ``<= high``) of a row of ``ranges`` with equal ``keys``.
@@ -65,7 +68,9 @@ def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, ot
 
 
 def gaps(present: DataFrame, subjects: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
-    """Every subject at every place where it isn't present. ``places`` is a short list: it is broadcast."""
+    """Every subject at every place where it isn't present. ``places`` has MOST_PLACES rows at most (else an error), so it can be broadcast."""
+    if places.limit(MOST_PLACES + 1).count() > MOST_PLACES:
+        raise ValueError(f"more than {MOST_PLACES} places")
     return subjects.crossJoin(F.broadcast(places)).join(present.select(*keys).distinct(), keys, "left_anti")
 
 

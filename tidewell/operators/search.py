@@ -84,7 +84,43 @@ def prefiltered(rows: DataFrame, least_fragments: int = 2, length: int = 4, leas
     return rows.join(keep, ["file_name", "entry_id"], "left_semi")
 
 
-SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, rank_score double, rank int"
+SHAPE = ["coelution_max", "n_coeluting", "sharpness", "smoothed_cosine", "elution_cosine", "polish_cosine", "polish_ratio", "polish_least_r2", "polish_correlation"]
+SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, " + "".join(f"{n} double, " for n in SHAPE) + "rank_score double, rank int"
+#: Weights of the five scans around an apex (quadratic smoothing).
+SMOOTHING = (-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35)
+
+
+def root_cosines(expected: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of the roots of ``expected`` and of each column of ``y``, 0 for empty ones."""
+    size = np.sqrt(expected.sum() * y.sum(axis=0))
+    return np.divide(np.sqrt(expected) @ np.sqrt(y), size, out=np.zeros(y.shape[1]), where=size > 1e-12)
+
+
+def shape_features(y: np.ndarray, rt: np.ndarray, expected: np.ndarray, peak: tuple[int, int, int]) -> list[float]:
+    """SHAPE of a peak (apex, start, end) in fragments' series (a row each): how alike they are within it, and how like the expected ones.
+
+    The fragment with the largest sum is the reference, for the slopes to the apex and for the weights of scans.
+    """
+    apex, start, end = peak
+    used = (y > 0).any(axis=1)
+    cut = y[used, start : end + 1]
+    spread = cut.std(axis=1) > 0
+    r = np.zeros((len(cut), len(cut)))
+    if spread.sum() > 1:
+        r[np.ix_(spread, spread)] = np.corrcoef(cut[spread])
+    np.fill_diagonal(r, 0)
+    pairs = r[np.triu_indices(len(cut), 1)]
+    reference = y[int(np.argmax(y.sum(axis=1)))]
+    slopes = [(reference[apex] - reference[i]) / abs(rt[apex] - rt[i]) if i != apex and abs(rt[apex] - rt[i]) > 1e-10 else 0.0 for i in (start, end)]
+    cosines = root_cosines(expected, y)
+    smoothed = sum(w * cosines[apex + k] for k, w in zip(range(-2, 3), SMOOTHING, strict=True) if 0 <= apex + k < len(cosines))
+    weights = np.maximum(reference[start : end + 1], 0) ** 2
+    elution = weights @ cosines[start : end + 1] / weights.sum() if weights.sum() > 0 else 0.0
+    inner = y[:, start : end + 1]
+    polish = {"cosine": 0.0, "residual_ratio": 1.0, "least_r2": 0.0, "residual_correlation": 0.0}
+    if inner.shape[0] >= 2 and inner.shape[1] >= 3 and (inner > 0).any():
+        polish = kernels.polish_features(inner, kernels.median_polish(inner), expected)
+    return [float(pairs.max(initial=-1.0)) if len(pairs) else 0.0, float((r[:6].sum(axis=1) > 0).sum()), float(sum(slopes) / 2), float(smoothed), float(elution), *[polish[n] for n in ("cosine", "residual_ratio", "least_r2", "residual_correlation")]]
 
 
 def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
@@ -106,7 +142,7 @@ def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
             root = np.sqrt(expected) @ np.sqrt(y[:, apex]) / max(np.sqrt(expected.sum() * y[:, apex].sum()), 1e-12)
             rank = pairs.mean() * np.exp(-off * off / 2 / sigma**2) * np.log1p(total[apex])
             area = np.trapezoid(total[start : end + 1], rt[start : end + 1])
-            out.append((rt[apex], rt[start], rt[end], total[apex], area, noise, pairs.sum(), root, int((y[:, apex] > 0).sum()), rank))
+            out.append((rt[apex], rt[start], rt[end], total[apex], area, noise, pairs.sum(), root, int((y[:, apex] > 0).sum()), *shape_features(y, rt, expected, (apex, start, end)), rank))
         out.sort(key=lambda r: -r[-1])
         first = part.iloc[0]
         return pd.DataFrame([(first["file_name"], first["entry_id"], first["decoy"], first["expected_rt"], *r, n) for n, r in enumerate(out[:top], 1)], columns=[c.split()[0] for c in SCORES.split(", ")])

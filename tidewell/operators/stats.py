@@ -46,10 +46,10 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
     ranges, shared by all places, say in which range a place is; only the rows of such ranges
     are divided again, and only those of the ranges within are counted by value.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    rows = stored(df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"), "values")  # read several times
     ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
     even = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    inside = stored(ranges.matched(rows, ends.drop("_n"), keys).select(*keys, "_v", even.alias("_b0")), "values")
+    inside = ranges.matched(rows, ends.drop("_n"), keys).select(*keys, "_v", even.alias("_b0"))
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), f(F.col("_n")).cast("long").alias("_at")) for name, f in places.items()]))
     asked = ends.select(*keys, each.alias("_x")).select(*keys, "_x._name", "_x._at")
     within = list(keys)
