@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from test_calibration import ENTRY, SPECTRUM, simulated, warp
 
 from tidewell import job

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
-from tidewell.operators import fdr, local_fit, models, peaks, search
+from tidewell.operators import apex, fdr, local_fit, models, peaks, search
 from tidewell.session import table
+from tidewell.storage import stored
 
 
 def event_matrix(spark, sf_dir):
@@ -56,8 +57,8 @@ def discriminated(spark, sf_dir):
     return models.error_chances(winners, kernels.calibration_chances)
 
 
-def searched(spark, sf_dir):
-    """Users as catalogue entries and isolation windows, event types as fragments, time slots as scans: five peaks of each."""
+def catalogue(spark, sf_dir):
+    """(entries, scans): users as catalogue entries and isolation windows, event types as fragments, time slots as scans."""
     slots = event_matrix(spark, sf_dir).withColumn("mz", F.pmod(F.crc32(F.col("event_type").cast("binary")), F.lit(9000)) / 10.0 + 100)
     peaks_of = F.array_sort(F.collect_list(F.struct("mz", F.col("value").alias("y"))))
     center = 400.0 + F.col("user_id")
@@ -67,7 +68,19 @@ def searched(spark, sf_dir):
     fragments = F.array_sort(F.collect_list(F.struct("mz", F.col("total").alias("intensity"))))
     by_type = slots.groupBy("user_id", "mz").agg(F.sum("value").alias("total"), F.sum(F.col("value") * F.col("slot")).alias("moment"))
     entries = by_type.groupBy("user_id").agg(fragments.alias("fragments"), (F.sum("moment") / F.sum("total")).alias("rt")).select(F.col("user_id").alias("entry_id"), (400.0 + F.col("user_id")).alias("precursor_mz"), "rt", "fragments", F.lit(False).alias("decoy"))
-    return search.search(entries, scans, rt_tolerance=60.0, ppm=20.0, top=5)
+    return entries, scans
+
+
+def searched(spark, sf_dir):
+    """Five peaks of each user."""
+    return search.search(*catalogue(spark, sf_dir), rt_tolerance=60.0, ppm=20.0, top=5)
+
+
+def featured(spark, sf_dir):
+    """The best peak of each user with all features of the model."""
+    entries, scans = catalogue(spark, sf_dir)
+    found = stored(search.search(entries, scans, rt_tolerance=60.0, ppm=20.0), "matches")
+    return apex.with_apex_features(found, entries, scans, 20.0).select("entry_id", "apex_rt", *apex.MODEL_FEATURES)
 
 
 QUERIES = {
@@ -78,5 +91,6 @@ QUERIES = {
     "model_experiment": scored_lines,
     "model_discriminant": discriminated,
     "search_peaks": searched,
+    "search_features": featured,
 }
 ORACLE_SQL: dict = {}
