@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
@@ -34,12 +35,14 @@ def fit_curves(points: DataFrame, keys: list[str], x: str, y: str, bandwidth: fl
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["mx", "my"])
         at, values, rows_at, weights = (part[c].to_numpy(float) for c in ("mx", "my", "m", "w"))
-        return pd.DataFrame([(*key, int(part["_n"].iloc[0]), at, kernels.local_lines(at, values, rows_at, weights, bandwidth))], columns=[*keys, "n", "knots", "fitted"])
+        fitted = kernels.local_lines(at, values, rows_at, weights, bandwidth)
+        return pd.DataFrame([(*key, int(part["_n"].iloc[0]), at, fitted, part["_c"].to_numpy(float))], columns=[*keys, "n", "knots", "fitted", "cells"])
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, knots array<double>, fitted array<double>"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, knots array<double>, fitted array<double>, cells array<double>"
     for n in range(passes + 1):
         curves = stored(means.groupBy(*keys).applyInPandas(one, schema), f"curves_{n}")
-        off = stored(apply_curves(rows, curves, keys, "_x", "_f").withColumn("_r", F.col("_y") - F.col("_f")).withColumn("_a", F.abs("_r")), f"residuals_{n}")
+        value = F.col("_k") + (F.col("_x") - F.col("_at")) * F.when(F.col("_x") < F.col("_at"), F.col("_before")).otherwise(F.col("_after"))
+        off = stored(rows.join(_slopes(curves, keys), [*keys, "_c"]).withColumn("_a", F.abs(F.col("_y") - value)).select(*rows.columns, "_a"), f"residuals_{n}")
         middle = stats.order_statistics(off, keys, "_a", stats.MIDDLE).select(*keys, ((F.col("_below") + F.col("_above")) / 2).alias("mad"))
         if n < passes:
             scale = F.col("mad") * 6
@@ -53,6 +56,16 @@ def fit_curves(points: DataFrame, keys: list[str], x: str, y: str, bandwidth: fl
     return curves.join(profile, keys).join(spread, keys).join(middle, keys).select(*keys, "knots", "fitted", "residuals", "sd", "mad", "n")
 
 
+def _slopes(curves: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _c (cell), and its knot: place (_at), value (_k) and the slopes before and after it, those of the ends going on beyond them."""
+    each = curves.select(*keys, F.posexplode(F.arrays_zip("cells", "knots", "fitted")).alias("_i", "_z")).select(*keys, "_i", F.col("_z.cells").alias("_c"), F.col("_z.knots").alias("_at"), F.col("_z.fitted").alias("_k"))
+    w = W.partitionBy(*keys).orderBy("_i")  # MAX_KNOTS rows at most
+    before = (F.col("_k") - F.lag("_k").over(w)) / (F.col("_at") - F.lag("_at").over(w))
+    after = (F.lead("_k").over(w) - F.col("_k")) / (F.lead("_at").over(w) - F.col("_at"))
+    both = each.withColumns({"_b": before, "_a": after})
+    return both.select(*keys, "_c", "_at", "_k", F.coalesce("_b", "_a", F.lit(0.0)).alias("_before"), F.coalesce("_a", "_b", F.lit(0.0)).alias("_after"))
+
+
 def place(sorted_values: Column, value: Column, field: str | None = None, equal: bool = False) -> Column:
     """How many of the sorted values (or their ``field``) are below ``value`` (with ``equal``: or equal to it), by halving."""
 
