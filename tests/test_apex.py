@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_calibration import ENTRY, SPECTRUM, simulated
 
 from tidewell.functions import kernels
-from tidewell.operators import apex, search
+from tidewell.operators import apex, search, survey
 
 
 def test_features_of_matches(spark):
@@ -16,7 +17,8 @@ def test_features_of_matches(spark):
     spectra = [s for s in spectra if s[0] == "a"]
     e, s = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(spectra, SPECTRUM)
     found = search.search(e, s, rt_tolerance=2.0, ppm=10.0)
-    rows = {r.entry_id: r for r in apex.with_apex_features(found, e, s, 10.0).collect()}
+    scans = spark.createDataFrame([("a", k, k / 2, [x[2] for x in entries if not x[5]], [100.0 * k] * 14) for k in range(60)], "file_name string, scan long, rt double, mzs array<double>, intensities array<double>").withColumn("mzs", F.array_sort("mzs"))
+    rows = {r.entry_id: r for r in apex.with_apex_features(survey.with_survey_features(found, e, scans), e, s, 10.0).collect()}
     targets = [x for x in entries if not x[5]]
     assert len(set(rows) & {x[0] for x in targets}) >= 12
     prepared = [kernels.binned_correlation_spectrum(np.array(x[5]), np.array(x[6])) for x in spectra]
@@ -41,6 +43,7 @@ def test_features_of_matches(spark):
         assert r.rt_off == pytest.approx(r.apex_rt - rt) and r.abs_rt_off == abs(r.rt_off)
         assert abs(r.mass_error - 3.0) < 1.0 and r.coelution_max > 0.95 and r.n_coeluting == 6 and r.sharpness > 0
         assert r.polish_cosine > 0.95 and r.elution_cosine > 0.95 and r.polish_least_r2 > 0.8 and 0 <= r.polish_ratio < 0.5
+        assert len(r.profile) == len(r.profile_rt) and r.profile_rt[0] == r.start_rt and r.profile_rt[-1] == r.end_rt and r.consecutive == 0
         assert all(r[n] is not None for n in apex.MODEL_FEATURES)
         checked += 1
     assert checked >= 12

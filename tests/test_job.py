@@ -15,7 +15,7 @@ def test_search_to_report(spark, tmp_path):
     settings = calibration.Settings(sample=0, enough=25, fewest=20, threshold=0.06, narrowest=0.7)
     ask = lambda s: job.run(spark, str(tmp_path / "spectra.parquet"), str(tmp_path / "entries.parquet"), str(tmp_path / "job"), s)
     found, ran = ask(settings)
-    assert ran == ["spectra", "entries", "curves", "matches", "rated", "report"]
+    assert ran == ["spectra", "surveys", "entries", "curves", "matches", "rated", "report"]
     times = {e[1]: e[3] for e in entries if not e[5]}
     rows = found.collect()
     assert {r.file_name for r in rows} == {"a", "b"} and len({r.base for r in rows}) >= 36

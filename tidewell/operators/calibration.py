@@ -86,7 +86,7 @@ def matches(entries: DataFrame, spectra: DataFrame, tolerances: DataFrame, expec
     places = scans.groupBy(*RUN, F.col("rt").alias("apex_rt")).agg(F.min("_rt").alias("_rt"))  # a scan's time to the last bit, for joins on it
     scaled = lambda met: expected(met).join(tolerances, RUN).withColumn("rt", F.col("rt") / F.col("tolerance")).drop("tolerance")
     found = search.search(entries.select("entry_id", "precursor_mz", "rt", "fragments", "decoy"), scans.drop("_rt"), 1.0, ppm, expected=scaled).join(places, [*RUN, "apex_rt"]).join(tolerances, RUN)
-    times = {c: F.col(c) * F.col("tolerance") for c in ("expected_rt", "start_rt", "end_rt", "area")} | {"apex_rt": F.col("_rt"), "sharpness": F.col("sharpness") / F.col("tolerance")}
+    times = {c: F.col(c) * F.col("tolerance") for c in ("expected_rt", "start_rt", "end_rt", "area")} | {"apex_rt": F.col("_rt"), "sharpness": F.col("sharpness") / F.col("tolerance"), "profile_rt": F.transform("profile_rt", lambda t: t * F.col("tolerance"))}
     return found.withColumns(times).drop("tolerance", "rank", "_rt").join(entries.select("entry_id", "base", "rt"), "entry_id")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
 from tidewell.operators import fdr, stats
+from tidewell.operators.dedup import best_row
 from tidewell.storage import stored
 
 FOLDS, ROUNDS, COSTS = 3, 10, (0.01, 0.1, 1.0, 10.0)
@@ -96,11 +97,18 @@ def _sampled(folded: DataFrame, features: list[str], base: str, group: str) -> D
     return drawn.select(base, "decoy", "fold", *features, F.explode(F.array(*map(F.lit, range(FOLDS)))).alias("held")).filter("fold <> held")
 
 
-def score(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01) -> DataFrame:
-    """``rows`` with ``score``: each row by the model of the folds that its group isn't in. ``rows`` has ``decoy``."""
-    standard = stats.standardized(rows, features)
+def score(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01, best: str | None = None, averaged: bool = False) -> DataFrame:
+    """``rows`` with ``score``: each row by the model of the folds that its group isn't in. ``rows`` has ``decoy``.
+
+    With ``best``, models are fitted on the row of each base, of targets as of decoys, that has most of it: over many runs
+    most rows repeat the same few pairs, and the sample then holds more of them. With ``averaged`` all rows are scored
+    by the mean of the folds' weights, so scores of different folds are on one scale; a row is then part of what its own
+    model has learned from.
+    """
+    standard = stats.standardized(rows if best is None else rows.withColumn("_best", F.col(best)), features)
     folded = stored(standard.join(stats.folds(rows, group, FOLDS), group), "model_rows")
-    dealt = _sampled(folded, features, base, group)
+    fitted = folded if best is None else best_row(folded, [base, "decoy"], F.desc("_best"), *features)
+    dealt = _sampled(fitted, features, base, group)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([base, "decoy", *features])
@@ -108,11 +116,15 @@ def score(rows: DataFrame, features: list[str], base: str = "base", group: str =
         return pd.DataFrame({"held": [int(part["held"].iloc[0])], "w": [w]})
 
     models = stored(dealt.groupBy("held").applyInPandas(fit, "held int, w array<double>"), "models")
-    joined = folded.join(F.broadcast(models), F.col("fold") == F.col("held"))  # a row per fold
+    if averaged:
+        mean = models.agg(F.array(*[F.avg(F.get("w", F.lit(i))) for i in range(len(features) + 1)]).alias("w"), F.lit(0).alias("held"))
+        joined = folded.crossJoin(F.broadcast(mean))  # one row
+    else:
+        joined = folded.join(F.broadcast(models), F.col("fold") == F.col("held"))  # a row per fold
     total = F.get("w", F.lit(len(features)))
     for i, f in enumerate(features):
         total = total + F.get("w", F.lit(i)) * F.col(f)
-    return joined.withColumn("score", total).drop("w", "held", *features)
+    return joined.withColumn("score", total).drop("w", "held", "_best", *features)
 
 
 def discriminant_scores(rows: DataFrame, features: list[str], base: str = "base", group: str = "peptide", threshold: float = 0.01, rounds: int = 3) -> DataFrame:

@@ -85,7 +85,7 @@ def prefiltered(rows: DataFrame, least_fragments: int = 2, length: int = 4, leas
 
 
 SHAPE = ["coelution_max", "n_coeluting", "sharpness", "smoothed_cosine", "elution_cosine", "polish_cosine", "polish_ratio", "polish_least_r2", "polish_correlation"]
-SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, " + "".join(f"{n} double, " for n in SHAPE) + "rank_score double, rank int"
+SCORES = "file_name string, entry_id long, decoy boolean, expected_rt double, apex_rt double, start_rt double, end_rt double, apex double, area double, snr double, coelution double, similarity double, n_fragments int, " + "".join(f"{n} double, " for n in SHAPE) + "rank_score double, profile_rt array<double>, profile array<double>, rank int"
 #: Weights of the five scans around an apex (quadratic smoothing).
 SMOOTHING = (-3 / 35, 12 / 35, 17 / 35, 12 / 35, -3 / 35)
 
@@ -124,14 +124,17 @@ def shape_features(y: np.ndarray, rt: np.ndarray, expected: np.ndarray, peak: tu
 
 
 def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
-    """The ``top`` best peaks of each entry and run by mean correlation, closeness to the expected time and height."""
+    """The ``top`` best peaks of each entry and run by mean correlation, closeness to the expected time and height.
+
+    profile_rt, profile: times and heights of the reference fragment (that with the largest sum) from start to end.
+    """
     sigma = max(rt_sigma, 0.1)
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("scan")
         y, rt, out = np.array(part["values"].tolist(), float).T, part["scan_rt"].to_numpy(float), []
         used = y[(y > 0).any(axis=1)]
-        expected, total = np.array(part["expected"].iloc[0], float), y.sum(axis=0)
+        expected, total, reference = np.array(part["expected"].iloc[0], float), y.sum(axis=0), y[int(np.argmax(y.sum(axis=1)))]
         for apex, start, end in kernels.consensus_peaks(used, 0.01):
             cut = used[:, start : end + 1]
             spread = cut.std(axis=1) > 0
@@ -142,8 +145,9 @@ def score(rows: DataFrame, rt_sigma: float, top: int = 1) -> DataFrame:
             root = np.sqrt(expected) @ np.sqrt(y[:, apex]) / max(np.sqrt(expected.sum() * y[:, apex].sum()), 1e-12)
             rank = pairs.mean() * np.exp(-off * off / 2 / sigma**2) * np.log1p(total[apex])
             area = np.trapezoid(total[start : end + 1], rt[start : end + 1])
-            out.append((rt[apex], rt[start], rt[end], total[apex], area, noise, pairs.sum(), root, int((y[:, apex] > 0).sum()), *shape_features(y, rt, expected, (apex, start, end)), rank))
-        out.sort(key=lambda r: -r[-1])
+            within = slice(start, end + 1)
+            out.append((rt[apex], rt[start], rt[end], total[apex], area, noise, pairs.sum(), root, int((y[:, apex] > 0).sum()), *shape_features(y, rt, expected, (apex, start, end)), rank, rt[within], reference[within]))
+        out.sort(key=lambda r: -r[-3])
         first = part.iloc[0]
         return pd.DataFrame([(first["file_name"], first["entry_id"], first["decoy"], first["expected_rt"], *r, n) for n, r in enumerate(out[:top], 1)], columns=[c.split()[0] for c in SCORES.split(", ")])
 

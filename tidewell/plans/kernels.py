@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import kernels
-from tidewell.operators import apex, fdr, local_fit, models, peaks, search
+from tidewell.operators import apex, fdr, local_fit, models, peaks, search, survey
 from tidewell.session import table
 from tidewell.storage import stored
 
@@ -80,7 +80,10 @@ def featured(spark, sf_dir):
     """The best peak of each user with all features of the model."""
     entries, scans = catalogue(spark, sf_dir)
     found = stored(search.search(entries, scans, rt_tolerance=60.0, ppm=20.0), "matches")
-    return apex.with_apex_features(found, entries, scans, 20.0).select("entry_id", "apex_rt", *apex.MODEL_FEATURES)
+    slots = event_matrix(spark, sf_dir).groupBy("user_id", "slot").agg(F.sum("value").alias("y"))
+    surveys = slots.select(F.lit("events").alias("file_name"), F.col("slot").alias("scan"), F.col("slot").cast("double").alias("rt"), (400.0 + F.col("user_id")).alias("at"), "y")
+    seen = survey.with_survey_features(found, entries, surveys, 20.0)
+    return apex.with_apex_features(seen, entries, scans, 20.0).select("entry_id", "apex_rt", *apex.MODEL_FEATURES)
 
 
 QUERIES = {

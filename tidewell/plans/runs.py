@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.operators import calibration, reconcile, stats
+from tidewell.operators import calibration, reconcile, stats, survey
 from tidewell.plans.kernels import event_matrix
 from tidewell.session import table
 
@@ -59,13 +59,31 @@ def calibrated(spark, sf_dir):
     return calibration.calibrate(both, scans, settings).attempts.select("file_name", "attempt", "sampled", "matched", "passing", "state", F.round("searched", 4).alias("searched"), F.round("tolerance", 4).alias("tolerance"), "refined")
 
 
+def survey_features(spark, sf_dir):
+    """Return flags as runs, lines of a part as its profile over days, all lines of a week as a survey scan of parts by quantity."""
+    day = F.datediff("l_shipdate", F.lit("1992-01-01"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file_name"), F.col("l_partkey").alias("entry_id"), day.alias("day"), "l_extendedprice", F.col("l_quantity").cast("double").alias("y"))
+    mass = lambda part: 400.0 + part % 997 * 0.01
+    points = lines.groupBy("file_name", "entry_id", "day").agg(F.sum("l_extendedprice").alias("height"))
+    profile = F.array_sort(F.collect_list(F.struct(F.col("day").cast("double").alias("rt"), F.col("height").cast("double").alias("y"))))
+    apex = F.min(F.struct((-F.col("height")).alias("h"), F.col("day").alias("d"))).d.cast("double")
+    found = points.groupBy("file_name", "entry_id").agg(apex.alias("apex_rt"), profile.alias("p")).select("file_name", "entry_id", "apex_rt", F.col("p.rt").alias("profile_rt"), F.col("p.y").alias("profile"))
+    week = F.floor(F.col("day") / 7)
+    surveys = lines.select("file_name", week.alias("scan"), (week * 7).cast("double").alias("rt"), mass(F.col("entry_id")).alias("at"), "y")
+    share = F.col("p_size") / 50.0
+    isotopes = F.array(F.lit(1.0), share, share * share, share * share * share, F.lit(0.0))
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), mass(F.col("p_partkey")).alias("precursor_mz"), (F.col("p_size") % 3 + 1).alias("charge"), isotopes.alias("isotopes"))
+    out = survey.with_survey_features(found, entries, surveys, 20.0)
+    return out.select("file_name", "entry_id", "apex_rt", F.round("survey_coelution", 6).alias("survey_coelution"), F.round("survey_isotopes", 6).alias("survey_isotopes"))
+
+
 #: Slope and intercept of each run's times, and its isolation windows.
 SCALES = {"A": (1.0, 1.0), "N": (1.1, 0.0), "R": (0.9, 2.0)}
 WINDOWS = [("A", 400.0, 480.0), ("N", 420.0, 460.0), ("N", 455.0, 500.0), ("R", 400.0, 450.0), ("R", 450.0, 470.0)]
 _S = "(VALUES " + ", ".join(f"('{f}', {a}::DOUBLE, {b}::DOUBLE)" for f, (a, b) in SCALES.items()) + ") s(file_name, a, b)"
 _W = "(VALUES " + ", ".join(f"('{f}', {a}::DOUBLE, {b}::DOUBLE)" for f, a, b in WINDOWS) + ") w(file_name, low, high)"
 _COVER = reconcile.MAD_SD * reconcile.COVER
-QUERIES = {"reconcile_runs": reconciled, "stats_stride_sample": stride, "calibration_attempts": calibrated}
+QUERIES = {"reconcile_runs": reconciled, "stats_stride_sample": stride, "calibration_attempts": calibrated, "survey_features": survey_features}
 ORACLE_SQL = {
     "reconcile_runs": f"""WITH d AS (SELECT l_returnflag AS file_name, l_partkey AS peptide, l_linenumber % 3 + 1 AS charge, l_suppkey % 2 = 1 AS decoy, arg_max(l_quantity::DOUBLE, (l_extendedprice, l_quantity, l_orderkey)) AS apex,
         list_sort(list(DISTINCT l_quantity::DOUBLE)) AS others, min(l_discount) AS rq, min(l_tax) AS tq, max(l_discount) AS eq, max(l_tax) AS uq, greatest(1 / (1 + exp(-(max(l_extendedprice) / 30000 - 1))), 1e-6) AS w FROM lineitem GROUP BY ALL),
@@ -87,6 +105,17 @@ ORACLE_SQL = {
         round(CASE WHEN abs(apex - x) <= tol THEN apex - 0.5 WHEN near IS NOT NULL THEN near - 0.5 ELSE x - 0.625 END, 5) AS "start", round(CASE WHEN abs(apex - x) <= tol THEN apex + 0.75 WHEN near IS NOT NULL THEN near + 0.75 ELSE x + 0.625 END, 5) AS "end" FROM n
       UNION ALL SELECT g.file_name, g.peptide * 8 + g.charge * 2 + z.decoy, 'fill', round(a * k.rt + b, 5), round(a * k.rt + b - 0.625, 5), round(a * k.rt + b + 0.625, 5)
         FROM g ANTI JOIN (SELECT * FROM d WHERE NOT decoy) d ON g.file_name = d.file_name AND g.peptide = d.peptide AND g.charge = d.charge JOIN k ON k.peptide = g.peptide AND NOT k.decoy JOIN {_S} ON s.file_name = g.file_name, (VALUES (0), (1)) z(decoy)""",
+    "survey_features": """WITH l AS (SELECT l_returnflag AS file_name, l_partkey AS entry_id, datediff('day', DATE '1992-01-01', l_shipdate::DATE) AS day, l_extendedprice AS price, l_quantity::DOUBLE AS q FROM lineitem),
+      p AS (SELECT file_name, entry_id, day, sum(price) AS h FROM l GROUP BY ALL),
+      a AS (SELECT file_name, entry_id, arg_min(day, (-h, day)) AS day FROM p GROUP BY 1, 2),
+      n AS (SELECT file_name, day, arg_min(w, (abs(w * 7 - day), w)) AS w FROM (SELECT DISTINCT file_name, day FROM l) JOIN (SELECT DISTINCT file_name, day // 7 AS w FROM l) USING (file_name) GROUP BY 1, 2),
+      k AS (SELECT file_name, day // 7 AS w, 400.0::DOUBLE + entry_id % 997 * 0.01::DOUBLE AS m, max(q) AS y FROM l GROUP BY ALL),
+      d AS (SELECT p_partkey AS entry_id, 400.0::DOUBLE + p_partkey % 997 * 0.01::DOUBLE AS mz, p_size % 3 + 1 AS c, p_size / 50.0::DOUBLE AS s FROM part),
+      e AS (SELECT p.file_name, p.entry_id, p.day, h, coalesce(max(y), 0) AS y FROM p JOIN n USING (file_name, day) JOIN d USING (entry_id) LEFT JOIN k ON k.file_name = p.file_name AND k.w = n.w AND abs(m - mz) <= mz * 20 / 1e6 GROUP BY ALL),
+      f AS (SELECT file_name, entry_id, CASE WHEN count(*) >= 3 AND max(y) > min(y) AND max(h) > min(h) THEN covar_pop(y, h) / (stddev_pop(y) * stddev_pop(h)) ELSE 0 END AS co FROM e GROUP BY 1, 2),
+      o AS (SELECT a.file_name, a.entry_id, i, s, coalesce(max(y), 0) AS y FROM a JOIN n USING (file_name, day) JOIN d USING (entry_id), (SELECT unnest(range(-1, 4)) AS i) LEFT JOIN k ON k.file_name = a.file_name AND k.w = n.w AND abs(m - (mz + i * 1.002868::DOUBLE / c)) <= (mz + i * 1.002868::DOUBLE / c) * 20 / 1e6 GROUP BY ALL),
+      v AS (SELECT file_name, entry_id, CASE WHEN max(y) FILTER (i = 0) > 0 THEN sum(CASE WHEN i >= 0 THEN y * s ** i ELSE 0 END) / sqrt(sum(y * y) * sum(CASE WHEN i >= 0 THEN s ** (2 * i) ELSE 0 END)) ELSE 0 END AS iso FROM o GROUP BY 1, 2)
+      SELECT a.file_name, a.entry_id, a.day::DOUBLE AS apex_rt, round(co, 6) AS survey_coelution, round(iso, 6) AS survey_isotopes FROM a JOIN f USING (file_name, entry_id) JOIN v USING (file_name, entry_id)""",
     "stats_stride_sample": """WITH o AS (SELECT o_orderkey, datediff('day', DATE '1990-01-01', o_orderdate::DATE) AS x, o_totalprice AS y FROM orders),
       z AS (SELECT count(*) // 10 AS size, greatest(5, ceil(sqrt(count(*) // 10) / 2)) AS bins, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM o),
       c AS (SELECT o_orderkey, size, least(floor((x - x0) / (greatest(x1 - x0, 1e-6) / bins)), bins - 1) AS cx, least(floor((y - y0) / (greatest(y1 - y0, 1e-6) / bins)), bins - 1) AS cy FROM o, z),
