@@ -114,3 +114,26 @@ def test_blocks_find_the_items(spark):
     assert got == {("a", 0, 9, 1), ("a", 0, 9, 2), ("a", 0, 8, 2)}
     off = spark.createDataFrame([("a", 0, 9, -1), ("a", 0, 8, -1)], fps.schema)
     assert D.block_candidates(taken, off, anchored, item_fps).count() == 0
+
+
+def test_many_hits_in_a_long_text(spark):
+    """Twenty thousand words that repeat parts of an item a thousand times, and leak it changed, beside a long item."""
+    rnd = random.Random(9)
+    item, long_item = [f"i{k}" for k in range(12)], [f"j{k}" for k in range(150)]
+    words = []
+    while len(words) < 20_000:  # a thousand times
+        a = rnd.randrange(7)
+        words += item[a : a + 5] + [f"n{rnd.randrange(5000)}" for _ in range(15)]
+    words[7001:7013] = item
+    words[9000:9150] = long_item[:80] + ["other"] + long_item[81:]  # not at an end, where two windows would be as similar
+    docs = [(1, " ".join(words)), (2, " ".join(words[:7000])), (3, " ".join(long_item[:140]))]
+    items = [("a", " ".join(item)), ("b", " ".join(long_item))]
+    d, i = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {tuple(r) for r in D.contaminated(d, i).collect()}
+    assert got == brute(docs, items) and {(r[0], r[1]) for r in got} == {(1, "a"), (1, "b"), (3, "b")}
+
+
+def test_similarity_has_a_floor(spark):
+    d, i = spark.createDataFrame([], "doc_id int, text string"), spark.createDataFrame([], "item_id string, text string")
+    with pytest.raises(ValueError):
+        D.contaminated(d, i, similarity=0.5)

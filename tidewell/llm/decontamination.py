@@ -103,14 +103,22 @@ def leaky_texts(texts: DataFrame, looked_up: DataFrame, max_broadcast: int) -> D
 def windows(leaky: DataFrame, item_shingles: DataFrame) -> DataFrame:
     """(tkey, start, length, h): the windows that can be similar to an item, and the anchors that they hold.
 
+    They begin with a shingle of some item or end with the text: of two that are as similar as each other, one word apart,
+    the one that begins with the item is found.
+
     ``leaky`` as ``leaky_texts`` gives it, ``item_shingles`` (h).
     """
-    last = F.greatest(F.size("words") - F.col("length"), F.lit(0))
-    first = F.greatest(F.col("p") - (F.col("length") - SHINGLE_WORDS), F.lit(0))
-    found = leaky.select("tkey", "words", "shingles", F.inline("hits"))
-    around = found.select("tkey", "h", "length", "shingles", last.alias("last"), F.sequence(first, F.greatest(F.least("p", last), first)).alias("starts"))
-    each = around.select("tkey", "h", "length", "last", "shingles", F.explode("starts").alias("start")).filter("start <= last")
-    each = each.select("tkey", "start", "length", "h", "last", F.get("shingles", F.col("start")).alias("begins")).distinct()
+
+    def around(hit: Column) -> Column:
+        last = F.greatest(F.size("words") - hit.length, F.lit(0))
+        first = F.greatest(hit.p - (hit.length - SHINGLE_WORDS), F.lit(0))
+        # one shingle for each start, so rows hold no more of the text than an item's length
+        run = F.slice("shingles", first + 1, F.least(hit.p, last) - first + 1)
+        return F.struct(hit.h.alias("h"), hit.length.alias("length"), last.alias("last"), first.alias("first"), run.alias("run"))
+
+    found = leaky.select("tkey", F.explode(F.transform("hits", around)).alias("x"))
+    each = found.select("tkey", "x.h", "x.length", "x.last", "x.first", F.posexplode("x.run").alias("i", "begins"))
+    each = each.select("tkey", (F.col("first") + F.col("i")).alias("start"), "length", "h", "last", "begins").distinct()
     begins = each.filter("start < last").join(item_shingles.select(F.col("h").alias("begins")), "begins", "left_semi")
     return begins.select("tkey", "start", "length", "h").unionByName(each.filter("start = last").select("tkey", "start", "length", "h"))
 
@@ -159,6 +167,8 @@ def numbered_shingles(words: Column) -> Column:
 
 def leaks(texts: DataFrame, items: DataFrame, similarity: float, max_broadcast: int) -> DataFrame:
     """(tkey, item_id, n_items, similarity, start_word, n_words) for ``texts`` (tkey, words), whose equal rows count once."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"blocks of {RADIUS} bits find pairs of a similarity of {SIMILARITY} or more, not of {similarity}")
     classes = item_classes(items)
     named = classes.select(F.col("cid"), "item_id", "n_items")
     shingled = with_shingles(classes.filter(F.size("words") >= SHINGLE_WORDS))
