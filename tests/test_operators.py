@@ -180,6 +180,10 @@ def test_sinks(spark, tmp_path):
     assert [(r.label, r.charge_2, r.charge_3, r.peptide) for r in pin] == [(1, 1, 0, "-.PEPK.-"), (-1, 0, 1, "-.PEPR.-")]
     entries = spark.createDataFrame([(1, "PEPK", 2, 500.0, 10.0, 9.0, 11.0, ["P2", "P1"], [300.0, 400.0], [1.0, 0.5])], "entry_id long, modified_sequence string, charge int, precursor_mz double, rt double, start double, end double, proteins array<string>, mzs array<double>, intensities array<double>")
     tables = sinks.library_tables(entries)
+    assert tables["modifications"].count() == 0
+    noted = entries.select(F.explode(F.array(*map(F.lit, ["PEPC[+57.021464]TM[+15.9949]K", "[42.010565]AC(UniMod:4)K", "PEPK"]))).alias("modified_sequence"), *[c for c in entries.columns if c != "modified_sequence"])
+    got = {(r.position, round(r.mass, 6)) for r in sinks.library_tables(noted)["modifications"].collect()}
+    assert got == {(4, 57.021464), (6, 15.9949), (1, 42.010565), (2, 57.0215)}  # ids become masses of four decimals
     assert tables["peaks"].count() == 2 and {(r.accession, r.protein_id) for r in tables["proteins"].collect()} == {("P1", 0), ("P2", 1)}
 
 
@@ -212,3 +216,11 @@ def test_isotopes_and_double_counts(spark):
     df = spark.createDataFrame(rows, "id long, win string, at double, f array<int>, score double")
     out = A.without_double_counts(df, ["win"], "id", "at", "f", "score", 0.5)
     assert sorted(r.id for r in out.collect()) == [1, 3, 4, 5]
+
+
+def test_named_losses(spark):
+    from tidewell.functions.sequences import NEUTRAL_LOSS, neutral_loss
+
+    names = ["h2o", " Water", "NH3", "ammonia", "PHOSPHO", "H3PO4", "97.5", "", "noloss", "other", None]
+    got = [r.x for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").orderBy("i").select(neutral_loss(F.col("n")).alias("x")).collect()]
+    assert got == [NEUTRAL_LOSS[x] for x in ("H2O", "H2O", "NH3", "NH3", "H3PO4", "H3PO4")] + [97.5, None, None, None, None]

@@ -23,6 +23,8 @@ RESIDUE_ATOMS = {
 PROTON, WATER = 1.007276, 18.010565
 #: Masses of neutral losses in Da, by name.
 NEUTRAL_LOSS = {"H2O": 18.010565, "NH3": 17.026549, "H3PO4": 97.976896}
+#: Names of losses that formats use.
+LOSS_NAMES = {"WATER": "H2O", "AMMONIA": "NH3", "PHOSPHO": "H3PO4"}
 #: Masses of common modifications in Da, by UniMod id.
 UNIMOD_MASS = {1: 42.010565, 4: 57.021464, 7: 0.984016, 21: 79.966331, 35: 15.994915, 121: 114.042927}
 
@@ -114,8 +116,10 @@ def ion_type(code: Column) -> Column:
 
 
 def neutral_loss(name: Column) -> Column:
-    """Mass of a named loss, or the number itself; null for none."""
-    return F.coalesce(F.try_element_at(_lookup(NEUTRAL_LOSS), F.trim(name)), F.trim(name).try_cast("double"))
+    """Mass of a loss by its formula or name in any case, or the number itself; null for none and for what isn't known."""
+    known = F.upper(F.trim(name))
+    formula = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LOSS_NAMES.items() for x in pair]), known), known)
+    return F.coalesce(F.try_element_at(_lookup(NEUTRAL_LOSS), formula), known.try_cast("double"))
 
 
 def bracketed_masses(noted: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions import sequences
+
 
 def write_scores(scores: DataFrame, path: str, run: str = "file_name", **facts: str) -> None:
     """Scored rows as zstd Parquet, a folder per run, and the facts (versions, hashes) they hold for beside them."""
@@ -45,7 +47,7 @@ def group_report(groups: DataFrame, threshold: float) -> DataFrame:
 def library_tables(entries: DataFrame) -> dict[str, DataFrame]:
     """Tables of a spectral library from (entry_id, modified_sequence, charge, precursor_mz, rt, start, end, proteins, mzs, intensities).
 
-    spectra, peaks (exploded), proteins with ids by accession, and their links.
+    spectra, peaks (exploded), modifications (places from 1, masses), proteins with ids by accession, and their links.
     """
     spectra = entries.select(F.col("entry_id").alias("id"), "modified_sequence", "charge", "precursor_mz", "rt", "start", "end", F.size("mzs").alias("n_peaks"))
     peaks = entries.select(F.col("entry_id").alias("id"), F.posexplode(F.arrays_zip("mzs", "intensities")).alias("place", "p")).select("id", "place", F.col("p.mzs").alias("mz"), F.col("p.intensities").alias("intensity"))
@@ -53,7 +55,9 @@ def library_tables(entries: DataFrame) -> dict[str, DataFrame]:
     from tidewell.operators.dedup import renumbered
 
     proteins = renumbered(links.select("accession").distinct(), ["accession"], "protein_id")
-    return {"spectra": spectra, "peaks": peaks, "proteins": proteins, "links": links.join(proteins, "accession").select("id", "protein_id")}
+    masses = sequences.bracketed_masses(sequences.mass_notation(F.col("modified_sequence")))
+    modifications = entries.select(F.col("entry_id").alias("id"), F.explode(masses).alias("m")).select("id", (F.col("m.position") + 1).alias("position"), F.col("m.mass").alias("mass"))
+    return {"spectra": spectra, "peaks": peaks, "modifications": modifications, "proteins": proteins, "links": links.join(proteins, "accession").select("id", "protein_id")}
 
 
 def write_calibration(curves: DataFrame, path: str, keys: list[str]) -> None:
