@@ -99,3 +99,42 @@ def test_wide_tables_keep_similar_pairs():
     assert min(sims) > 0.79 and max(sims) < 0.81
     assert ((rows[::2] * rows[1::2]).sum(axis=1) >= near_copies.LEAST_COSINE).all()
     assert ((rows[::2] * np.roll(rows[1::2], 1, axis=0)).sum(axis=1) < near_copies.LEAST_COSINE / 2).all()
+
+
+def test_sweep_leaves_out_what_is_settled(spark, monkeypatch):
+    """Copies of a text that each have changes of their own share keys, but no pair of them is similar; links stay those of all pairs."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for j in range(6):
+            words[33 * j + 5 + rnd.randrange(20)] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+        if i % 5 == 0:
+            rows.append((100 + i, " ".join(words[:190])))
+    swept, seen = near_copies.swept, []
+    monkeypatch.setattr(near_copies, "swept", lambda placed, wide: seen.append(placed.select("node").distinct().count()) or swept(placed, wide))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == brute(rows) == set(range(60))
+    assert seen[0] <= 24  # those with a similar text, which share their changes
+
+
+def test_unlike_sets_have_no_similar_pair(spark):
+    """Sets that are left out are similar to none, also where sizes differ."""
+    rnd = random.Random(4)
+    sets = [frozenset([*rnd.sample(range(120), rnd.randrange(60, 121)), *range(1000 * i, 1000 * i + rnd.randrange(0, 40))]) for i in range(1, 60)]
+    sets += [s - set(rnd.sample(sorted(s), rnd.randrange(1, len(s) // 5))) for s in sets[:20]]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, shingles array<bigint>")
+    fewest = min(map(len, sets))
+    placed = spark.createDataFrame([(1, i, i, len(s), fewest) for i, s in enumerate(sets)], "key long, node long, part long, n long, fewest long")
+    out = {r.node for r in near_copies.unlike_all(placed, rows).collect()}
+    similar = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and 5 * len(x & y) >= 4 * len(x | y)}
+    assert out and len(similar) >= 20 and not out & similar
+
+
+def test_keys_of_two_that_were_compared(spark):
+    """A key of two nodes is done if its pair was compared; larger keys and pairs beyond the hubs are not."""
+    rows = [(1, 1, 1, 9, True), (1, 2, 2, 8, True), (2, 1, 1, 9, True), (2, 3, 3, 7, False), *((3, i, i, 9, True) for i in (1, 2, 3)), (4, 1, 1, 9, False), (4, 2, 1, 9, False)]
+    placed = spark.createDataFrame(rows, "key long, node long, part long, n long, compared boolean")
+    assert {(r.key, r.fewest) for r in near_copies.parted(placed).collect()} == {(2, 7), (3, 9)}

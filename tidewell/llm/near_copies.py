@@ -16,10 +16,13 @@ fingerprint (pivot), and the pivot table holds these distances in standard units
 3. What survives is verified exactly, on the sets of shingles.
 
 Equal sets are one node from there on. A key is first stood for by one of its nodes, and
-each node compared with the few of these that share most keys with it. Only keys that this leaves in several components are looked at again: their nodes get a
-table of WIDE pivots, and each key is swept in its task, where the table's distances
-discard pairs whose similarity they estimate to be 4.5 standard deviations below 0.8. So
-the components are those of all pairs that meet, and pairs are made of survivors only.
+each node compared with the few of these that share most keys with it. Only keys that this leaves in several components are looked at again. Of their
+nodes those go first that have so many shingles which none of the others has that no pair
+with them reaches 0.8, which is exact: copies of one text that are unlike each other share
+keys, but each has its own changes. The rest get a table of WIDE pivots, and each key is
+swept in its task, where the table's distances discard pairs whose similarity they
+estimate to be 4.5 standard deviations below 0.8. So the components are those of all pairs
+that meet, and pairs are made of survivors only.
 
 Defined cases: ASCII letters are folded; with fewer words than a shingle has, the whole
 sequence is the shingle; texts without words (and null texts) equal each other only; ids
@@ -175,6 +178,37 @@ def not_discarded(pairs: DataFrame, tables: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(sizes & (far <= LIMIT)).select("a", "b")
 
 
+def texts_of(placed: DataFrame, texts: DataFrame, holders: DataFrame) -> DataFrame:
+    """A row of ``texts`` for each node of ``placed``."""
+    asked = placed.select("node").distinct().join(holders, "node").select("text_key").distinct()
+    return texts.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
+
+
+def parted(placed: DataFrame) -> DataFrame:
+    """The rows (key, node, part, n) of those keys that are in several parts and have pairs to compare, and the least n of the key.
+
+    Of a key of two nodes there are none if ``compared``: one of them has stood for the key, and the other met all its hubs.
+    """
+    key = W.partitionBy("key")
+    ends = {"least": F.min("part").over(key), "most": F.max("part").over(key), "fewest": F.min("n").over(key)}
+    left = {"members": F.count("*").over(key), "done": F.min("compared").over(key)}
+    return placed.withColumns(ends | left).filter("least <> most AND NOT (members = 2 AND done)").select("key", "node", "part", "n", "fewest")
+
+
+def unlike_all(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The nodes (node) of ``placed`` that can't be similar to any other that they share a key with; ``sets`` has (node, shingles) of all.
+
+    Of a set of n shingles, own are in no other of the sets. It shares n - own at most with one of m, so their
+    similarity is at most (n - own) / (m + own), where m is at least the key's fewest and LEAST of n.
+    """
+    top, bottom = LEAST
+    once = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node"))
+    own = once.filter("times = 1").groupBy("node").agg(F.count("*").alias("own"))
+    fewest = F.greatest(F.col("fewest") * bottom, F.col("n") * top)  # m, bottom times
+    sizes = placed.groupBy("node").agg(F.min("n").alias("n"), F.min(fewest).alias("m"))
+    return own.join(sizes, "node").filter((F.col("n") - F.col("own")) * bottom * bottom < (F.col("m") + F.col("own") * bottom) * top).select("node")
+
+
 def swept(placed: DataFrame, wide: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of a key that are in different parts and that their wide tables don't discard.
 
@@ -240,13 +274,15 @@ def links(nodes: DataFrame, texts: DataFrame, shingle_words: int = SHINGLE_WORDS
     stars = met.withColumn("nth", most).filter(F.col("nth") <= HUBS).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     first = verified(not_discarded(stars, tables), texts, holders, shingle_words, "star")
 
-    part = F.coalesce("root", "node")
-    placed = shared.select("key", "node").join(connected_components(first), "node", "left").select("key", "node", part.alias("part"))
-    ends = {"least": F.min("part").over(W.partitionBy("key")), "most": F.max("part").over(W.partitionBy("key"))}
-    placed = stored(placed.withColumns(ends).filter("least <> most").select("key", "node", "part"), "parted_keys")
-    asked = placed.select("node").distinct().join(holders, "node").select("text_key").distinct()
-    again = texts.join(asked, "text_key", "left_semi").dropDuplicates(["text_key"])
-    wide = stored(shingle_sets(again, "wide", shingle_words).select("node", "wide").dropDuplicates(["node"]), "wide_tables")
+    roots = connected_components(first).select("node", "root", F.lit(False).alias("many"))
+    crowded = met.groupBy("node").agg(F.count("*").alias("hubs")).filter(F.col("hubs") > HUBS).select("node", F.lit(None).cast("bigint").alias("root"), F.lit(True).alias("many"))
+    known = roots.unionByName(crowded).groupBy("node").agg(F.min("root").alias("root"), F.max("many").alias("many"))
+    parts = nodes.select("node", "n").join(known, "node", "left").select("node", "n", F.coalesce("root", "node").alias("part"), F.coalesce("many", F.lit(False)).alias("many"))
+    compared = (F.col("node") == F.col("hub")) | ~F.col("many")
+    placed = stored(parted(shared.join(parts, "node", "left").withColumn("compared", compared)), "parted_keys")
+    unlike = unlike_all(placed, shingle_sets(texts_of(placed, texts, holders), "shingles", shingle_words))
+    placed = stored(parted(placed.join(unlike, "node", "left_anti").withColumn("compared", F.lit(False))).select("key", "node", "part"), "swept_keys")
+    wide = stored(shingle_sets(texts_of(placed, texts, holders), "wide", shingle_words).select("node", "wide").dropDuplicates(["node"]), "wide_tables")
     return first.unionByName(verified(swept(placed, wide), texts, holders, shingle_words, "rest"))
 
 
