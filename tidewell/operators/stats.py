@@ -13,15 +13,27 @@ from tidewell.operators import ranges
 from tidewell.storage import stored
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """keys, median: the least value at which half of the weight is reached.
+#: Distinct values of a key up to which one task adds up its weights in the order of the values.
+MOST_VALUES = 100_000
 
-    Weights are added up per distinct value first, and then over ranges of values.
+
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, most: int = MOST_VALUES) -> DataFrame:
+    """keys, median: the least value at which half of the weight is reached; nulls are above all values.
+
+    Weights are added up per distinct value first, then one by one in the order of the values, the whole as well as the
+    parts, so where a key's rows lie doesn't decide whether a half is reached. Only keys of more than ``most`` values are
+    added up over ranges of values.
     """
-    each = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    totals = each.groupBy(*keys).agg(F.sum("_w").alias("_all"))
-    rows = ranges.with_running(ranges.ranged(each, keys, [F.col(value)]), keys, [F.col(value)], {"_upto": F.col("_w")})
-    return ranges.matched(rows, totals, keys).filter(F.col("_upto") * 2 >= F.col("_all")).groupBy(*keys).agg(F.min(value).alias("median"))
+    each = stored(df.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), "weights")
+    order, median = F.col(value).asc_nulls_last(), F.min(value).alias("median")
+    key = W.partitionBy(*keys).orderBy(order)
+    sums = {"_upto": F.sum("_w").over(key.rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_w").over(key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}
+    reached = lambda rows: rows.filter(F.col("_upto") * 2 >= F.col("_all")).groupBy(*keys).agg(median)
+    large = stored(each.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_w").alias("_all")).filter(F.col("_n") > most).drop("_n"), "large_keys")
+    if large.isEmpty():
+        return reached(each.withColumns(sums))
+    rows = ranges.with_running(ranges.ranged(ranges.matched(each, large.select(*keys), keys, "left_semi"), keys, [order]), keys, [order], {"_upto": F.col("_w")})
+    return reached(ranges.matched(each, large.select(*keys), keys, "left_anti").withColumns(sums)).unionByName(reached(ranges.matched(rows, large, keys)))
 
 
 def sorted_values(value: str) -> Column:
