@@ -9,15 +9,16 @@ from tidewell.operators import fdr, models
 from tidewell.storage import stored
 
 
-def elution_cosine(matches: DataFrame, totals: DataFrame, keys: list[str], scan: str, weight: str, expected: str, observed: str, total: str) -> DataFrame:
+def elution_cosine(matches: DataFrame, totals: DataFrame, keys: list[str], scan: str, weight: str, expected: str, observed: str, total: str, empty: float = 0.0) -> DataFrame:
     """keys, cosine: the root cosine of expected and observed intensities at each scan, averaged with the squares of ``weight``.
 
     ``matches`` has a row for each fragment that a scan shows; ``totals`` (keys, total) what is expected of all fragments,
-    shown or not. Scans without a positive weight don't count; 0 if none does.
+    shown or not. Scans without a positive weight don't count; 0 if none does. ``empty`` is the cosine of a scan whose
+    observed intensities are all 0.
     """
     each = matches.filter(F.col(weight) > 0).groupBy(*keys, scan, weight).agg(F.sum(F.sqrt(F.col(expected) * F.col(observed))).alias("_dot"), F.sum(observed).alias("_o")).join(totals, keys)
     size = F.sqrt(F.col(total) * F.col("_o"))
-    cosine = F.when(size > 0, F.least(F.lit(1.0), F.col("_dot") / size)).otherwise(0.0)
+    cosine = F.when(size > 0, F.least(F.lit(1.0), F.col("_dot") / size)).otherwise(float(empty))
     square = F.col(weight) * F.col(weight)
     return each.groupBy(*keys).agg((F.sum(cosine * square) / F.sum(square)).alias("cosine"))
 
