@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import calibration, reconcile, stats, survey
 from tidewell.plans.kernels import event_matrix
 from tidewell.session import table
+from tidewell.storage import stored
 
 
 def detections(spark, sf_dir):
@@ -64,7 +65,7 @@ def survey_features(spark, sf_dir):
     day = F.datediff("l_shipdate", F.lit("1992-01-01"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file_name"), F.col("l_partkey").alias("entry_id"), day.alias("day"), "l_extendedprice", F.col("l_quantity").cast("double").alias("y"))
     mass = lambda part: 400.0 + part % 997 * 0.01
-    points = lines.groupBy("file_name", "entry_id", "day").agg(F.sum("l_extendedprice").alias("height"))
+    points = lines.select("file_name", "entry_id", "day", "l_extendedprice").repartition("file_name", "entry_id").groupBy("file_name", "entry_id", "day").agg(F.sum("l_extendedprice").alias("height"))
     profile = F.array_sort(F.collect_list(F.struct(F.col("day").cast("double").alias("rt"), F.col("height").cast("double").alias("y"))))
     apex = F.min(F.struct((-F.col("height")).alias("h"), F.col("day").alias("d"))).d.cast("double")
     found = points.groupBy("file_name", "entry_id").agg(apex.alias("apex_rt"), profile.alias("p")).select("file_name", "entry_id", "apex_rt", F.col("p.rt").alias("profile_rt"), F.col("p.y").alias("profile"))
@@ -73,7 +74,7 @@ def survey_features(spark, sf_dir):
     share = F.col("p_size") / 50.0
     isotopes = F.array(F.lit(1.0), share, share * share, share * share * share, F.lit(0.0))
     entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), mass(F.col("p_partkey")).alias("precursor_mz"), (F.col("p_size") % 3 + 1).alias("charge"), isotopes.alias("isotopes"))
-    out = survey.with_survey_features(found, entries, surveys, 20.0)
+    out = survey.with_survey_features(stored(found, "matches"), entries, surveys, 20.0)
     return out.select("file_name", "entry_id", "apex_rt", F.round("survey_coelution", 6).alias("survey_coelution"), F.round("survey_isotopes", 6).alias("survey_isotopes"))
 
 
