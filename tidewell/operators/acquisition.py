@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewell.functions.arrays import let, tolerance_width
+from tidewell.operators import ranges
 from tidewell.operators.joins import band_join
 from tidewell.operators.local_fit import place as at_place
 from tidewell.storage import stored
@@ -83,30 +86,54 @@ def n_overlapping(a: Column, b: Column, tolerance: float, unit: str) -> Column:
     return F.when(F.size(a) * F.size(b) > 0, let(F.struct(a.alias("a"), F.array_sort(b).alias("b")), count)).otherwise(0)
 
 
-def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place: str, fragments: str, rank: str, distance: float, least_share: float = 0.5, tolerance: float | None = None, unit: str = "ppm") -> DataFrame:
+#: Rows of a key up to which they are gone through in one array.
+MOST_ROWS = 512
+
+
+def without_double_counts(rows: DataFrame, keys: list[str], row_id: str, place: str, fragments: str, rank: str, distance: float, least_share: float = 0.5, tolerance: float | None = None, unit: str = "ppm", most: int = MOST_ROWS) -> DataFrame:
     """``rows`` without those that a better row of their ``keys`` explains: near in ``place`` and with enough fragments in common.
 
     Fragments are common if they are equal, or, with ``tolerance``, if the better row has one within it.
 
     The best row by ``rank`` (nulls last, then the smaller id) stays and removes its
-    neighbours, then the next one that is left. Neighbours are found by a band join. In each
+    neighbours, then the next one that is left. Keys of up to ``most`` rows are shuffled once and
+    gone through in that order. Of larger ones neighbours are found by a band join; in each
     round all rows that no better one is left beside stay and remove their neighbours, until
     no pair is left: as many rounds as the longest chain of better and better neighbours.
     """
-    best = F.coalesce(F.col(rank).cast("double"), F.lit(float("-inf")))
-    narrow = rows.select(*keys, row_id, place, fragments, best.alias("_rank"))
-    other = narrow.select(*keys, F.col(row_id).alias("_o"), F.col(place).alias("_p"), F.col(fragments).alias("_f"), F.col("_rank").alias("_r"))
-    better = (F.col("_rank") > F.col("_r")) | ((F.col("_rank") == F.col("_r")) & (F.col(row_id) < F.col("_o")))
-    met = band_join(narrow, other, keys, place, "_p", distance).filter(better)
-    need = F.ceil(F.least(F.size(fragments), F.size("_f")) * least_share)
-    common = F.size(F.array_intersect(fragments, "_f")) if tolerance is None else n_overlapping(F.col("_f"), F.col(fragments), tolerance, unit)
-    pairs = met.filter(common >= need).select(F.col(row_id).alias("a"), F.col("_o").alias("b")).distinct()
-    left, gone = stored(pairs, "better_pairs"), []
-    while not left.isEmpty():
-        staying = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
-        gone.append(stored(left.join(staying, "a", "left_semi").select(F.col("b").alias("_gone")).distinct(), "removed"))
-        out = gone[-1]
-        left = stored(left.join(out, F.col("a") == F.col("_gone"), "left_anti").join(out, F.col("b") == F.col("_gone"), "left_anti"), "better_pairs")
-    for out in gone:
-        rows = rows.join(out, F.col(row_id) == F.col("_gone"), "left_anti")
-    return rows
+    value = F.coalesce(F.col(rank).cast("double"), F.lit(float("-inf")))
+    need = lambda f, g: F.ceil(F.least(F.size(f), F.size(g)) * least_share)
+    common = lambda better, worse: F.size(F.array_intersect(better, worse)) if tolerance is None else n_overlapping(worse, better, tolerance, unit)
+
+    def explained(kept: Column, row: Column) -> Column:
+        beside = lambda k: (F.abs(k[place] - row[place]) <= distance) & (common(k[fragments], row[fragments]) >= need(k[fragments], row[fragments]))
+        known = [row[k].isNotNull() for k in keys]
+        return F.coalesce(reduce(lambda x, y: x & y, known, F.exists(kept, beside)), F.lit(False))
+
+    def in_arrays(part: DataFrame) -> DataFrame:
+        each = F.struct(F.struct((~F.isnan(value)).alias("n"), (-value).alias("v"), F.col(row_id).alias("i")).alias("o"), F.struct(*part.columns).alias("row"))
+        first = F.array_sort(F.collect_list(each), lambda x, y: F.when(x.o < y.o, -1).when(x.o > y.o, 1).otherwise(0))
+        ordered = part.groupBy(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)]).agg(F.transform(first, lambda x: x.row).alias("_rows"))
+        kept = F.aggregate("_rows", F.slice("_rows", 1, 0), lambda done, x: F.when(explained(done, x), done).otherwise(F.concat(done, F.array(x))))
+        return ordered.select(F.inline(kept))
+
+    def in_rounds(part: DataFrame) -> DataFrame:
+        narrow = part.select(*keys, row_id, place, fragments, value.alias("_rank"))
+        other = narrow.select(*keys, F.col(row_id).alias("_o"), F.col(place).alias("_p"), F.col(fragments).alias("_f"), F.col("_rank").alias("_r"))
+        better = (F.col("_rank") > F.col("_r")) | ((F.col("_rank") == F.col("_r")) & (F.col(row_id) < F.col("_o")))
+        met = band_join(narrow, other, keys, place, "_p", distance).filter(better)
+        pairs = met.filter(common(F.col(fragments), F.col("_f")) >= need(F.col(fragments), F.col("_f"))).select(F.col(row_id).alias("a"), F.col("_o").alias("b")).distinct()
+        left, gone = stored(pairs, "better_pairs"), []
+        while not left.isEmpty():
+            staying = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+            gone.append(stored(left.join(staying, "a", "left_semi").select(F.col("b").alias("_gone")).distinct(), "removed"))
+            out = gone[-1]
+            left = stored(left.join(out, F.col("a") == F.col("_gone"), "left_anti").join(out, F.col("b") == F.col("_gone"), "left_anti"), "better_pairs")
+        for out in gone:
+            part = part.join(out, F.col(row_id) == F.col("_gone"), "left_anti")
+        return part
+
+    large = stored(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys), "large_keys")
+    if large.isEmpty():
+        return in_arrays(rows)
+    return in_arrays(ranges.matched(rows, large, keys, "left_anti")).unionByName(in_rounds(ranges.matched(rows, large, keys, "left_semi")))

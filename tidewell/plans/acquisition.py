@@ -31,18 +31,18 @@ def envelopes(spark, sf_dir):
 
 def deduplicated(spark, sf_dir):
     """Lines of an order whose parts are near and whose flags agree count once, by price."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
-    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), F.array("l_returnflag", "l_linestatus").alias("fragments"), "l_extendedprice").dropDuplicates(["id"])
+    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), F.array("l_returnflag", "l_linestatus").alias("fragments"), "l_extendedprice").dropDuplicates(["l_orderkey", "id"])
     return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 3.0).select("l_orderkey", "id")
 
 
 def overlapping(spark, sf_dir):
     """Lines of an order count once if half of the places of the worse one's (part, supplier, price) are near one of the better one's."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
     places = F.array((F.col("l_partkey") % 60).cast("double"), F.col("l_suppkey") % 40 + 0.25, F.col("l_linenumber") * 8 + 0.5)
-    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), places.alias("fragments"), "l_extendedprice").dropDuplicates(["id"])
+    rows = lines.select("l_orderkey", name.alias("id"), F.col("l_quantity").cast("double").alias("at"), places.alias("fragments"), "l_extendedprice").dropDuplicates(["l_orderkey", "id"])
     return A.without_double_counts(rows, ["l_orderkey"], "id", "at", "fragments", "l_extendedprice", 10.0, tolerance=1.5, unit="absolute").select("l_orderkey", "id")
 
 
