@@ -25,7 +25,7 @@ def detections(spark, sf_dir):
 
 def reconciled(spark, sf_dir):
     """Accepted parts in all three runs, whose time scales are lines."""
-    rows = detections(spark, sf_dir)
+    rows = stored(detections(spark, sf_dir), "detections")
     curves = spark.createDataFrame([(f, [0.0, 60.0], [b, b + 60 * a], 2.0) for f, (a, b) in SCALES.items()], "file_name string, knots array<double>, fitted array<double>, mad double")
     windows = spark.createDataFrame(WINDOWS, "file_name string, low double, high double")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("peptide"), (400.0 + F.col("p_partkey") % 100).alias("precursor_mz"))
