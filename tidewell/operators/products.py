@@ -2,8 +2,9 @@
 
 Both sides are cut into blocks of rows by a hash of their ids. A cell of the result is one
 block of queries against one block of rows; both are sent to it once, so a task holds two
-bounded blocks, adds up the partial products of one block of columns after the other, and
-keeps the best matches of each query. The matches of a query's cells meet last, ``k`` from
+bounded blocks, multiplies some queries at a time, adds up the partial products of one block
+of columns after the other, and keeps the best matches of each query. Blocks of queries are as
+large as leaves a cell to each shuffle partition, so all rows are sent out as few times as may be. The matches of a query's cells meet last, ``k`` from
 each. All rows are compared: there is no index and nothing is cut off.
 """
 
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.dedup import top_rows
 
-#: Rows of a block of queries and of a block of rows, on average; columns that are multiplied at once.
+#: Queries and columns that are multiplied at once; rows of a block of rows, on average.
 QUERY_ROWS, BLOCK_ROWS, COLUMNS = 512, 4096, 256
+#: Queries of a block at most, on average: all rows are sent once to each block of queries.
+MOST_QUERIES = 32768
 
 
 def binned_roots(peaks: DataFrame, keys: list[str], mz: str, intensity: str, low: float, width: float, bins: int) -> DataFrame:
@@ -50,6 +53,13 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return ids[order], np.repeat(rank, sizes), at.flatten().to_numpy(), v.flatten().to_numpy()
 
 
+def _some(block: tuple, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a block from the first to before the end."""
+    ids, row, column, value = block
+    on = (row >= first) & (row < end)
+    return ids[first:end], row[on] - first, column[on], value[on]
+
+
 def product(a: tuple, b: tuple, columns: int = COLUMNS) -> np.ndarray:
     """The products of all rows of two blocks: partial ones over blocks of columns, added up."""
     total = np.zeros((len(a[0]), len(b[0])))
@@ -66,27 +76,34 @@ def product(a: tuple, b: tuple, columns: int = COLUMNS) -> np.ndarray:
     return total
 
 
-def best_matches(queries: DataFrame, rows: DataFrame, k: int, query: str = "query", row: str = "row", digits: int = 6, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS, columns: int = COLUMNS) -> DataFrame:
+def best_matches(queries: DataFrame, rows: DataFrame, k: int, query: str = "query", row: str = "row", digits: int = 6, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS, columns: int = COLUMNS, most_queries: int = MOST_QUERIES) -> DataFrame:
     """query, row, score, rank: the ``k`` rows with the largest product above 0 of each query, smaller ids first on a tie.
 
     ``queries`` has (query, at, v), ``rows`` (row, at, v); a row isn't matched with the query of its own id. Scores are
     rounded before they are ranked, so the order of additions doesn't show.
     """
-    n_queries, n_blocks = (max(1, ceil(side.count() / size)) for side, size in ((queries, query_rows), (rows, block_rows)))
+    asked, n_blocks = queries.count(), max(1, ceil(rows.count() / block_rows))
+    cells = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_queries = max(1, ceil(asked / max(most_queries, query_rows)), min(ceil(asked / query_rows), ceil(cells / n_blocks)))
     mine = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     left = queries.select(F.col(query).alias("id"), "at", "v", mine(query, n_queries).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("j"))
     right = rows.select(F.col(row).alias("id"), "at", "v", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("i"), mine(row, n_blocks).alias("j"))
     kinds = dict(left.dtypes)["id"], dict(right.dtypes)["id"]
 
     def cell(ours: pa.Table, theirs: pa.Table) -> pa.Table:
-        a, b = _block(ours), _block(theirs)
+        whole, b = _block(ours), _block(theirs)
+        parts = [best(_some(whole, start, start + query_rows), b) for start in range(0, len(whole[0]), query_rows)]
+        types = ours.schema.field(0).type, theirs.schema.field(0).type
+        q, r, score = (np.concatenate([p[i] for p in parts]) for i in range(3)) if parts else ([], [], [])
+        return pa.table([pa.array(q, types[0]), pa.array(r, types[1]), pa.array(score, pa.float64())], names=[query, row, "score"])
+
+    def best(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = np.round(product(a, b, columns), digits)
         scores[a[0][:, None] == b[0][None, :]] = 0.0
         order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(scores, order, axis=1)
-        i, j = np.nonzero(best > 0)
-        types = ours.schema.field(0).type, theirs.schema.field(0).type
-        return pa.table([pa.array(a[0][i], types[0]), pa.array(b[0][order[i, j]], types[1]), pa.array(best[i, j])], names=[query, row, "score"])
+        top = np.take_along_axis(scores, order, axis=1)
+        i, j = np.nonzero(top > 0)
+        return a[0][i], b[0][order[i, j]], top[i, j]
 
     cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(cell, f"{query} {kinds[0]}, {row} {kinds[1]}, score double")
     return top_rows(cells, [query], k, F.col("score").desc(), row)
